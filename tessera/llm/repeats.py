@@ -46,8 +46,8 @@ class Windows:
     seed: int
     unit: str  # "byte" or "word"
     earlier_only: bool  # a window counts if it also starts in a document with a smaller id
-    group_limit: int = 4096
-    batch: int = 8192
+    group_limit: int = 2048
+    batch: int = 2048
 
 
 def _symbols(raw: np.ndarray, offsets: np.ndarray, unit: str) -> tuple[np.ndarray, np.ndarray]:
@@ -185,10 +185,10 @@ class Batch:
             symbols, kind = word_hashes(raw, starts, ends).view(np.int64), np.int64
         self.right_len, self.left_len = np.diff(bounds) - lefts, lefts
         span, own = p.width, -1 - np.arange(n, dtype=kind)[:, None]
-        middle = (bounds[:-1] + lefts)[:, None]
+        middle = (bounds[:-1] + lefts).astype(np.int32)[:, None]
         if not len(symbols):
             symbols = np.zeros(1, kind)
-        steps = np.arange(span)
+        steps = np.arange(span, dtype=np.int32)
         self.ahead = np.where(steps < self.right_len[:, None], symbols[np.minimum(middle + steps, len(symbols) - 1)], own)
         self.back = np.where(steps < lefts[:, None], symbols[np.maximum(middle - 1 - steps, 0)], own)
 
