@@ -9,8 +9,9 @@ carries the symbols that those windows cover, to the left and to the right.
 
 Seeds that occur once in the corpus are dropped by a count (partial sums before the shuffle);
 the others are grouped by seed. ``resolve`` is the caller's index structure over one batch of
-whole groups. Seeds with more than ``group_limit`` occurrences never meet in one task: equal
-contexts are merged, and the windows of what is left are hashed (128 bits) and counted by Spark.
+whole groups. For seeds with more than ``group_limit`` occurrences equal contexts are merged first;
+seeds with more different contexts than that never meet in one task: their windows are hashed
+(128 bits) and counted by Spark.
 """
 
 from __future__ import annotations
@@ -121,10 +122,10 @@ def _contexts(joined: DataFrame, p: Windows) -> DataFrame:
     """One row for each anchor of a repeated seed: the text that its windows cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[], [], [], [], [], []]
+        names = ["seed", "crowded", "doc_id", "pos", "left", "units", "own", "context"]
+        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+        out: list[list] = [[] for _ in names]
         size = 0
-        names = ["seed", "crowded", "doc_id", "pos", "left", "context"]
-        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
         def flush():
             batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=names)
@@ -143,7 +144,8 @@ def _contexts(joined: DataFrame, p: Windows) -> DataFrame:
                 for seed, pos, lo, hi, crowded in zip(*cols):
                     end = hi + p.width
                     piece = units[lo:end] if p.unit == "byte" else b" ".join(units[lo:end])
-                    for x, v in zip(out, (seed, crowded, doc, pos, pos - lo, piece)):
+                    own = int.from_bytes(hashlib.blake2b(piece, digest_size=8, key=b"%d" % (pos - lo)).digest(), "little", signed=True) if crowded else None
+                    for x, v in zip(out, (seed, crowded, doc, pos, pos - lo, end - lo, own, piece)):
                         x.append(v)
                     size += len(piece) + 40
                 if size > 1 << 20:
@@ -152,7 +154,7 @@ def _contexts(joined: DataFrame, p: Windows) -> DataFrame:
         if out[0]:
             yield flush()
 
-    return joined.mapInArrow(run, "seed long, crowded boolean, doc_id long, pos int, left int, context binary")
+    return joined.mapInArrow(run, "seed long, crowded boolean, doc_id long, pos int, left int, units int, own long, context binary")
 
 
 class Batch:
@@ -162,7 +164,7 @@ class Batch:
     filled with values that no other row has, so that common prefixes never run past a text.
     """
 
-    def __init__(self, seed: np.ndarray, left: np.ndarray, contexts: list[bytes], docs: np.ndarray, p: Windows):
+    def __init__(self, seed: np.ndarray, left: np.ndarray, contexts: list[bytes], docs: np.ndarray, copies: np.ndarray, p: Windows):
         self.p = p
         order: dict[tuple, int] = {}
         member = np.empty(len(contexts), np.int64)
@@ -170,7 +172,8 @@ class Batch:
             member[i] = order.setdefault(key, len(order))
         n = len(order)
         self.member, self.n = member, n
-        self.count = np.bincount(member, minlength=n)
+        self.count = np.zeros(n, np.int64)
+        np.add.at(self.count, member, copies)
         self.least = np.full(n, np.iinfo(np.int64).max)
         np.minimum.at(self.least, member, docs)
         self.seed = np.fromiter((k[0] for k in order), np.int64, n)
@@ -208,28 +211,25 @@ def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _resolved(contexts: DataFrame, p: Windows, resolve: Callable[[Batch], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Spans of removed symbols, from seed groups that fit in a batch; rows come sorted by seed."""
+    """seed, key, lo, hi of repeated symbols; rows (seed, key, doc, copies, pos, left, context) come sorted by seed."""
 
     def spans(rows: list) -> pa.RecordBatch:
-        seed, docs, pos, left = (np.concatenate([r[c].to_numpy() for r in rows]) for c in (0, 1, 2, 3))
-        batch = Batch(seed, left, [x for r in rows for x in r[4].to_pylist()], docs, p)
+        seed, key, docs, copies, pos, left = (np.concatenate([r[c].to_numpy() for r in rows]) for c in range(6))
+        batch = Batch(seed, left, [x for r in rows for x in r[6].to_pylist()], docs, copies, p)
         reach_back, reach_on = resolve(batch)
         m = batch.member
-        if p.earlier_only:
-            whole = docs > batch.least[m]
-        else:
-            whole = batch.count[m] > 1
+        whole = docs > batch.least[m] if p.earlier_only else batch.count[m] > 1
         lo = pos - np.where(whole, batch.left_len[m], reach_back[m])
         hi = pos + np.where(whole, batch.right_len[m], reach_on[m])
         keep = hi - lo >= p.width
-        return pa.RecordBatch.from_arrays([pa.array(docs[keep]), pa.array(lo[keep].astype(np.int32)), pa.array(hi[keep].astype(np.int32))], names=["doc_id", "lo", "hi"])
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (seed, key, lo.astype(np.int32), hi.astype(np.int32))], names=["seed", "key", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, n = [], 0
         for batch in batches:
-            rest = [batch.column(batch.schema.get_field_index(c)) for c in ("seed", "doc_id", "pos", "left", "context")]
+            rest = [batch.column(batch.schema.get_field_index(c)) for c in ("seed", "key", "doc", "copies", "pos", "left", "context")]
             while len(rest[0]):
-                take = min(len(rest[0]), 2048)
+                take = min(len(rest[0]), 1024)
                 part, rest = [c.slice(0, take) for c in rest], [c.slice(take) for c in rest]
                 keys = part[0].to_numpy()
                 if n >= p.batch:  # cut where a new seed begins
@@ -244,51 +244,66 @@ def _resolved(contexts: DataFrame, p: Windows, resolve: Callable[[Batch], tuple[
         if rows:
             yield spans(rows)
 
-    return contexts.mapInArrow(run, "doc_id long, lo int, hi int")
+    rows = contexts.repartition("seed").sortWithinPartitions("seed").select("seed", "key", "doc", "copies", "pos", "left", "context")
+    return rows.mapInArrow(run, "seed long, key long, lo int, hi int")
 
 
-def _crowded(contexts: DataFrame, p: Windows) -> DataFrame:
-    """The same spans for seeds that are too frequent for one task, by counts alone."""
+def _by_windows(classes: DataFrame, p: Windows) -> DataFrame:
+    """The same for seeds with too many contexts for one task, by counts of whole windows alone.
 
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            context, left = batch.column(batch.schema.get_field_index("context")).to_pylist(), batch.column(batch.schema.get_field_index("left")).to_pylist()
-            own = [hashlib.blake2b(c + b"\xff" + str(x).encode(), digest_size=16).digest() for c, x in zip(context, left)]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "pos", "left", "context")] + [pa.array(own, pa.binary())], names=["doc_id", "pos", "left", "context", "own"])
+    All windows of a context cover its seed, so those that repeat have a first and a last one and
+    leave no gap: one row for each context, whatever the number of its windows.
+    """
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, left, context = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("own", "left", "context"))
-            for o, x, c in zip(own, left, context):
+            seed, own, left, context = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("seed", "own", "left", "context"))
+            for s, o, x, c in zip(seed, own, left, context):
                 units = c if p.unit == "byte" else c.split(b" ")
                 n = len(units) - p.width + 1
                 parts = (units[i : i + p.width] for i in range(n))
                 digest = [hashlib.blake2b(u if p.unit == "byte" else b" ".join(u), digest_size=16).digest() for u in parts]
-                yield pa.RecordBatch.from_arrays([pa.array([o] * n, pa.binary()), pa.array(np.arange(n, dtype=np.int32) - np.int32(x)), pa.array(digest, pa.binary())], names=["own", "at", "window"])
+                yield pa.RecordBatch.from_arrays([pa.array([s] * n, pa.int64()), pa.array([o] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32) - np.int32(x)), pa.array(digest, pa.binary())], names=["seed", "own", "at", "window"])
+
+    pieces = classes.select("seed", "own", "left", "context").mapInArrow(run, "seed long, own long, at int, window binary")
+    pieces = pieces.join(classes.select("seed", "own", "copies", "least"), ["seed", "own"])
+    totals = pieces.groupBy("window").agg(F.sum("copies").alias("total"), F.min("least").alias("smallest"))
+    found = pieces.join(totals, "window").where("smallest < least" if p.earlier_only else "total > 1")
+    return found.groupBy("seed", "own").agg(F.min("at").alias("lo"), (F.max("at") + p.width).alias("hi")).select("seed", F.col("own").alias("key"), "lo", "hi")
+
 
-    keyed = contexts.mapInArrow(key, "doc_id long, pos int, left int, context binary, own binary")
-    classes = keyed.groupBy("own").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.first("left").alias("left"), F.first("context").alias("context"))
+def _crowded(contexts: DataFrame, p: Windows, resolve: Callable[[Batch], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Spans for very frequent seeds: equal contexts are merged before they meet in a task."""
+    classes = contexts.groupBy("seed", "own").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.first("left").alias("left"), F.first("context").alias("context"))
     classes = stage(classes)
-    pieces = classes.select("own", "left", "context").mapInArrow(windows, "own binary, at int, window binary").join(classes.select("own", "n", "least"), "own")
-    totals = pieces.groupBy("window").agg(F.sum("n").alias("total"), F.min("least").alias("smallest"))
-    found = pieces.join(totals, "window").where("total > 1").select("own", "at", "smallest")
-    members = keyed.select("own", "doc_id", "pos").join(found, "own")
-    if p.earlier_only:
-        members = members.where("smallest < doc_id")
-    return members.select("doc_id", (F.col("pos") + F.col("at")).cast("int").alias("lo"), (F.col("pos") + F.col("at") + p.width).cast("int").alias("hi"))
+    sizes = classes.groupBy("seed").agg(F.count("*").alias("n"))
+    classes = stage(classes.join(sizes, "seed"))
+    few = classes.where(F.col("n") <= p.group_limit).select("seed", F.col("own").alias("key"), F.col("least").alias("doc"), "copies", F.lit(0).alias("pos"), "left", "context")
+    found = _resolved(few, p, resolve)
+    many = classes.where(F.col("n") > p.group_limit)
+    if many.limit(1).count():
+        found = found.unionByName(_by_windows(many, p))
+    found = stage(classes.select("seed", F.col("own").alias("key"), "least").join(found, ["seed", "key"], "left"))
+    members = contexts.select("seed", F.col("own").alias("key"), "doc_id", "pos", "left", "units").join(found, ["seed", "key"])
+    first, last = F.col("pos") + F.col("lo"), F.col("pos") + F.col("hi")
+    if p.earlier_only:  # a later document repeats the whole context of the least one
+        later = F.col("doc_id") > F.col("least")
+        first = F.when(later, F.col("pos") - F.col("left")).otherwise(first)
+        last = F.when(later, F.col("pos") - F.col("left") + F.col("units")).otherwise(last)
+    return members.select("doc_id", first.alias("lo"), last.alias("hi")).where("lo is not null")
 
 
 def repeated_spans(docs: DataFrame, p: Windows, resolve: Callable[[Batch], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """doc_id and spans: array of (lo, hi), in symbols; every repeated window lies in one of them."""
     texts = identified(docs, "doc_id", "text").where("doc_id is not null and text is not null")
     found = stage(anchors(texts, p))
-    often = found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1")
+    often = stage(found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1"))
     hits = found.join(often, "seed").withColumn("crowded", F.col("n") > p.group_limit)
     hits = hits.groupBy("doc_id").agg(F.collect_list(F.struct("seed", "pos", "lo", "hi", "crowded")).alias("hits"))
-    contexts = _contexts(texts.join(hits, "doc_id"), p)
-    contexts = stage(contexts)
-    usual = contexts.where("not crowded").select("seed", "doc_id", "pos", "left", "context").repartition("seed").sortWithinPartitions("seed")
-    spans = _resolved(usual, p, resolve)
-    if contexts.where("crowded").limit(1).count():
-        spans = spans.unionByName(_crowded(contexts.where("crowded"), p))
+    contexts = stage(_contexts(texts.join(hits, "doc_id"), p))
+    usual = contexts.where("not crowded").select("seed", F.col("doc_id").alias("key"), F.col("doc_id").alias("doc"), F.lit(1).cast("long").alias("copies"), "pos", "left", "context")
+    spans = _resolved(usual, p, resolve).select(F.col("key").alias("doc_id"), "lo", "hi")
+    crowded = contexts.where("crowded")
+    if crowded.limit(1).count():
+        spans = spans.unionByName(_crowded(crowded, p, resolve))
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
