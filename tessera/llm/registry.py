@@ -1,10 +1,18 @@
 """Queries of the training-data operators, one for each, over their whole tables."""
 
+from tessera.llm.jaccard_join import op6_jaccard_join
+from tessera.llm.language_id import op9_language_id
+from tessera.llm.packing import op7_packing
+from tessera.llm.quality_rules import OP4_SQL, op4_quality_rules
 from tessera.llm.substring_dedup import op1_substring_dedup
 from tessera.llm.suffix_array_dedup import op3_suffix_array_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op4_quality_rules": op4_quality_rules,
+    "op6_jaccard_join": op6_jaccard_join,
+    "op7_packing": op7_packing,
+    "op9_language_id": op9_language_id,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": OP4_SQL}
