@@ -119,11 +119,11 @@ def anchors(docs: DataFrame, p: Windows) -> DataFrame:
 
 
 def _contexts(joined: DataFrame, p: Windows) -> DataFrame:
-    """One row for each anchor of a repeated seed: the text that its windows cover."""
+    """Anchors of repeated seeds with the text that their windows cover; equal ones of a document share a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["seed", "crowded", "doc_id", "pos", "left", "units", "own", "context"]
-        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+        types = [pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
         out: list[list] = [[] for _ in names]
         size = 0
 
@@ -141,11 +141,14 @@ def _contexts(joined: DataFrame, p: Windows) -> DataFrame:
                 doc = ids[k].as_py()
                 found = hits[k].values.flatten()
                 cols = [found[c].to_pylist() for c in range(5)]
+                places: dict[tuple, list[int]] = {}
                 for seed, pos, lo, hi, crowded in zip(*cols):
                     end = hi + p.width
                     piece = units[lo:end] if p.unit == "byte" else b" ".join(units[lo:end])
-                    own = int.from_bytes(hashlib.blake2b(piece, digest_size=8, key=b"%d" % (pos - lo)).digest(), "little", signed=True) if crowded else None
-                    for x, v in zip(out, (seed, crowded, doc, pos, pos - lo, end - lo, own, piece)):
+                    places.setdefault((seed, crowded, pos - lo, end - lo, piece), []).append(pos)
+                for (seed, crowded, left, length, piece), pos in places.items():
+                    own = int.from_bytes(hashlib.blake2b(piece, digest_size=8, key=b"%d" % left).digest(), "little", signed=True) if crowded else None
+                    for x, v in zip(out, (seed, crowded, doc, pos, left, length, own, piece)):
                         x.append(v)
                     size += len(piece) + 40
                 if size > 1 << 20:
@@ -154,7 +157,7 @@ def _contexts(joined: DataFrame, p: Windows) -> DataFrame:
         if out[0]:
             yield flush()
 
-    return joined.mapInArrow(run, "seed long, crowded boolean, doc_id long, pos int, left int, units int, own long, context binary")
+    return joined.mapInArrow(run, "seed long, crowded boolean, doc_id long, pos array<int>, left int, units int, own long, context binary")
 
 
 class Batch:
@@ -211,18 +214,20 @@ def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _resolved(contexts: DataFrame, p: Windows, resolve: Callable[[Batch], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """seed, key, lo, hi of repeated symbols; rows (seed, key, doc, copies, pos, left, context) come sorted by seed."""
+    """seed, key, pos, and lo and hi of repeated symbols relative to pos, of rows (seed, key, doc, copies, pos, left, context)."""
 
     def spans(rows: list) -> pa.RecordBatch:
-        seed, key, docs, copies, pos, left = (np.concatenate([r[c].to_numpy() for r in rows]) for c in range(6))
+        seed, key, docs, copies, left = (np.concatenate([r[c].to_numpy() for r in rows]) for c in (0, 1, 2, 3, 5))
         batch = Batch(seed, left, [x for r in rows for x in r[6].to_pylist()], docs, copies, p)
         reach_back, reach_on = resolve(batch)
         m = batch.member
         whole = docs > batch.least[m] if p.earlier_only else batch.count[m] > 1
-        lo = pos - np.where(whole, batch.left_len[m], reach_back[m])
-        hi = pos + np.where(whole, batch.right_len[m], reach_on[m])
+        lo = -np.where(whole, batch.left_len[m], reach_back[m])
+        hi = np.where(whole, batch.right_len[m], reach_on[m])
         keep = hi - lo >= p.width
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (seed, key, lo.astype(np.int32), hi.astype(np.int32))], names=["seed", "key", "lo", "hi"])
+        pos = pa.concat_arrays([r[4] for r in rows]).filter(pa.array(keep))
+        seed, key, lo, hi = (pa.array(x[keep]) for x in (seed, key, lo.astype(np.int32), hi.astype(np.int32)))
+        return pa.RecordBatch.from_arrays([seed, key, pos, lo, hi], names=["seed", "key", "pos", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, n = [], 0
@@ -245,7 +250,12 @@ def _resolved(contexts: DataFrame, p: Windows, resolve: Callable[[Batch], tuple[
             yield spans(rows)
 
     rows = contexts.repartition("seed").sortWithinPartitions("seed").select("seed", "key", "doc", "copies", "pos", "left", "context")
-    return rows.mapInArrow(run, "seed long, key long, lo int, hi int")
+    return rows.mapInArrow(run, "seed long, key long, pos array<int>, lo int, hi int")
+
+
+def _placed(lo, hi):
+    """The span at each place of a row."""
+    return F.transform("pos", lambda x: F.struct((x + lo).alias("lo"), (x + hi).alias("hi"))).alias("spans")
 
 
 def _by_windows(classes: DataFrame, p: Windows) -> DataFrame:
@@ -274,23 +284,25 @@ def _by_windows(classes: DataFrame, p: Windows) -> DataFrame:
 
 def _crowded(contexts: DataFrame, p: Windows, resolve: Callable[[Batch], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """Spans for very frequent seeds: equal contexts are merged before they meet in a task."""
-    classes = contexts.groupBy("seed", "own").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.first("left").alias("left"), F.first("context").alias("context"))
+    classes = contexts.groupBy("seed", "own").agg(F.sum(F.size("pos")).alias("copies"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("left").alias("left"), F.first("context").alias("context"))
     classes = stage(classes)
     sizes = classes.groupBy("seed").agg(F.count("*").alias("n"))
     classes = stage(classes.join(sizes, "seed"))
-    few = classes.where(F.col("n") <= p.group_limit).select("seed", F.col("own").alias("key"), F.col("least").alias("doc"), "copies", F.lit(0).alias("pos"), "left", "context")
-    found = _resolved(few, p, resolve)
+    few = classes.where(F.col("n") <= p.group_limit).select("seed", F.col("own").alias("key"), F.col("least").alias("doc"), "copies", F.array(F.lit(0)).alias("pos"), "left", "context")
+    found = _resolved(few, p, resolve).drop("pos")
     many = classes.where(F.col("n") > p.group_limit)
     if many.limit(1).count():
         found = found.unionByName(_by_windows(many, p))
-    found = stage(classes.select("seed", F.col("own").alias("key"), "least").join(found, ["seed", "key"], "left"))
+    found = classes.select("seed", F.col("own").alias("key"), "least", "most").join(found, ["seed", "key"], "left")
+    found = stage(found.where("lo is not null or most > least" if p.earlier_only else "lo is not null"))
     members = contexts.select("seed", F.col("own").alias("key"), "doc_id", "pos", "left", "units").join(found, ["seed", "key"])
-    first, last = F.col("pos") + F.col("lo"), F.col("pos") + F.col("hi")
+    first, last = F.col("lo"), F.col("hi")
     if p.earlier_only:  # a later document repeats the whole context of the least one
         later = F.col("doc_id") > F.col("least")
-        first = F.when(later, F.col("pos") - F.col("left")).otherwise(first)
-        last = F.when(later, F.col("pos") - F.col("left") + F.col("units")).otherwise(last)
-    return members.select("doc_id", first.alias("lo"), last.alias("hi")).where("lo is not null")
+        first = F.when(later, -F.col("left")).otherwise(first)
+        last = F.when(later, F.col("units") - F.col("left")).otherwise(last)
+    members = members.select("doc_id", "pos", first.alias("first"), last.alias("last")).where("first is not null")
+    return members.select("doc_id", _placed(F.col("first"), F.col("last")))
 
 
 def repeated_spans(docs: DataFrame, p: Windows, resolve: Callable[[Batch], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
@@ -301,9 +313,9 @@ def repeated_spans(docs: DataFrame, p: Windows, resolve: Callable[[Batch], tuple
     hits = found.join(often, "seed").withColumn("crowded", F.col("n") > p.group_limit)
     hits = hits.groupBy("doc_id").agg(F.collect_list(F.struct("seed", "pos", "lo", "hi", "crowded")).alias("hits"))
     contexts = stage(_contexts(texts.join(hits, "doc_id"), p))
-    usual = contexts.where("not crowded").select("seed", F.col("doc_id").alias("key"), F.col("doc_id").alias("doc"), F.lit(1).cast("long").alias("copies"), "pos", "left", "context")
-    spans = _resolved(usual, p, resolve).select(F.col("key").alias("doc_id"), "lo", "hi")
+    usual = contexts.where("not crowded").select("seed", F.col("doc_id").alias("key"), F.col("doc_id").alias("doc"), F.size("pos").cast("long").alias("copies"), "pos", "left", "context")
+    spans = _resolved(usual, p, resolve).select(F.col("key").alias("doc_id"), _placed(F.col("lo"), F.col("hi")))
     crowded = contexts.where("crowded")
     if crowded.limit(1).count():
         spans = spans.unionByName(_crowded(crowded, p, resolve))
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    return spans.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))

@@ -89,9 +89,23 @@ def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, p: Windows = BYTES) -> DataFrame:
-    """doc_id, kept (binary: the bytes that stay), n_bytes, n_removed, n_spans."""
-    texts = identified(docs, "doc_id", "text")
+def _whole_characters(data: bytes, runs: list[list[int]]) -> list[list[int]]:
+    """Runs shrunk so that a character that is removed in part stays whole."""
+    out = []
+    for lo, hi in runs:
+        while lo < hi and data[lo] & 0xC0 == 0x80:
+            lo += 1
+        while hi > lo and hi < len(data) and data[hi] & 0xC0 == 0x80:
+            hi -= 1
+        if lo < hi:
+            out.append([lo, hi])
+    return out
+
+
+def remove_repeats(docs: DataFrame, p: Windows = BYTES, carry: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
+    """doc_id, the columns named in carry, kept (binary: the bytes that stay), n_bytes, n_removed, n_spans."""
+    texts = identified(docs, "doc_id", "text", *carry)
+    types = {f.name: f.dataType.simpleString() for f in texts.schema}
     spans = repeated_spans(docs, p, repeat_groups)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,6 +117,8 @@ def remove_repeats(docs: DataFrame, p: Windows = BYTES) -> DataFrame:
                 for k in range(len(batch)):
                     data = (texts[k].as_py() or "").encode()
                     runs = merged([(x["lo"], x["hi"]) for x in found[k].as_py()]) if found[k].is_valid else []
+                    if whole_characters:
+                        runs = _whole_characters(data, runs)
                     parts, done = [], 0
                     for lo, hi in runs:
                         parts.append(data[done:lo])
@@ -110,10 +126,11 @@ def remove_repeats(docs: DataFrame, p: Windows = BYTES) -> DataFrame:
                     kept.append(b"".join([*parts, data[done:]]) if runs else data)
                     counts.append((len(data), len(data) - len(kept[-1]), len(runs)))
                 columns = [pa.array([c[i] for c in counts], pa.int64()) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(kept, pa.binary()), *columns], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", *carry)], pa.array(kept, pa.binary()), *columns], names=["doc_id", *carry, "kept", "n_bytes", "n_removed", "n_spans"])
 
-    joined = texts.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(cut, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    joined = texts.join(spans, "doc_id", "left").select("doc_id", *carry, "text", "spans")
+    extra = "".join(f"`{c}` {types[c]}, " for c in carry)
+    return joined.mapInArrow(cut, f"doc_id long, {extra}kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
