@@ -20,9 +20,12 @@ from __future__ import annotations
 
 import bisect
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +42,19 @@ class Packing:
     tiers: tuple[int, ...] = (256, 512, 1024, 2048)
     round_tokens: int = 1 << 18  # of waiting pieces before a round of packing
     step_tokens: int = 1 << 15
-    remembered: int = 250_000  # chunks whose ids a task remembers
+    remembered: int = 1_500_000  # chunks whose ids a worker remembers
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_id long, ids binary"
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class ChunkIds(dict):
     """Ids (little-endian 32-bit, as bytes) by chunk.
 
@@ -59,26 +69,34 @@ class ChunkIds(dict):
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
 
-    @staticmethod
-    def _core(chunk: bytes) -> tuple[bytes, bytes]:
-        end = chunk[-1:] if chunk[-1:] in (b",", b".") and chunk[-2:-1].isalpha() else b""
-        core = chunk[: len(chunk) - len(end)]
-        return (core.lower() if core.isalpha() else core), end
-
     def learn(self, chunks: set[bytes]) -> None:
-        new = [c for c in chunks if c not in self]
-        if len(self) + 2 * len(new) + 2 > self.limit:
+        new = chunks - self.keys()
+        if len(self) + len(new) > self.limit:
             self.clear()
-            new = list(chunks)
-        cores = {c: self._core(c) for c in new}
-        missing = {x for pair in cores.values() for x in pair if x and x not in self}
-        self._encode([c for c in missing if not c.isalpha() or c != c.lower()])
+            new = chunks
+        plain, capital, stopped, other = [], [], [], []
+        for c in new:
+            if c[-1] in b",." and c[-2:-1].isalpha():
+                stopped.append(c)
+            elif not c.isalpha():
+                other.append(c)
+            elif c.islower():
+                plain.append(c)
+            else:
+                capital.append(c)
+        for c in stopped:
+            core = c[:-1]
+            if core not in self and core not in new:
+                (other if not core.isalpha() else plain if core.islower() else capital).append(core)
+        lower = {c: c.lower() for c in capital}
+        plain += {x for x in lower.values() if x not in self and x not in new}
         tokenize = self.tokenizer.model.tokenize
-        for c in missing:
-            if c not in self:
-                self[c] = np.array([t.id for t in tokenize(c.decode())], "<u4").tobytes()
-        for c, (core, end) in cores.items():
-            self[c] = self[core] + (self[end] if end else b"")
+        self.update([(c, pack_ids([t.id for t in tokenize(c.decode())])) for c in plain])
+        self._encode(other)
+        self.update([(c, self[x]) for c, x in lower.items()])
+        if stopped:
+            self._encode([m for m in (b",", b".") if m not in self])
+            self.update([(c, self[c[:-1]] + self[c[-1:]]) for c in stopped])
 
     def _encode(self, chunks: list[bytes]) -> None:
         for at in range(0, len(chunks), 4096):
@@ -92,6 +110,12 @@ class ChunkIds(dict):
                 self[c] = ids[a:b].tobytes()
 
 
+@lru_cache(maxsize=1)
+def _known(path: str, limit: int) -> ChunkIds:
+    """One for all tasks of a worker; what it remembers never changes what it gives."""
+    return ChunkIds(path, limit)
+
+
 #: A waiting piece: tokens, order of arrival, doc_id, start, tokens of its document, ids.
 Piece = tuple[int, int, int, int, int, bytes]
 
@@ -191,7 +215,7 @@ def pack(docs: DataFrame, p: Packing, with_ids: bool = True) -> DataFrame:
     """One row for each piece; sequences are told apart by sequence_id, whose length is tier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ChunkIds(p.tokenizer, p.remembered)
+        known = _known(p.tokenizer, p.remembered)
         packer = Packer(p, TaskContext.get().partitionId() << 33)
         end = np.array([p.end_id], "<u4").tobytes()
         fields = [f.split() for f in SCHEMA.split(", ")]
@@ -206,10 +230,10 @@ def pack(docs: DataFrame, p: Packing, with_ids: bool = True) -> DataFrame:
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(ids), 64):
-                parts = [(t or "").encode().split() for t in texts.slice(at, 64).to_pylist()]
+            for at in range(0, len(ids), 256):
+                parts = [(t or "").encode().split() for t in texts.slice(at, 256).to_pylist()]
                 known.learn(set().union(*parts))
-                for doc, own in zip(ids[at : at + 64], parts):
+                for doc, own in zip(ids[at : at + 256], parts):
                     packer.add(doc, b"".join([*map(known.__getitem__, own), end]))
             if len(packer.out) > 512:
                 yield rows()
