@@ -1,4 +1,6 @@
-"""Queries by name, with the DuckDB SQL that gives the same rows."""
+"""Queries by name, with the DuckDB SQL that gives the same rows where SQL can."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tessera.plans import documents, samples
+
+QUERIES = {name: query for name, (query, _) in documents.QUERIES.items()} | samples.QUERIES
+ORACLE_SQL = {name: sql for name, (_, sql) in documents.QUERIES.items() if sql}

@@ -13,8 +13,8 @@ def spark():
     from pyspark.sql import SparkSession
 
     session = (
-        SparkSession.builder.master("local[8]")
-        .config("spark.sql.shuffle.partitions", "8")
+        SparkSession.builder.master(f"local[{os.environ.get('TEST_CORES', '8')}]")
+        .config("spark.sql.shuffle.partitions", os.environ.get("TEST_CORES", "8"))
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "6g")
         .config("spark.sql.session.timeZone", "UTC")
