@@ -17,55 +17,82 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import identified, table
+from tessera.llm.common import identified, stage, table
 from tessera.llm.unigram import PARTS, SPACE, Vocabulary, default_path, parts
 
 #: Bytes of text in a block, about.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
+
+
+#: An edge is one long, so that a word's edges are few bytes and sort by end, then start: end, start, id + 1.
+_END, _START, _ID = 1 << 40, 1 << 17, (1 << 17) - 1
 
 
 def _edges(words: DataFrame, vocabulary: Vocabulary, spark: SparkSession) -> DataFrame:
-    """block, part and its edges (end, start, score, id), sorted; an id of -1 is a character that is no piece."""
-    rows = [(piece, i, s) for piece, (i, s) in vocabulary.pieces.items()]
-    table = F.broadcast(spark.createDataFrame(rows, "piece string, id int, score double"))
+    """block, part and its edges, sorted; an id of -1 is a character that is no piece."""
+    rows = [(piece, i) for piece, (i, _) in vocabulary.pieces.items()]
+    table = F.broadcast(spark.createDataFrame(rows, "piece string, id int"))
     starts = words.withColumn("start", F.explode(F.sequence(F.lit(0), F.char_length("part") - 1)))
     size = F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.char_length("part") - F.col("start"))))
     substrings = starts.withColumn("size", size).withColumn("piece", F.substring("part", F.col("start") + 1, F.col("size")))
     found = substrings.join(table, "piece", "left").where("id is not null or size = 1")
-    edge = F.struct((F.col("start") + F.col("size")).alias("end"), "start", F.coalesce("score", F.lit(vocabulary.unknown)).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
+    start = F.col("start").cast("long")
+    edge = (start + F.col("size")) * F.lit(_END) + start * F.lit(_START) + F.coalesce("id", F.lit(-1)) + 1
     return found.groupBy("block", "part").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
-def best_path(edges: Column) -> Column:
-    """Edges of the best path, first to last."""
-    start = F.array(F.struct(F.lit(0).alias("end"), F.lit(0).alias("start"), F.lit(0.0).alias("score"), F.lit(-2).alias("id")))
+def piece_score(number: Column, unknown: float) -> Column:
+    """Score by id + 1, as unigram.score gives it."""
+    return F.when(number == 0, F.lit(unknown)).otherwise(-F.rint(16 * F.log((number + 1).cast("double"))) / 16)
+
+
+def best_path(edges: Column, unknown: float) -> Column:
+    """Ids of the best path, first to last."""
+    node = lambda start, score, i: F.array(F.struct(start.cast("int").alias("start"), score.alias("score"), i.cast("int").alias("id")))
 
     def step(nodes: Column, e: Column) -> Column:
-        total = F.get(nodes, e["start"])["score"] + e["score"]
-        node = F.array(F.struct(e["end"].alias("end"), e["start"].alias("start"), total.alias("score"), e["id"].alias("id")))
-        fresh = F.size(nodes) == e["end"]
-        better = total > F.get(nodes, e["end"])["score"]
-        return F.when(fresh, F.concat(nodes, node)).when(better, F.concat(F.slice(nodes, F.lit(1), e["end"]), node)).otherwise(nodes)
+        end, start, number = F.shiftright(e, 40).cast("int"), F.shiftright(e, 17).bitwiseAND((1 << 23) - 1).cast("int"), e.bitwiseAND(_ID)
+        total = F.get(nodes, start)["score"] + piece_score(number, unknown)
+        fresh = F.size(nodes) == end
+        better = total > F.get(nodes, end)["score"]
+        return F.when(fresh, F.concat(nodes, node(start, total, number - 1))).when(better, F.concat(F.slice(nodes, F.lit(1), end), node(start, total, number - 1))).otherwise(nodes)
+
+    nodes = F.aggregate(edges, node(F.lit(0), F.lit(0.0), F.lit(-2)), step)
+
+    def walk(all_nodes: Column) -> Column:
+        begin = F.struct((F.size(all_nodes) - 1).alias("at"), F.array().cast("array<int>").alias("path"))
+        places = F.sequence(F.size(all_nodes) - 1, F.lit(1), F.lit(-1))
+
+        def back(s: Column, place: Column) -> Column:
+            n = F.get(all_nodes, place)
+            return F.when(place == s["at"], F.struct(n["start"].alias("at"), F.concat(F.array(n["id"]), s["path"]).alias("path"))).otherwise(s)
+
+        return F.aggregate(places, begin, back)["path"]
 
-    nodes = F.aggregate(edges, start, step)
-    none = F.array().cast("array<struct<end:int,start:int,score:double,id:int>>")
-    state = F.struct(F.lit(-1).alias("at"), none.alias("path"))
+    return F.transform(F.array(nodes), walk)[0]
 
-    def back(s: Column, n: Column) -> Column:
-        on = (s["at"] == -1) | (n["end"] == s["at"])
-        return F.when(on & (n["id"] != -2), F.struct(n["start"].alias("at"), F.concat(F.array(n), s["path"]).alias("path"))).otherwise(s)
 
-    return F.aggregate(F.reverse(nodes), state, back)["path"]
+@contextmanager
+def wide_aggregates(spark: SparkSession):
+    """Lists of edges stay in memory: a block has a bounded number of parts, and sorting them would spill."""
+    key = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4000000")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def encode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, text and ids (array of int)."""
+    """doc_id, text and ids (array of int); best run within wide_aggregates."""
     spark, vocabulary = docs.sparkSession, Vocabulary.load(path)
     texts = identified(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -74,7 +101,7 @@ def encode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFr
     dealt = texts.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).repartition(int(blocks), "block")
     # doc_id is counted, which is always true, so that both uses of the texts have the same columns and share one shuffle
     words = dealt.select("doc_id", "block", F.explode(parts(F.col("text"))).alias("part")).groupBy("block", "part").agg(F.count("doc_id").alias("n")).where("n >= 0")
-    paths = _edges(words.select("block", "part"), vocabulary, spark).select(F.col("block").alias("own_block"), "part", F.transform(best_path(F.col("edges")), lambda e: e["id"]).alias("ids"))
+    paths = _edges(words.select("block", "part"), vocabulary, spark).select(F.col("block").alias("own_block"), "part", best_path(F.col("edges"), vocabulary.unknown).alias("ids"))
 
     def gather(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = {}
@@ -140,4 +167,6 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = default_path()
     found = decode(encode(table(spark, sf_dir, "documents"), path), path)
     ids_hash = F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").cast("binary"), 256)
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), ids_hash.alias("ids_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+    found = found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), ids_hash.alias("ids_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+    with wide_aggregates(spark):
+        return stage(found)

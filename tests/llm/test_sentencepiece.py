@@ -67,3 +67,10 @@ def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert lattice.encode(empty, PATH).count() == 0
     assert token_counts.count_pieces(empty, PATH).count() == 0
+
+
+def test_scores_in_sql(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(0, 32001).select("id", lattice.piece_score(F.col("id"), -99.0).alias("s")).collect()
+    assert all(r.s == (-99.0 if r.id == 0 else unigram.score(r.id - 1)) for r in rows)
