@@ -3,6 +3,7 @@
 from tessera.llm.embedding_dedup import op10_embedding_dedup
 from tessera.llm.jaccard_join import op6_jaccard_join
 from tessera.llm.language_id import op9_language_id
+from tessera.llm.oracle import OP1_SQL, OP3_SQL, OP6_SQL, OP10_SQL
 from tessera.llm.packing import op7_packing
 from tessera.llm.quality_classifier import op2_quality_classifier
 from tessera.llm.quality_rules import OP4_SQL, op4_quality_rules
@@ -23,4 +24,10 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op4_quality_rules": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": OP1_SQL,
+    "op3_suffix_array_dedup": OP3_SQL,
+    "op4_quality_rules": OP4_SQL,
+    "op6_jaccard_join": OP6_SQL,
+    "op10_embedding_dedup": OP10_SQL,
+}
