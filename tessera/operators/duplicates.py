@@ -61,17 +61,6 @@ def compression_pairs(functions: DataFrame, threshold: float = C.DUPLICATE_DISTA
     return both.select("a", "b", distance(F.col("cx"), F.col("cy"), F.col("cxy")).alias("ncd")).where(F.col("ncd") < threshold)
 
 
-def numbered(functions: DataFrame) -> DataFrame:
-    """func_ord by path and place, from 0: counted on narrow rows, one partition for each range of paths."""
-    order = functions.select("path", "func_idx").orderBy("path", "func_idx")
-    placed = order.withColumn("part", F.spark_partition_id()).withColumn("n", F.monotonically_increasing_id())
-    starts = placed.groupBy("part").agg(F.count("*").alias("rows"), F.min("n").alias("first"))
-    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    starts = starts.select("part", "first", F.coalesce(F.sum("rows").over(w), F.lit(0)).alias("before"))
-    placed = placed.join(F.broadcast(starts), "part").select("path", "func_idx", (F.col("n") - F.col("first") + F.col("before")).alias("func_ord"))
-    return functions.join(placed, ["path", "func_idx"])
-
-
 def _written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
@@ -82,6 +71,26 @@ def _written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_order(rows: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """Rows numbered from 0 in the order of narrow columns that tell them apart.
+
+    The rows are range-partitioned and numbered in their partitions; what stands before a partition is
+    summed over one row a partition. They are written once, so that both steps see the same partitions.
+    """
+    placed = rows.select(*columns).orderBy(*columns).withColumn("n", F.monotonically_increasing_id())
+    placed = _written(placed).withColumn("part", F.shiftright("n", 33))
+    starts = placed.groupBy("part").agg(F.count("*").alias("rows"))
+    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select("part", F.coalesce(F.sum("rows").over(w), F.lit(0)).alias("before"))
+    number = F.col("n").bitwiseAND((1 << 33) - 1) + F.col("before")
+    return placed.join(F.broadcast(starts), "part").select(*columns, number.alias(name))
+
+
+def numbered(functions: DataFrame) -> DataFrame:
+    """func_ord by path and place, from 0."""
+    return functions.join(in_order(functions, ["path", "func_idx"], "func_ord"), ["path", "func_idx"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its least node) of edges(a, b): least labels spread, and jump, until they rest."""
     pairs = edges.select("a", "b").where("a <> b")
@@ -101,8 +110,7 @@ def components(edges: DataFrame) -> DataFrame:
 def clusters(pairs: DataFrame) -> DataFrame:
     """func_ord and cluster: numbered from 0 by first member."""
     found = components(pairs)
-    heads = found.select("component").distinct()
-    rank = heads.withColumn("cluster", F.row_number().over(Window.orderBy("component")) - 1)  # narrow: a row for each cluster
+    rank = in_order(found.select("component").distinct(), ["component"], "cluster")
     return found.join(rank, "component").select(F.col("node").alias("func_ord"), "cluster")
 
 
