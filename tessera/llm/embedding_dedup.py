@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stage, table
+from tessera.llm.common import bounded_sample, stage, table
 from tessera.llm.components import components
 
 
@@ -178,7 +178,7 @@ def near_duplicates(rows: DataFrame, p: Cells = Cells()) -> DataFrame:
     classes = known.where("digest is not null and vec_id is not null").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vector").alias("vector"))
     classes = stage(classes)
     total = classes.count()
-    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(p.sample).select("vector").toPandas()["vector"].tolist()
+    sample = bounded_sample(classes, "rep", p.sample).select("vector").toPandas()["vector"].tolist()
     k = max(1, min(p.most_cells, total // p.per_cell))
     lengths = sorted({len(v) for v in sample})
     centroids = {n // 8: fit_centroids(_unit([v for v in sample if len(v) == n]), k, p) for n in lengths}
