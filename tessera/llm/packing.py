@@ -19,6 +19,7 @@ table gives no rows; columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import bisect
+import gc
 import os
 import sys
 import zlib
@@ -48,6 +49,16 @@ class Packing:
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_id long, ids binary"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters by which byte-level tokenizers name bytes: printable ones by themselves, the rest from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + i) for i, b in enumerate(rest) if b != 10}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 def pack_ids(ids: list[int]) -> bytes:
     out = array("I", ids)
     if sys.byteorder == "big":
@@ -58,8 +69,9 @@ def pack_ids(ids: list[int]) -> bytes:
 class ChunkIds(dict):
     """Ids (little-endian 32-bit, as bytes) by chunk.
 
-    A comma or full stop after an ASCII letter is a token of its own and ASCII letters are
-    lower-cased by this tokenizer family, so such chunks share the ids of their letters.
+    A comma or full stop after a letter is a token of its own and letters are lower-cased by this
+    tokenizer family, so such chunks share the ids of their letters; words of letters up to U+00FF go
+    to its model at once, all else through the whole tokenizer.
     """
 
     def __init__(self, path: str, limit: int):
@@ -74,24 +86,29 @@ class ChunkIds(dict):
         if len(self) + len(new) > self.limit:
             self.clear()
             new = chunks
-        plain, capital, stopped, other = [], [], [], []
-        for c in new:
-            if c[-1] in b",." and c[-2:-1].isalpha():
+        plain, lower, stopped, other = set(), {}, [], []
+
+        def sort(c: bytes) -> None:
+            text = c.decode()
+            if text.isalpha() and max(text) < "\u0100":
+                low = c if text.islower() else text.lower().encode()
+                if low != c:
+                    lower[c] = low
+                if low not in self:
+                    plain.add(low)
+            elif c[-1] in b",." and text[-2:-1].isalpha():
                 stopped.append(c)
-            elif not c.isalpha():
-                other.append(c)
-            elif c.islower():
-                plain.append(c)
+                if c[:-1] not in self and c[:-1] not in new:
+                    sort(c[:-1])
             else:
-                capital.append(c)
-        for c in stopped:
-            core = c[:-1]
-            if core not in self and core not in new:
-                (other if not core.isalpha() else plain if core.islower() else capital).append(core)
-        lower = {c: c.lower() for c in capital}
-        plain += {x for x in lower.values() if x not in self and x not in new}
+                other.append(c)
+
+        for c in new:
+            sort(c)
         tokenize = self.tokenizer.model.tokenize
-        self.update([(c, pack_ids([t.id for t in tokenize(c.decode())])) for c in plain])
+        words = list(plain)
+        texts = b"\n".join(words).decode("latin-1").translate(_BYTE_LETTERS).split("\n")
+        self.update(zip(words, [pack_ids([t.id for t in tokenize(x)]) for x in texts]))
         self._encode(other)
         self.update([(c, self[x]) for c, x in lower.items()])
         if stopped:
@@ -228,17 +245,23 @@ def pack(docs: DataFrame, p: Packing, with_ids: bool = True) -> DataFrame:
                 columns[-1] = [None] * len(columns[0])
             return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
 
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(ids), 256):
-                parts = [(t or "").encode().split() for t in texts.slice(at, 256).to_pylist()]
-                known.learn(set().union(*parts))
-                for doc, own in zip(ids[at : at + 256], parts):
-                    packer.add(doc, b"".join([*map(known.__getitem__, own), end]))
-            if len(packer.out) > 512:
-                yield rows()
-        packer.finish()
-        yield rows()
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here has cycles, and the collector would walk all that is remembered
+        try:
+            for batch in batches:
+                ids, texts = batch.column(0).to_pylist(), batch.column(1)
+                for at in range(0, len(ids), 256):
+                    parts = [(t or "").encode().split() for t in texts.slice(at, 256).to_pylist()]
+                    known.learn(set().union(*parts))
+                    for doc, own in zip(ids[at : at + 256], parts):
+                        packer.add(doc, b"".join([*map(known.__getitem__, own), end]))
+                if len(packer.out) > 512:
+                    yield rows()
+            packer.finish()
+            yield rows()
+        finally:
+            if collecting:
+                gc.enable()
 
     return identified(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
 

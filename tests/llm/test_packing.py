@@ -50,3 +50,17 @@ def test_pieces(spark, round_tokens):
 
 def test_empty(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string"), Packing(PATH)).count() == 0
+
+
+def test_chunks_of_the_corpus(spark):
+    """Ids by chunk are those of whole texts, over a table with accents and capitals."""
+    from tessera.llm.packing import ChunkIds
+
+    tok = Tokenizer.from_file(PATH)
+    known = ChunkIds(PATH, 10_000)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + ["ÀÉ ÿ. ß, ﬁ, İstanbul é, ª. º, µm Ⅷ, x., .,", "Straße STRASSE, ÆØÅ. Ǆ ǆ,"]
+    for text in texts:
+        chunks = text.encode().split()
+        known.learn(set(chunks))
+        got = np.frombuffer(b"".join(known[c] for c in chunks), "<u4").tolist()
+        assert got == tok.encode(text, add_special_tokens=False).ids
