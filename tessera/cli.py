@@ -46,6 +46,10 @@ def _show(table, column: str = "text") -> None:
         print(row[column])
 
 
+def _ratio(files, options) -> float:
+    return analysis.duplicates(files, options).ratio.first().ratio
+
+
 def main(argv: list[str] | None = None) -> int:
     try:
         args = _parser().parse_args(argv)
@@ -82,7 +86,14 @@ def main(argv: list[str] | None = None) -> int:
     overview = scores.project(scored)
     _show(files.where("skip_reason is not null").select(F.format_string("skipped %s (%s)", "path", "skip_reason").alias("text")))
     if args.json:
-        _show(scores.as_json(scored), "json")
+        head = overview.select(F.format_string('{"calibrated":%s,"temperature":%.2f,"project_score":%.1f,"dup_ratio":%.4f,"files":', F.lit(str(calibration.loaded).lower()), F.lit(calibration.temperature), F.col("project_score") * 10, F.lit(_ratio(files, options) if project else 0.0)).alias("text"))
+        print(head.first().text + "[" if project else "[")
+        rows = scores.as_json(scored.orderBy(F.desc("probability"), "path")).toLocalIterator()
+        first = True
+        for row in rows:
+            print(("" if first else ",") + row.json)
+            first = False
+        print("]}" if project else "]")
     else:
         _show(render.file_table(scored))
         if args.command == "report" or getattr(args, "verbose", False):

@@ -14,7 +14,7 @@ def spark():
 
     session = (
         SparkSession.builder.master(f"local[{os.environ.get('TEST_CORES', '8')}]")
-        .config("spark.sql.shuffle.partitions", os.environ.get("TEST_CORES", "8"))
+        .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "6g")
         .config("spark.sql.session.timeZone", "UTC")

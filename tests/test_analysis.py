@@ -174,3 +174,31 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [r.kind for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["narration"]
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    import io
+    import json
+
+    from tessera import cli
+
+    (tmp_path / "a b.ts").write_text("// First, we go\nexport const x = 1;\n")
+    (tmp_path / "empty").mkdir()
+    assert cli.main(["nonsense"]) == 1 and cli.main(["check", str(tmp_path / "none")]) == 1 and cli.main(["--version"]) == 0
+    assert cli.main(["check", str(tmp_path / "a b.ts")]) == 2 and "narration" in capsys.readouterr().out
+    assert cli.main(["check", str(tmp_path / "empty")]) == 0 and "no issues found" in capsys.readouterr().out
+    assert cli.main(["dupes", str(tmp_path)]) == 0
+    capsys.readouterr()
+    assert cli.main(["scan", "--json", str(tmp_path)]) in (0, 1, 2)
+    found = json.loads(capsys.readouterr().out)
+    assert found["calibrated"] is False and found["files"][0]["file"].endswith("a b.ts")
+    stdin = type("In", (), {"buffer": io.BytesIO(b"let x = 1;\n")})()
+    monkeypatch.setattr("sys.stdin", stdin)
+    assert cli.main(["scan", "--stdin", "--lang=js", "--json"]) in (0, 1, 2)
+    assert json.loads(capsys.readouterr().out)[0]["file"] == "<stdin>.js"
+
+
+def test_analyse_keeps_skipped_files(spark):
+    rows = {r.path: r for r in samples.sample_analysis(spark, "").collect()}
+    assert rows["app/generated.ts"].skipped and rows["app/generated.ts"].raw_score is None
+    assert rows["app/users.ts"].findings > 5
