@@ -7,7 +7,7 @@ which then need no tree. A word goes if a window of ``width`` words that covers
 a document with a smaller id.
 
 Defined results: a null or blank text has no words and keeps the empty string; documents of fewer
-than ``width`` words lose nothing; of equal documents the one with the smallest id stays whole; an
+than ``width`` words lose nothing; of equal documents the one with the smallest id stays whole; a null doc_id keeps its words; an
 empty table gives no rows. Columns other than doc_id and text are ignored; doc_id identifies a
 document.
 """

@@ -49,3 +49,6 @@ def test_against_brute_force(spark, p):
 
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+    rows = [(None, [1.0, 2.0], 1), (1, [1.0, 2.0], 1), (2, [1.0, 2.0], 1)]
+    got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {(r.vec_id, r.component_id, r.kept) for r in got} >= {(1, 1, True), (2, 1, False)} and len(got) == 3

@@ -17,7 +17,7 @@ def docs(n=400):
     rows = [(0, None), (1, ""), (2, " \n ")]
     for d in range(3, n):
         rows.append((d, " ".join(r.choice(vocab) for _ in range(int(r.paretovariate(0.7)) % 9000))))
-    return rows + [(5, "again"), (5, "again")]
+    return rows + [(5, "again"), (5, "again"), (None, "no id")]
 
 
 @pytest.mark.parametrize("round_tokens", [1 << 18, 3000])

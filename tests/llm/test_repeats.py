@@ -93,6 +93,12 @@ def test_empty_table_and_odd_columns(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, seed long, lo int")
     assert suf.remove_repeats(empty).count() == 0
     assert sub.remove_repeated_words(empty).count() == 0
+    long = "word " * 500
+    df = spark.createDataFrame([(None, long, "s"), (None, None, None), (7, "short", "s"), (8, long, "s")], "doc_id long, text string, source string")
+    got = {(r.doc_id, r.n_bytes): r.n_removed for r in suf.remove_repeats(df, carry=("source",), whole_characters=True).collect()}
+    assert got == {(None, 2500): 0, (None, 0): 0, (7, 5): 0, (8, 2500): 2500}
+    got = {(r.doc_id, r.n_words): r.n_removed for r in sub.remove_repeated_words(df).collect()}
+    assert got == {(None, 500): 0, (None, 0): 0, (7, 1): 0, (8, 500): 0}
 
 
 def test_queries_on_a_table(spark, tmp_path):
