@@ -101,6 +101,8 @@ def find_anchors(symbols: np.ndarray, bounds: np.ndarray, p: Windows) -> tuple[n
 
 
 def anchors(docs: DataFrame, p: Windows) -> DataFrame:
+    """seed, doc_id and places: position, first and last window start of each occurrence, one after the other."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
@@ -109,13 +111,18 @@ def anchors(docs: DataFrame, p: Windows) -> DataFrame:
                 symbols, bounds = _symbols(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], p.unit)
                 key, pos, lo, hi = find_anchors(symbols, bounds, p)
                 row = np.searchsorted(bounds, pos, side="right") - 1
-                at = bounds[row]
+                order = np.lexsort((pos, key, row))
+                key, row = key[order], row[order]
+                places = np.stack([x[order] - bounds[row] for x in (pos, lo, hi)], axis=1).astype(np.int32)
+                # a seed that a document has many times is one row
+                head = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (key[1:] != key[:-1])])) if len(key) else np.zeros(0, np.int64)
+                ends = np.append(head, len(key)).astype(np.int32) * 3
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), ids.take(pa.array(row + i)), *[pa.array((x - at).astype(np.int32)) for x in (pos, lo, hi)]],
-                    names=["seed", "doc_id", "pos", "lo", "hi"],
+                    [pa.array(key[head].view(np.int64)), ids.take(pa.array(row[head] + i)), pa.ListArray.from_arrays(pa.array(ends), pa.array(places.ravel()))],
+                    names=["seed", "doc_id", "places"],
                 )
 
-    return docs.mapInArrow(run, "seed long, doc_id long, pos int, lo int, hi int")
+    return docs.mapInArrow(run, "seed long, doc_id long, places array<int>")
 
 
 def _contexts(joined: DataFrame, p: Windows) -> DataFrame:
@@ -140,13 +147,13 @@ def _contexts(joined: DataFrame, p: Windows) -> DataFrame:
                 units = data if p.unit == "byte" else data.split()  # bytes split at exactly the bytes 9 to 13 and 32
                 doc = ids[k].as_py()
                 found = hits[k].values.flatten()
-                cols = [found[c].to_pylist() for c in range(5)]
-                places: dict[tuple, list[int]] = {}
-                for seed, pos, lo, hi, crowded in zip(*cols):
-                    end = hi + p.width
-                    piece = units[lo:end] if p.unit == "byte" else b" ".join(units[lo:end])
-                    places.setdefault((seed, crowded, pos - lo, end - lo, piece), []).append(pos)
-                for (seed, crowded, left, length, piece), pos in places.items():
+                equal: dict[tuple, list[int]] = {}
+                for seed, places, crowded in zip(*[found[c].to_pylist() for c in range(3)]):
+                    for pos, lo, hi in zip(places[::3], places[1::3], places[2::3]):
+                        end = hi + p.width
+                        piece = units[lo:end] if p.unit == "byte" else b" ".join(units[lo:end])
+                        equal.setdefault((seed, crowded, pos - lo, end - lo, piece), []).append(pos)
+                for (seed, crowded, left, length, piece), pos in equal.items():
                     own = int.from_bytes(hashlib.blake2b(piece, digest_size=8, key=b"%d" % left).digest(), "little", signed=True) if crowded else None
                     for x, v in zip(out, (seed, crowded, doc, pos, left, length, own, piece)):
                         x.append(v)
@@ -309,9 +316,9 @@ def repeated_spans(docs: DataFrame, p: Windows, resolve: Callable[[Batch], tuple
     """doc_id and spans: array of (lo, hi), in symbols; every repeated window lies in one of them."""
     texts = identified(docs, "doc_id", "text").where("doc_id is not null and text is not null")
     found = stage(anchors(texts, p))
-    often = stage(found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1"))
+    often = stage(found.groupBy("seed").agg((F.sum(F.size("places")) / 3).alias("n")).where("n > 1"))
     hits = found.join(often, "seed").withColumn("crowded", F.col("n") > p.group_limit)
-    hits = hits.groupBy("doc_id").agg(F.collect_list(F.struct("seed", "pos", "lo", "hi", "crowded")).alias("hits"))
+    hits = hits.groupBy("doc_id").agg(F.collect_list(F.struct("seed", "places", "crowded")).alias("hits"))
     contexts = stage(_contexts(texts.join(hits, "doc_id"), p))
     usual = contexts.where("not crowded").select("seed", F.col("doc_id").alias("key"), F.col("doc_id").alias("doc"), F.size("pos").cast("long").alias("copies"), "pos", "left", "context")
     spans = _resolved(usual, p, resolve).select(F.col("key").alias("doc_id"), _placed(F.col("lo"), F.col("hi")))
