@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 
 import pandas as pd
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from tessera import constants as C
+from tessera.sources.staging import written
 
 
 def pair_candidates(rows: DataFrame, key: str, size: str, group: str | None, ratio: float = C.SIZE_RATIO) -> DataFrame:
@@ -61,16 +60,6 @@ def compression_pairs(functions: DataFrame, threshold: float = C.DUPLICATE_DISTA
     return both.select("a", "b", distance(F.col("cx"), F.col("cy"), F.col("cxy")).alias("ncd")).where(F.col("ncd") < threshold)
 
 
-def _written(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    path = f"{where}/components-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def in_order(rows: DataFrame, columns: list[str], name: str) -> DataFrame:
     """Rows numbered from 0 in the order of narrow columns that tell them apart.
 
@@ -78,7 +67,7 @@ def in_order(rows: DataFrame, columns: list[str], name: str) -> DataFrame:
     summed over one row a partition. They are written once, so that both steps see the same partitions.
     """
     placed = rows.select(*columns).orderBy(*columns).withColumn("n", F.monotonically_increasing_id())
-    placed = _written(placed).withColumn("part", F.shiftright("n", 33))
+    placed = written(placed).withColumn("part", F.shiftright("n", 33))
     starts = placed.groupBy("part").agg(F.count("*").alias("rows"))
     w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select("part", F.coalesce(F.sum("rows").over(w), F.lit(0)).alias("before"))
@@ -94,13 +83,13 @@ def numbered(functions: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its least node) of edges(a, b): least labels spread, and jump, until they rest."""
     pairs = edges.select("a", "b").where("a <> b")
-    both = _written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")))
+    both = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")))
     while True:
         around = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         nearer = labels.join(around, "node", "left").select("node", F.least("component", "near").alias("component"), F.col("component").alias("old"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        nearer = _written(nearer.join(jump, "component", "left").select("node", F.least("component", "further").alias("component"), "old"))
+        nearer = written(nearer.join(jump, "component", "left").select("node", F.least("component", "further").alias("component"), "old"))
         changed = nearer.where("component <> old").limit(1).count()
         labels = nearer.select("node", "component")
         if not changed:

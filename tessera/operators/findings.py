@@ -229,11 +229,10 @@ def dead_code(functions: DataFrame, words: DataFrame) -> DataFrame:
     return each.unionByName(_finding(total, "dead-code", GENERAL, F.format_string("%d unused functions, %d dead lines total", "n", "lines"), F.lit(0), F.lit(1 << 40)))
 
 
-def check(files: DataFrame, include_general: bool = False) -> DataFrame:
+def check(files: DataFrame, include_general: bool = False, tables: lexer.Tables | None = None) -> DataFrame:
     """path, seq, kind, severity, line and message of the findings in all files that are not skipped."""
-    lexed = lexer.lex(files.where("skip_reason is null"))
-    lines = lexer.lines(lexed)
-    functions = lexer.functions(lexed, lines)
+    tables = tables or lexer.tables(files)
+    lexed, lines, functions = tables.lexed, tables.lines, tables.functions
     metrics = file_metrics(lexed, lines, functions)
     found = [
         narration(lines), comment_gradient(metrics), redundant_copies(functions), overwraps(lines, functions), null_checks(lines),

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tessera import constants as C
 from tessera.functions import text as T
+from tessera.sources.staging import written
 
 _QUOTED = rb'"(?:[^"\\\n]|\\[\s\S])*+(?:"|(?=\n)|\Z)|' + rb"'(?:[^'\\\n]|\\[\s\S])*+(?:'|(?=\n)|\Z)"
 _TOKENS = {
@@ -195,3 +197,19 @@ def overwraps(lines_: DataFrame) -> DataFrame:
     tries = rows.where(is_try & F.col("close").isNotNull()).select("path", "line", "pos", F.col("close.pos").alias("until"))
     inner = tries.alias("a").join(tries.alias("b"), F.expr("a.path = b.path and b.pos <= a.pos and a.pos < b.until"))
     return inner.groupBy("a.path", "a.line", "a.pos").agg(F.count("*").alias("nested")).where("nested > 2").select("path", "line", "pos", F.col("nested").alias("depth"))
+
+
+@dataclass(frozen=True)
+class Tables:
+    """What all later steps read; each file is lexed once and the tables are written."""
+
+    lexed: DataFrame
+    lines: DataFrame
+    functions: DataFrame
+
+
+def tables(files: DataFrame) -> Tables:
+    """Tables of the files that are not skipped."""
+    lexed = written(lex(files.where("skip_reason is null")))
+    rows = written(lines(lexed))
+    return Tables(lexed, rows, written(functions(lexed, rows)))

@@ -13,6 +13,7 @@ from tessera.operators import features, findings, lexer, scores
 from tessera.sources import files as sources
 from tessera.sources import history
 from tessera.sources.settings import Calibration, as_table
+from tessera.sources.staging import written
 
 
 @dataclass(frozen=True)
@@ -25,8 +26,8 @@ class Options:
     cross_language: bool = False
 
 
-def check(files: DataFrame, options: Options = Options()) -> DataFrame:
-    return findings.check(files, options.include_general)
+def check(files: DataFrame, options: Options = Options(), tables: lexer.Tables | None = None) -> DataFrame:
+    return findings.check(files, options.include_general, tables)
 
 
 @dataclass(frozen=True)
@@ -38,21 +39,20 @@ class Duplicates:
     ratio: DataFrame
 
 
-def duplicates(files: DataFrame, options: Options = Options(), most: int | None = 20) -> Duplicates:
+def duplicates(files: DataFrame, options: Options = Options(), most: int | None = 20, tables: lexer.Tables | None = None) -> Duplicates:
     """Near-duplicate functions of a project."""
-    functions = D.numbered(lexer.functions(lexer.lex(sources.analysed(files))))
+    functions = D.numbered((tables or lexer.tables(files)).functions)
     functions = functions.withColumn("body", F.encode("body", "ISO-8859-1")).where(F.octet_length("body") >= C.LEAST_BODY)
-    pairs = D.compression_pairs(functions, options.threshold, None if options.cross_language else "family")
-    members = D.clusters(pairs)
+    functions = written(functions)
+    pairs = written(D.compression_pairs(functions, options.threshold, None if options.cross_language else "family"))
+    members = written(D.clusters(pairs))
     return Duplicates(functions, pairs, members, D.cluster_table(pairs, members, most), D.duplicate_ratio(functions, members))
 
 
-def measured(files: DataFrame, options: Options = Options(), project: bool = True) -> DataFrame:
+def measured(files: DataFrame, options: Options = Options(), project: bool = True, tables: lexer.Tables | None = None) -> DataFrame:
     """File metrics with what the score needs besides: compression, history, dead lines, the project's duplicates."""
-    kept = sources.analysed(files)
-    lexed = lexer.lex(kept)
-    lines = lexer.lines(lexed)
-    functions = lexer.functions(lexed, lines)
+    kept, tables = sources.analysed(files), tables or lexer.tables(files)
+    lexed, lines, functions = tables.lexed, tables.lines, tables.functions
     metrics = features.file_metrics(lexed, lines, functions)
     metrics = metrics.join(kept.select("path", D.compress_ratio(F.col("content")).alias("compression_ratio")), "path")
     dead = findings.dead_functions(functions, lexer.words(lines)).groupBy("path").agg(F.sum("lines").cast("long").alias("dead_lines"))
@@ -61,19 +61,20 @@ def measured(files: DataFrame, options: Options = Options(), project: bool = Tru
         style = history.commit_style(history.read_commits(kept, options.git_folder)).select("path", "composite")
         metrics = metrics.join(style, "path", "left")
     if project:
-        metrics = metrics.crossJoin(F.broadcast(duplicates(files, options).ratio.select(F.col("ratio").alias("dup_ratio"))))
+        metrics = metrics.crossJoin(F.broadcast(duplicates(files, options, tables=tables).ratio.select(F.col("ratio").alias("dup_ratio"))))
     return metrics
 
 
-def scan(files: DataFrame, options: Options = Options(), project: bool = True) -> DataFrame:
+def scan(files: DataFrame, options: Options = Options(), project: bool = True, tables: lexer.Tables | None = None) -> DataFrame:
     """Scores of the files that are not skipped; a single file or stream has no project."""
-    return scores.score_files(measured(files, options, project), options.calibration, options.prior)
+    return scores.score_files(measured(files, options, project, tables), options.calibration, options.prior)
 
 
 def report(files: DataFrame, options: Options = Options(include_general=True)) -> dict[str, DataFrame]:
-    scored = scan(files, options)
-    found = check(files, options)
-    dup = duplicates(files, options)
+    tables = lexer.tables(files)
+    scored = written(scan(files, options, tables=tables))
+    found = written(check(files, options, tables))
+    dup = duplicates(files, options, tables=tables)
     return {
         "overview": scores.project(scored).crossJoin(F.broadcast(dup.ratio)),
         "files": scored.orderBy("path"),
@@ -89,9 +90,10 @@ def report(files: DataFrame, options: Options = Options(include_general=True)) -
 
 def analyse(files: DataFrame, options: Options = Options(include_general=True), project: bool = True) -> DataFrame:
     """A row for every file, skipped ones included: score, findings as an array, line counts."""
-    scored = scan(files, options, project)
+    tables = lexer.tables(files)
+    scored = scan(files, options, project, tables)
     row = F.struct("seq", "kind", "severity", "line", "message")
-    found = check(files, options).groupBy("path").agg(F.array_sort(F.collect_list(row)).alias("findings"))
+    found = check(files, options, tables).groupBy("path").agg(F.array_sort(F.collect_list(row)).alias("findings"))
     rows = files.select("path", "family", "language", F.col("skip_reason").isNotNull().alias("skipped"))
     return rows.join(scored, "path", "left").join(found, "path", "left")
 

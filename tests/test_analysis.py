@@ -3,6 +3,8 @@
 import subprocess
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import scoring as S
@@ -202,3 +204,11 @@ def test_analyse_keeps_skipped_files(spark):
     rows = {r.path: r for r in samples.sample_analysis(spark, "").collect()}
     assert rows["app/generated.ts"].skipped and rows["app/generated.ts"].raw_score is None
     assert rows["app/users.ts"].findings > 5
+
+
+@given(st.binary(max_size=200).map(lambda b: b.translate(bytes(b"ab \n\"'`/*#\\{}()"[i % 15] for i in range(256)))), st.sampled_from(["c-like", "python", "shell"]))
+def test_lexer_keeps_places(content, family):
+    code, kinds = lexer.classify(content, family)
+    assert len(code) == len(kinds) == len(content)
+    for c, x, k in zip(content, code, kinds):
+        assert (c == 10) == (k == 10) and (x == c if k in b"0\n" else x == 32)
