@@ -43,7 +43,7 @@ class Packing:
     tiers: tuple[int, ...] = (256, 512, 1024, 2048)
     round_tokens: int = 1 << 18  # of waiting pieces before a round of packing
     step_tokens: int = 1 << 15
-    remembered: int = 1_500_000  # chunks whose ids a worker remembers
+    remembered: int = 300_000  # chunks whose ids a worker remembers
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_id long, ids binary"
