@@ -81,7 +81,7 @@ GO_HOOKS = ("BeforeCreate", "AfterCreate", "BeforeUpdate", "AfterUpdate", "Befor
 COMMIT_TYPES = ("feat", "fix", "chore", "docs", "style", "refactor", "test", "ci", "perf", "build")
 
 # Thresholds.
-SLOPPY, MODERATE, MILD = 0.85, 0.60, 0.40
+FLAGGED, MODERATE, MILD = 0.85, 0.60, 0.40
 CLAMP, CLAMP_UNCALIBRATED, CLAMP_NO_RATIO, CLAMP_SMALL = 3.0, 1.5, 1.5, 1.0
 LEAST_LINES, LEAST_DEFECTS, TREND = 60, 4, 0.5
 GRADIENT_LINES, GRADIENT_COMMENTS, GRADIENT = 25, 6, 3.0

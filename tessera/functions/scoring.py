@@ -37,11 +37,11 @@ def prior_llr(prior: float) -> float:
 
 
 def label(p: Column) -> Column:
-    return F.when(p >= C.SLOPPY, "sloppy").when(p >= C.MODERATE, "moderate").when(p >= C.MILD, "mild").otherwise("clean")
+    return F.when(p >= C.FLAGGED, "sloppy").when(p >= C.MODERATE, "moderate").when(p >= C.MILD, "mild").otherwise("clean")
 
 
 def exit_code(p: Column) -> Column:
-    return F.when(p >= C.SLOPPY, 2).when(p >= C.MODERATE, 1).otherwise(0)
+    return F.when(p >= C.FLAGGED, 2).when(p >= C.MODERATE, 1).otherwise(0)
 
 
 def within(x: Column, bounds: tuple[float, float]) -> Column:

@@ -112,8 +112,8 @@ def project(scores: DataFrame, probability: str = "probability", code_lines: str
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
     return scores.agg(
         F.coalesce(F.sum(p * w) / F.sum(w), F.lit(0.0)).alias("project_score"),
-        F.coalesce(count(p >= C.SLOPPY), F.lit(0)).alias("sloppy"),
-        F.coalesce(count((p >= C.MODERATE) & (p < C.SLOPPY)), F.lit(0)).alias("moderate"),
+        F.coalesce(count(p >= C.FLAGGED), F.lit(0)).alias("sloppy"),
+        F.coalesce(count((p >= C.MODERATE) & (p < C.FLAGGED)), F.lit(0)).alias("moderate"),
         F.coalesce(count(p < C.MODERATE), F.lit(0)).alias("clean"),
         F.coalesce(F.max(S.exit_code(p)), F.lit(0)).alias("exit_code"),
     )

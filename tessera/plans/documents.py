@@ -49,7 +49,7 @@ def _within(x: str, bounds: tuple[float, float]) -> str:
     return f"(1 - least(greatest(({x} - {bounds[0]}e0) / {bounds[1]}e0, 0e0), 1e0))"
 
 
-_LABEL = f"CASE WHEN probability >= {C.SLOPPY} THEN 'sloppy' WHEN probability >= {C.MODERATE} THEN 'moderate' WHEN probability >= {C.MILD} THEN 'mild' ELSE 'clean' END"
+_LABEL = f"CASE WHEN probability >= {C.FLAGGED} THEN 'sloppy' WHEN probability >= {C.MODERATE} THEN 'moderate' WHEN probability >= {C.MILD} THEN 'mild' ELSE 'clean' END"
 _IN = lambda words: ", ".join(f"'{w}'" for w in words)
 _SOLID = r"'[^ \t\r\f\x0B]'"
 _LINES = """l AS (
