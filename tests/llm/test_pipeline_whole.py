@@ -43,3 +43,14 @@ def test_near_copies_by_five_words(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = {r.doc_id for r in cp.drop_near_copies(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).collect()}
     assert got == brute_near(docs, 5, 80) != brute_near(docs, 3, 90)
+
+
+def test_repeated_rows_keep_one_whole_text(spark):
+    r = random.Random(1)
+    long, other, lone = (" ".join(f"{k}{r.randrange(10**6)}" for _ in range(90)) for k in "abc")
+    docs = [(5, long), (5, long), (5, long), (6, other), (6, None), (6, ""), (7, "short"), (None, lone), (None, lone)]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in docs], SCHEMA).repartition(4)
+    kept = cp.drop_near_copies(spark, df, "")
+    assert kept.columns == list(cp.COLUMNS)
+    rows = [(x.doc_id, x.text, x.n_chars) for x in cp.cut_repeats(spark, kept, "").collect()]
+    assert len(long) > 400 and sorted(rows, key=str) == sorted([(d, t, len(t)) for d, t in ((5, long), (6, other), (7, "short"), (None, lone), (None, lone))], key=str)
