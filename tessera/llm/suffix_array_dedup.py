@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import identified, table
+from tessera.llm.common import identified, table, words
 from tessera.llm.repeats import Batch, Windows, common, repeated_spans, row_order
 
 BYTES = Windows(width=400, seed=64, unit="byte", earlier_only=False)
@@ -102,21 +102,37 @@ def _whole_characters(data: bytes, runs: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, p: Windows = BYTES, carry: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
-    """doc_id, the columns named in carry, kept (binary: the bytes that stay), n_bytes, n_removed, n_spans."""
+def _word_bytes(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of words as spans of bytes."""
+    if not spans:
+        return []
+    starts, ends, _ = words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    return [(int(starts[lo]), int(ends[hi - 1])) for lo, hi in spans]
+
+
+def remove_repeats(docs: DataFrame, p: Windows = BYTES, carry: tuple[str, ...] = (), whole_characters: bool = False, passages: Windows | None = None) -> DataFrame:
+    """doc_id, the columns named in carry, kept (binary: the bytes that stay), n_bytes, n_removed, n_spans.
+
+    With ``passages``, windows of words, the words that lie in a repeated one go as well.
+    """
     texts = identified(docs, "doc_id", "text", *carry)
     types = {f.name: f.dataType.simpleString() for f in texts.schema}
     spans = repeated_spans(docs, p, repeat_groups)
+    if passages:
+        both = spans.withColumn("unit", F.lit("byte")).unionByName(repeated_spans(docs, passages, repeat_groups).withColumn("unit", F.lit("word")))
+        spans = both.groupBy("doc_id").agg(*[F.flatten(F.collect_list(F.when(F.col("unit") == u, F.col("spans")))).alias(c) for u, c in (("byte", "spans"), ("word", "word_spans"))])
+    found_columns = ["spans", "word_spans"] if passages else ["spans"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 512):
                 batch = whole.slice(at, 512)
-                texts, found = batch.column(batch.schema.get_field_index("text")), batch.column(batch.schema.get_field_index("spans"))
+                texts, *found = (batch.column(batch.schema.get_field_index(c)) for c in ("text", *found_columns))
                 kept, counts = [], []
                 for k in range(len(batch)):
                     data = (texts[k].as_py() or "").encode()
-                    runs = merged([(x["lo"], x["hi"]) for x in found[k].as_py()]) if found[k].is_valid else []
+                    own = [[(x["lo"], x["hi"]) for x in f[k].as_py() or []] for f in found]
+                    runs = merged(own[0] + _word_bytes(data, own[1]) if passages else own[0])
                     if whole_characters:
                         runs = _whole_characters(data, runs)
                     parts, done = [], 0
@@ -128,7 +144,7 @@ def remove_repeats(docs: DataFrame, p: Windows = BYTES, carry: tuple[str, ...] =
                 columns = [pa.array([c[i] for c in counts], pa.int64()) for i in range(3)]
                 yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", *carry)], pa.array(kept, pa.binary()), *columns], names=["doc_id", *carry, "kept", "n_bytes", "n_removed", "n_spans"])
 
-    joined = texts.join(spans, "doc_id", "left").select("doc_id", *carry, "text", "spans")
+    joined = texts.join(spans, "doc_id", "left").select("doc_id", *carry, "text", *found_columns)
     extra = "".join(f"`{c}` {types[c]}, " for c in carry)
     return joined.mapInArrow(cut, f"doc_id long, {extra}kept binary, n_bytes long, n_removed long, n_spans long")
 

@@ -1,7 +1,12 @@
 import random
 import re
+from collections import defaultdict
+from dataclasses import replace
+
+import pytest
 
 import corpus_pipeline as cp
+from tessera.llm import suffix_array_dedup as suf
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.001"
@@ -54,3 +59,56 @@ def test_repeated_rows_keep_one_whole_text(spark):
     assert kept.columns == list(cp.COLUMNS)
     rows = [(x.doc_id, x.text, x.n_chars) for x in cp.cut_repeats(spark, kept, "").collect()]
     assert len(long) > 400 and sorted(rows, key=str) == sorted([(d, t, len(t)) for d, t in ((5, long), (6, other), (7, "short"), (None, lone), (None, lone))], key=str)
+
+
+def brute_cut(docs, width, n_words):
+    """Bytes left when repeated strings of width bytes and repeated runs of n_words words are gone."""
+    data = {d: t.encode() for d, t in docs}
+    spans = {d: [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)] for d, b in data.items()}
+    where = defaultdict(list)
+    for d, b in data.items():
+        for i in range(len(b) - width + 1):
+            where[b[i : i + width]].append((d, i, i + width))
+        for i in range(len(spans[d]) - n_words + 1):
+            run = spans[d][i : i + n_words]
+            where[tuple(b[x:y] for x, y in run)].append((d, run[0][0], run[-1][1]))
+    gone = {d: bytearray(len(b)) for d, b in data.items()}
+    for places in where.values():
+        for d, x, y in places if len(places) > 1 else ():
+            gone[d][x:y] = b"\1" * (y - x)
+    return {d: bytes(c for c, g in zip(b, gone[d]) if not g) for d, b in data.items()}
+
+
+def passages(seed):
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghij\u00e9") for _ in range(r.randrange(3, 7)))
+    shared = [[word() for _ in range(n)] for n in (50, 51, 64, 80)]
+    docs = []
+    for d in range(40):
+        words = [word() for _ in range(r.randrange(60))] + shared[d % 4] + [word() for _ in range(r.randrange(60))]
+        docs.append((d, "".join(w + r.choice([" ", " ", "  ", "\n"]) for w in words)))
+    solid = "".join(word() for _ in range(200))  # over 400 bytes, one word
+    return docs + [(50, solid + " one"), (51, "two " + solid), (52, ""), (53, "k " * 60), (54, "k " * 60)]
+
+
+def test_passages_of_over_50_words(spark):
+    docs = passages(4)
+    want = brute_cut(docs, 400, 51)
+    got = {r.doc_id: r.text.encode() for r in cp.cut_repeats(spark, frame(spark, docs), "").collect()}
+    assert got == want
+    assert all(len(want[d]) < len(t.encode()) for d, t in docs if d < 40 and d % 4)
+
+
+@pytest.mark.parametrize("limit", [4096, 3])
+def test_passages_in_crowded_groups(spark, limit):
+    docs = passages(5)
+    p, q = (replace(x, group_limit=limit, batch=20) for x in (replace(suf.BYTES, width=60, seed=12), replace(cp.PASSAGES, width=12, seed=3)))
+    got = {r.doc_id: bytes(r.kept) for r in suf.remove_repeats(frame(spark, docs), p, passages=q).collect()}
+    assert got == brute_cut(docs, 60, 12)
+
+
+def test_cut_repeats_on_a_table(spark):
+    df = cp.drop_near_copies(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    want = brute_cut([(r.doc_id, r.text) for r in df.collect()], 400, 51)
+    for r in cp.cut_repeats(spark, df, SF).collect():
+        assert 0 <= len(r.text.encode()) - len(want[r.doc_id]) <= 60  # characters that stay whole
