@@ -176,7 +176,10 @@ FROM layout JOIN naming USING (doc_id)"""
 
 
 def document_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The metrics of a score for documents, all from row-local expressions: nothing is shuffled."""
+    """Layout and naming of documents alone, from row-local expressions; what needs the lexer counts as 0.
+
+    The scores from them are those of SQL. ``tessera.plans.tables`` has the full scan.
+    """
     docs = _documents(spark, sf_dir)
     text = F.col("text")
     w = T.identifiers(text)
