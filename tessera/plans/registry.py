@@ -2,5 +2,5 @@
 
 from tessera.plans import documents, samples, tables
 
-QUERIES = {name: query for name, (query, _) in documents.QUERIES.items()} | samples.QUERIES | tables.SCANS
+QUERIES = {name: query for name, (query, _) in documents.QUERIES.items()} | samples.QUERIES | tables.SCANS | tables.TABLES
 ORACLE_SQL = {name: sql for name, (_, sql) in documents.QUERIES.items() if sql}

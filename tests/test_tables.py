@@ -1,5 +1,5 @@
 from tessera.operators import scores
-from tessera.plans import analysis, tables
+from tessera.plans import analysis, registry, tables
 
 TEXTS = {
     1: "// First, we read\n// Next, we write\n// Then we stop\n/* a block\nof two lines */\nfunction readIt(a) {\n  // TODO later\n  return a;\n}\n",
@@ -41,3 +41,20 @@ def test_scores_see_comments(spark, tmp_path):
         assert measured[str(d), "comment-to-code"] == f"{comment / code:.2f}"
         assert measured[str(d), "narration"] == f"{'yes' if narration >= 3 else 'no'} ({narration} hits)"
         assert measured[str(d), "func length CV"] == f"n/a ({int(d == 1)} funcs)"
+
+
+def test_whole_tables_are_read(spark, tmp_path):
+    write(spark, tmp_path)
+    at = str(tmp_path)
+    assert set(tables.TABLES) <= set(registry.QUERIES)
+    kinds = {}
+    for r in tables.table_lines(spark, at).collect():
+        kinds.setdefault(r.path, []).append(r.kind)
+    for d, t in TEXTS.items():
+        found = kinds[f"documents/{d}"]
+        assert (found.count("code"), found.count("comment")) == brute(t)[:2]
+    assert kinds["conversations/1/1"] == ["comment"] and kinds["pages/1.js"] == ["comment", "code", "code", "code", "blank"]
+    names = {(r.path, r.name) for r in tables.table_functions(spark, at).collect()}
+    assert {("documents/1", "readIt"), ("pages/1.js", "onPage"), ("dup/a.ts", "fetchProfile")} <= names
+    want = {"pages/1.js", "conversations/1/0", "conversations/1/1", *(f"documents/{d}" for d in TEXTS)}
+    assert want <= {r.path for r in tables.table_analysis(spark, at).collect()}
