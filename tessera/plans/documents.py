@@ -411,14 +411,17 @@ AND greatest(strlen(x.text), strlen(y.text)) <= 2 * least(strlen(x.text), strlen
 
 
 def _copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges of documents with the same text: from each copy to the one before it, so a group is a chain."""
-    docs = _documents(spark, sf_dir).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
-    w = Window.partitionBy("digest").orderBy("doc_id")
-    return docs.select(F.lag("doc_id").over(w).alias("a"), F.col("doc_id").alias("b")).where("a is not null")
+    """node and component: each document with the same text as another, and the least of them.
+
+    Equal texts need no search: the least is a partial aggregate, joined back.
+    """
+    docs = _documents(spark, sf_dir).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest")).where("doc_id is not null")
+    least = docs.groupBy("digest").agg(F.min("doc_id").alias("component"), F.max("doc_id").alias("most")).where("component < most")
+    return docs.join(least, "digest").select(F.col("doc_id").alias("node"), "component").distinct()
 
 
 def exact_components(spark, sf_dir):
-    return duplicates.components(_copies(spark, sf_dir)).select(F.col("node").alias("doc_id"), "component")
+    return _copies(spark, sf_dir).select(F.col("node").alias("doc_id"), "component")
 
 
 _COPIES = "g AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(coalesce(text, ''))) AS component, count(*) OVER (PARTITION BY md5(coalesce(text, ''))) AS n FROM documents)"
@@ -427,7 +430,7 @@ EXACT_COMPONENTS = f"WITH {_COPIES} SELECT doc_id, component FROM g WHERE n > 1"
 
 def cluster_stats(spark, sf_dir):
     """Groups of equal documents by size, all of them."""
-    found = duplicates.components(_copies(spark, sf_dir))
+    found = _copies(spark, sf_dir)
     return found.groupBy("component").agg(F.count("*").alias("size")).select("component", "size")
 
 
@@ -436,7 +439,7 @@ CLUSTER_STATS = f"WITH {_COPIES} SELECT component, count(*) AS size FROM g WHERE
 
 def duplicate_ratio(spark, sf_dir):
     docs = _documents(spark, sf_dir).select(F.col("text").cast("binary").alias("body"))
-    clustered = duplicates.components(_copies(spark, sf_dir))
+    clustered = _copies(spark, sf_dir)
     return _rounded(duplicates.duplicate_ratio(docs, clustered), "ratio")
 
 

@@ -1,5 +1,5 @@
 from tessera.operators import scores
-from tessera.plans import analysis, registry, tables
+from tessera.plans import analysis, documents, registry, tables
 
 TEXTS = {
     1: "// First, we read\n// Next, we write\n// Then we stop\n/* a block\nof two lines */\nfunction readIt(a) {\n  // TODO later\n  return a;\n}\n",
@@ -58,3 +58,11 @@ def test_whole_tables_are_read(spark, tmp_path):
     assert {("documents/1", "readIt"), ("pages/1.js", "onPage"), ("dup/a.ts", "fetchProfile")} <= names
     want = {"pages/1.js", "conversations/1/0", "conversations/1/1", *(f"documents/{d}" for d in TEXTS)}
     assert want <= {r.path for r in tables.table_analysis(spark, at).collect()}
+
+
+def test_copies_meet_by_partial_aggregates(spark, tmp_path):
+    rows = [(d, "same") for d in (9, 4, 4, 7, None)] + [(1, "alone"), (2, None), (3, "")]
+    spark.createDataFrame([(d, t, "en", "s") for d, t in rows], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = documents.exact_components(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == [(2, 2), (3, 2), (4, 4), (7, 4), (9, 4)]
+    assert "Window" not in documents._copies(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
