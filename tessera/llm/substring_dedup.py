@@ -2,8 +2,8 @@
 
 Suffixes are split by a prefix of ``seed`` words into groups that fit in memory, a batch of
 groups becomes one suffix tree, and every internal node deep enough gives the repeats that its
-leaves share. A group beyond ``group_limit`` is split by longer prefixes, up to the whole window,
-which then need no tree. A word goes if a window of ``width`` words that covers it also starts in
+leaves share. A group with more than ``group_limit`` different contexts has no tree: its whole
+windows are hashed and counted. A word goes if a window of ``width`` words that covers it also starts in
 a document with a smaller id.
 
 Defined results: a null or blank text has no words and keeps the empty string; documents of fewer
