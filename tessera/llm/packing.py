@@ -12,8 +12,10 @@ Every task packs the documents it reads, round by round over a bounded number of
 is shuffled, and a task that is run again packs the same rows the same way. Tokens are found by
 white-space-separated chunk and remembered, since the tokenizer never joins across white space.
 
-Defined results: a null or empty text is the end id alone; repeated rows are packed each; an empty
-table gives no rows; columns other than doc_id and text are ignored.
+Defined results: a null or empty text is the end id alone; a text of any length is cut into windows as
+it is; repeated rows are packed each; pieces of equal size go in the order of arrival; a null doc_id
+stays null; an empty table gives no rows; columns other than doc_id and text are ignored. The last
+step group of each tier of a task may stay partial.
 """
 
 from __future__ import annotations
@@ -59,19 +61,33 @@ def _byte_letters() -> dict[int, str]:
 _BYTE_LETTERS = _byte_letters()
 
 
+_LITTLE = sys.byteorder == "little"
+
+
 def pack_ids(ids: list[int]) -> bytes:
     out = array("I", ids)
-    if sys.byteorder == "big":
+    if not _LITTLE:
         out.byteswap()
     return out.tobytes()
 
 
+def _plain(low: str) -> bool:
+    """Whether a lower-cased word has letters up to U+00FF alone."""
+    return low.isalpha() and (low.isascii() or max(low) < "\u0100")
+
+
+def _ends_word(letter: str) -> bool:
+    """Letters after which a stop is cut off: those whose lower case is one letter too, without a mark that joins the stop."""
+    return letter.isalpha() and letter < "\u0250" and len(letter.lower()) == 1
+
+
 class ChunkIds(dict):
     """Ids (little-endian 32-bit, as bytes) by chunk.
 
-    A comma or full stop after a letter is a token of its own and letters are lower-cased by this
-    tokenizer family, so such chunks share the ids of their letters; words of letters up to U+00FF go
-    to its model at once, all else through the whole tokenizer.
+    In this tokenizer family a comma or full stop after a letter is a token of its own and letters are
+    lower-cased, so such chunks share the ids of their letters, and words of letters up to U+00FF go to the
+    model at once. All else goes through the whole tokenizer, and so does everything if the file at hand
+    does not keep these rules (``shortcuts``).
     """
 
     def __init__(self, path: str, limit: int):
@@ -80,40 +96,66 @@ class ChunkIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.words: dict[str, bytes] = {}
+        self.whole = not self._chunks_stand_alone()
+        self.shortcuts = not self.whole and self._rules_hold()
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _chunks_stand_alone(self) -> bool:
+        """Whether white space only parts chunks: neither a token of its own nor a part of one."""
+        chunks = ["It's", "a", "Word,", "42", "\u00e9t\u00e9.", "(x)", "a"]
+        apart = [i for c in chunks for i in self._ids(c)]
+        return all(self._ids(space.join(chunks)) == apart for space in (" ", "  ", "\n", "\t", "\r", "\x0b", "\x0c"))
+
+    def _rules_hold(self) -> bool:
+        letters = [c for c in map(chr, range(0x250)) if _ends_word(c)]
+        stops = all(self._ids(f"b{c}{m}") == self._ids(f"b{c}") + self._ids(m) for c in letters for m in ",.")
+        words = [w for c in letters if c < "\u0100" for w in (c, f"{c}b", f"Ab{c}ab") if _plain(w.lower())]
+        return stops and all(pack_ids(self._ids(w)) == self._word(w.lower()) for w in words)
+
+    def _word(self, low: str) -> bytes:
+        """Ids of a word of lower-case letters by the model alone."""
+        text = low if low.isascii() else low.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return pack_ids([t.id for t in self.tokenizer.model.tokenize(text)])
 
     def learn(self, chunks: set[bytes]) -> None:
-        new = chunks - self.keys()
+        new = list(chunks.difference(self))
         if len(self) + len(new) > self.limit:
             self.clear()
-            new = chunks
-        plain, lower, stopped, other = set(), {}, [], []
-
-        def sort(c: bytes) -> None:
-            text = c.decode()
-            if text.isalpha() and max(text) < "\u0100":
-                low = c if text.islower() else text.lower().encode()
-                if low != c:
-                    lower[c] = low
-                if low not in self:
-                    plain.add(low)
-            elif c[-1] in b",." and text[-2:-1].isalpha():
-                stopped.append(c)
-                if c[:-1] not in self and c[:-1] not in new:
-                    sort(c[:-1])
+            self.words.clear()
+            new = list(chunks)
+        if not new:
+            return
+        if not self.shortcuts:
+            return self._encode(new)
+        words, tokenize = self.words, self.tokenizer.model.tokenize
+        plain, stopped, tails, other = [], [], [], []
+        for c, text in zip(new, b"\n".join(new).decode().split("\n")):
+            stop = text[-1]
+            if stop == "," or stop == ".":
+                text = text[:-1]
+                if not (text and _ends_word(text[-1])):
+                    other.append(c)
+                    continue
+            low = text.lower()
+            if low.isalpha() and (low.isascii() or _plain(low)):
+                if low not in words:
+                    words[low] = array("I", [t.id for t in tokenize(low)]).tobytes() if low.isascii() and _LITTLE else self._word(low)
+                if stop == "," or stop == ".":
+                    stopped.append((c, low))
+                else:
+                    plain.append((c, low))
+            elif stop == "," or stop == ".":
+                tails.append(c)
             else:
                 other.append(c)
-
-        for c in new:
-            sort(c)
-        tokenize = self.tokenizer.model.tokenize
-        words = list(plain)
-        texts = b"\n".join(words).decode("latin-1").translate(_BYTE_LETTERS).split("\n")
-        self.update(zip(words, [pack_ids([t.id for t in tokenize(x)]) for x in texts]))
-        self._encode(other)
-        self.update([(c, self[x]) for c, x in lower.items()])
-        if stopped:
-            self._encode([m for m in (b",", b".") if m not in self])
-            self.update([(c, self[c[:-1]] + self[c[-1:]]) for c in stopped])
+        heads = {c[:-1] for c in tails}.difference(self, other)
+        self._encode([*other, *heads, *[m for m in (b",", b".") if m not in self and m not in new]])
+        self.update([(c, words[low]) for c, low in plain])
+        self.update([(c, words[low] + self[c[-1:]]) for c, low in stopped])
+        self.update([(c, self[c[:-1]] + self[c[-1:]]) for c in tails])
 
     def _encode(self, chunks: list[bytes]) -> None:
         for at in range(0, len(chunks), 4096):
@@ -249,9 +291,14 @@ def pack(docs: DataFrame, p: Packing, with_ids: bool = True) -> DataFrame:
         gc.disable()  # nothing here has cycles, and the collector would walk all that is remembered
         try:
             for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), batch.column(1)
+                ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
                 for at in range(0, len(ids), 256):
-                    parts = [(t or "").encode().split() for t in texts.slice(at, 256).to_pylist()]
+                    own_texts = [t or b"" for t in texts.slice(at, 256).to_pylist()]
+                    if known.whole:
+                        for doc, t in zip(ids[at : at + 256], own_texts):
+                            packer.add(doc, pack_ids(known._ids(t.decode())) + end)
+                        continue
+                    parts = [t.split() for t in own_texts]
                     known.learn(set().union(*parts))
                     for doc, own in zip(ids[at : at + 256], parts):
                         packer.add(doc, b"".join([*map(known.__getitem__, own), end]))

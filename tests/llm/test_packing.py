@@ -64,3 +64,46 @@ def test_chunks_of_the_corpus(spark):
         known.learn(set(chunks))
         got = np.frombuffer(b"".join(known[c] for c in chunks), "<u4").tolist()
         assert got == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_fuzzed_chunks():
+    """Stops after letters of any kind, marks and capitals whose lower case has two characters."""
+    import sys
+    import unicodedata
+
+    from tessera.llm.packing import ChunkIds
+
+    r = random.Random(8)
+    tok, known = Tokenizer.from_file(PATH), ChunkIds(PATH, 10_000)
+    assert known.shortcuts and not known.whole
+    letters = [c for c in map(chr, range(sys.maxunicode)) if unicodedata.category(c)[0] in "LMN"]
+    odd = [c for c in letters if len(c.lower()) > 1 or unicodedata.normalize("NFC", c) != c] + ["İ", "ı", "ß", "ẞ", "ǅ", "ª", "̇", "क़", "'", "-"]
+    for _ in range(20_000):
+        chunks = []
+        for _ in range(r.randrange(1, 5)):
+            word = "".join(r.choice(r.choice([odd, "abcXYZéÜß", "abcdefgh", letters[:600], letters])) for _ in range(r.randrange(1, 6)))
+            chunks.append((word + r.choice([",", ".", "", "", ".,", "'s,"])).encode())
+        known.learn(set(chunks))
+        got = np.frombuffer(b"".join(known[c] for c in chunks), "<u4").tolist()
+        assert got == tok.encode(b" ".join(chunks).decode(), add_special_tokens=False).ids, chunks
+
+
+def test_other_tokenizers_are_encoded_whole(spark):
+    """A file that does not keep the chunk rules is used without them."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(1, "Two words, one space."), (2, " a  b\n\nc"), (3, None), (4, "İstanbul, İ.")]
+    tok = Tokenizer.from_file(path)
+    got = {}
+    for r in pack(spark.createDataFrame(rows, "doc_id long, text string"), Packing(path, end_id=50256)).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.ids))
+    for d, t in rows:
+        assert np.frombuffer(b"".join(x for _, x in sorted(got[d])), "<u4").tolist() == tok.encode(t or "", add_special_tokens=False).ids + [50256]
+
+
+def test_very_long_text(spark):
+    text = "word, " * 400_000 + "z" * 100_000
+    rows = [(1, text), (2, text), (3, "")]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string"), Packing(PATH), with_ids=False).collect()
+    n = len(Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids) + 1
+    totals = {d: sum(r.length for r in got if r.doc_id == d) for d in (1, 2, 3)}
+    assert totals == {1: n, 2: n, 3: 1} and all(0 < r.length <= 2048 for r in got)
