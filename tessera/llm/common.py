@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -169,5 +170,13 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+#: Words of more bytes get a cryptographic hash, since sums modulo 2 ** 64 are known to agree for some long words.
+LONG_WORD = 256
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mix(span_hash(prefix_hash(BYTE_SYMBOLS[raw]), starts, ends) + (ends - starts).astype(np.uint64))
+    """64 bits for each word."""
+    out = mix(span_hash(prefix_hash(BYTE_SYMBOLS[raw]), starts, ends) + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out

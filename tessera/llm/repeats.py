@@ -9,9 +9,12 @@ carries the symbols that those windows cover, to the left and to the right.
 
 Seeds that occur once in the corpus are dropped by a count (partial sums before the shuffle);
 the others are grouped by seed. ``resolve`` is the caller's index structure over one batch of
-whole groups. For seeds with more than ``group_limit`` occurrences equal contexts are merged first;
-seeds with more different contexts than that never meet in one task: their windows are hashed
-(128 bits) and counted by Spark.
+whole groups. For seeds with more than ``group_limit`` occurrences equal contexts are merged first.
+A seed with more different contexts than that is split by longer prefixes: a window that covers the
+seed has some number ``e`` of symbols from the seed's start on, and a group is a range of ``e``. All
+windows of the range ``a`` to ``b`` agree in ``a`` symbols onward and ``width - b`` symbols back, so contexts
+that differ there part; each context is cut to what such windows can cover, and equal ones merge.
+Ranges are halved until every group fits; a range of one value is one window, and one group of one.
 """
 
 from __future__ import annotations
@@ -100,8 +103,20 @@ def find_anchors(symbols: np.ndarray, bounds: np.ndarray, p: Windows) -> tuple[n
     return key[pos[head]], pos[head], start[head], start[tail]
 
 
-def anchors(docs: DataFrame, p: Windows) -> DataFrame:
-    """seed, doc_id and places: position, first and last window start of each occurrence, one after the other."""
+def numbered(docs: DataFrame, *carry: str, nulls: bool = True) -> DataFrame:
+    """row, doc_id, text and the columns named in carry, row telling the rows apart: doc_id itself where that does.
+
+    With ``nulls`` false a null doc_id is no fault, since such rows take no part in the search.
+    """
+    texts = identified(docs, "doc_id", "text", *carry)
+    same = texts.groupBy("doc_id").agg(F.count("*").alias("n"))
+    if same.where("n > 1 and doc_id is not null" + " or doc_id is null" * nulls).limit(1).count():
+        return stage(texts.select(F.monotonically_increasing_id().alias("row"), *texts.columns))
+    return texts.select(F.col("doc_id").alias("row"), *texts.columns)
+
+
+def anchors(texts: DataFrame, p: Windows) -> DataFrame:
+    """seed, row and places: position, first and last window start of each occurrence, one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,18 +134,18 @@ def anchors(docs: DataFrame, p: Windows) -> DataFrame:
                 ends = np.append(head, len(key)).astype(np.int32) * 3
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key[head].view(np.int64)), ids.take(pa.array(row[head] + i)), pa.ListArray.from_arrays(pa.array(ends), pa.array(places.ravel()))],
-                    names=["seed", "doc_id", "places"],
+                    names=["seed", "row", "places"],
                 )
 
-    return docs.mapInArrow(run, "seed long, doc_id long, places array<int>")
+    return texts.select("row", "text").mapInArrow(run, "seed long, row long, places array<int>")
 
 
 def _contexts(joined: DataFrame, p: Windows) -> DataFrame:
     """Anchors of repeated seeds with the text that their windows cover; equal ones of a document share a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["seed", "crowded", "doc_id", "pos", "left", "units", "own", "context"]
-        types = [pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+        names = ["seed", "crowded", "row", "doc", "pos", "left", "units", "own", "context"]
+        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
         out: list[list] = [[] for _ in names]
         size = 0
 
@@ -141,11 +156,11 @@ def _contexts(joined: DataFrame, p: Windows) -> DataFrame:
             return batch
 
         for batch in batches:
-            ids, texts, hits = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text", "hits"))
+            rows, docs, texts, hits = (batch.column(batch.schema.get_field_index(c)) for c in ("row", "doc", "text", "hits"))
             for k in range(len(batch)):
                 data = texts[k].as_py().encode()
                 units = data if p.unit == "byte" else data.split()  # bytes split at exactly the bytes 9 to 13 and 32
-                doc = ids[k].as_py()
+                row, doc = rows[k].as_py(), docs[k].as_py()
                 found = hits[k].values.flatten()
                 equal: dict[tuple, list[int]] = {}
                 for seed, places, crowded in zip(*[found[c].to_pylist() for c in range(3)]):
@@ -154,8 +169,8 @@ def _contexts(joined: DataFrame, p: Windows) -> DataFrame:
                         piece = units[lo:end] if p.unit == "byte" else b" ".join(units[lo:end])
                         equal.setdefault((seed, crowded, pos - lo, end - lo, piece), []).append(pos)
                 for (seed, crowded, left, length, piece), pos in equal.items():
-                    own = int.from_bytes(hashlib.blake2b(piece, digest_size=8, key=b"%d" % left).digest(), "little", signed=True) if crowded else None
-                    for x, v in zip(out, (seed, crowded, doc, pos, left, length, own, piece)):
+                    own = int.from_bytes(hashlib.blake2b(piece, digest_size=8, key=b"%d %d" % (seed, left)).digest(), "little", signed=True) if crowded else None
+                    for x, v in zip(out, (seed, crowded, row, doc, pos, left, length, own, piece)):
                         x.append(v)
                     size += len(piece) + 40
                 if size > 1 << 20:
@@ -164,7 +179,7 @@ def _contexts(joined: DataFrame, p: Windows) -> DataFrame:
         if out[0]:
             yield flush()
 
-    return joined.mapInArrow(run, "seed long, crowded boolean, doc_id long, pos array<int>, left int, units int, own long, context binary")
+    return joined.mapInArrow(run, "seed long, crowded boolean, row long, doc long, pos array<int>, left int, units int, own long, context binary")
 
 
 class Batch:
@@ -265,64 +280,93 @@ def _placed(lo, hi):
     return F.transform("pos", lambda x: F.struct((x + lo).alias("lo"), (x + hi).alias("hi"))).alias("spans")
 
 
-def _by_windows(classes: DataFrame, p: Windows) -> DataFrame:
-    """The same for seeds with too many contexts for one task, by counts of whole windows alone.
+def _halved(crowded: DataFrame, p: Windows) -> DataFrame:
+    """Classes of groups that are too large -> their parts in both halves of the range of e: parent, and columns of a class."""
+    schema = "parent long, grp long, a int, b int, node long, copies long, least long, left int, units int, context binary"
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    names = [f.split()[0] for f in schema.split(", ")]
 
-    All windows of a context cover its seed, so those that repeat have a first and a last one and
-    leave no gap: one row for each context, whatever the number of its windows.
-    """
+    def digest(kind: str, a: int, b: int, left: int, data: bytes) -> int:
+        return int.from_bytes(hashlib.blake2b(data, digest_size=8, key=f"{kind} {a} {b} {left}".encode()).digest(), "little", signed=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seed, own, left, context = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("seed", "own", "left", "context"))
-            for s, o, x, c in zip(seed, own, left, context):
-                units = c if p.unit == "byte" else c.split(b" ")
-                n = len(units) - p.width + 1
-                parts = (units[i : i + p.width] for i in range(n))
-                digest = [hashlib.blake2b(u if p.unit == "byte" else b" ".join(u), digest_size=16).digest() for u in parts]
-                yield pa.RecordBatch.from_arrays([pa.array([s] * n, pa.int64()), pa.array([o] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32) - np.int32(x)), pa.array(digest, pa.binary())], names=["seed", "own", "at", "window"])
-
-    pieces = classes.select("seed", "own", "left", "context").mapInArrow(run, "seed long, own long, at int, window binary")
-    pieces = pieces.join(classes.select("seed", "own", "copies", "least"), ["seed", "own"])
-    totals = pieces.groupBy("window").agg(F.sum("copies").alias("total"), F.min("least").alias("smallest"))
-    found = pieces.join(totals, "window").where("smallest < least" if p.earlier_only else "total > 1")
-    return found.groupBy("seed", "own").agg(F.min("at").alias("lo"), (F.max("at") + p.width).alias("hi")).select("seed", F.col("own").alias("key"), "lo", "hi")
+        for whole in batches:
+            for at in range(0, len(whole), 512):
+                batch = whole.slice(at, 512)
+                rows = []
+                for node, a, b, copies, least, left, context in zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("node", "a", "b", "copies", "least", "left", "context")]):
+                    units = context if p.unit == "byte" else context.split(b" ")
+                    right, middle = len(units) - left, (a + b) // 2
+                    for lo, hi in ((a, middle), (middle + 1, b)):
+                        back, on = min(left, p.width - lo), min(right, hi)
+                        if right < lo or left < p.width - hi:
+                            continue  # it has no window of this half
+                        cut = units[left - back : left + on]
+                        core = units[left - (p.width - hi) : left + lo]
+                        if p.unit == "word":
+                            cut, core = b" ".join(cut), b" ".join(core)
+                        rows.append((node, digest("group", lo, hi, 0, core), lo, hi, digest("class", lo, hi, back, cut), copies, least, back, back + on, cut))
+                columns = list(zip(*rows)) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+    return crowded.select("node", "a", "b", "copies", "least", "left", "context").mapInArrow(run, schema)
+
+
+def _class_spans(classes: DataFrame, p: Windows, resolve: Callable[[Batch], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """node, lo, hi: the repeated symbols of each class (grp, a, b, node, copies, least, left, units, context), for its least document."""
+    sizes = classes.groupBy("grp").agg(F.count("*").alias("n"))
+    classes = stage(classes.join(sizes, "grp"))
+    few = classes.where((F.col("n") <= p.group_limit) & ((F.col("n") > 1) | (F.col("copies") > 1)))
+    few = few.select(F.col("grp").alias("seed"), F.col("node").alias("key"), F.col("least").alias("doc"), "copies", F.array(F.lit(0)).alias("pos"), "left", "context")
+    found = _resolved(few, p, resolve).select(F.col("key").alias("node"), "lo", "hi")
+    crowded = classes.where(F.col("n") > p.group_limit)
+    if not crowded.limit(1).count():
+        return found
+    parts = stage(_halved(crowded, p))
+    children = parts.groupBy("node").agg(*[F.first(c).alias(c) for c in ("grp", "a", "b", "left", "units", "context")], F.sum("copies").alias("copies"), F.min("least").alias("least"))
+    children = stage(children)
+    below = children.select("node", F.col("least").alias("first_doc")).join(_class_spans(children, p, resolve), "node", "left")
+    back = parts.select("parent", "node", "least", "left", "units").join(below, "node")
+    lo, hi = F.col("lo"), F.col("hi")
+    if p.earlier_only:
+        later = F.col("least") > F.col("first_doc")
+        lo, hi = F.when(later, -F.col("left")).otherwise(lo), F.when(later, F.col("units") - F.col("left")).otherwise(hi)
+    # windows of one class all cover its seed, so their union has no gap
+    back = back.groupBy(F.col("parent").alias("node")).agg(F.min(lo).alias("lo"), F.max(hi).alias("hi")).where("lo is not null")
+    return found.unionByName(back)
 
 
 def _crowded(contexts: DataFrame, p: Windows, resolve: Callable[[Batch], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """Spans for very frequent seeds: equal contexts are merged before they meet in a task."""
-    classes = contexts.groupBy("seed", "own").agg(F.sum(F.size("pos")).alias("copies"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("left").alias("left"), F.first("context").alias("context"))
+    merged = [F.first(c).alias(c) for c in ("left", "units", "context")]
+    classes = contexts.groupBy("seed", "own").agg(F.sum(F.size("pos")).alias("copies"), F.min("doc").alias("least"), F.max("doc").alias("most"), *merged)
     classes = stage(classes)
-    sizes = classes.groupBy("seed").agg(F.count("*").alias("n"))
-    classes = stage(classes.join(sizes, "seed"))
-    few = classes.where(F.col("n") <= p.group_limit).select("seed", F.col("own").alias("key"), F.col("least").alias("doc"), "copies", F.array(F.lit(0)).alias("pos"), "left", "context")
-    found = _resolved(few, p, resolve).drop("pos")
-    many = classes.where(F.col("n") > p.group_limit)
-    if many.limit(1).count():
-        found = found.unionByName(_by_windows(many, p))
-    found = classes.select("seed", F.col("own").alias("key"), "least", "most").join(found, ["seed", "key"], "left")
+    whole = classes.select(F.col("seed").alias("grp"), F.lit(p.seed).alias("a"), F.lit(p.width).alias("b"), F.col("own").alias("node"), "copies", "least", "left", "units", "context")
+    found = classes.select(F.col("own").alias("node"), "least", "most").join(_class_spans(whole, p, resolve), "node", "left")
     found = stage(found.where("lo is not null or most > least" if p.earlier_only else "lo is not null"))
-    members = contexts.select("seed", F.col("own").alias("key"), "doc_id", "pos", "left", "units").join(found, ["seed", "key"])
+    members = contexts.select(F.col("own").alias("node"), "row", "doc", "pos", "left", "units").join(found, "node")
     first, last = F.col("lo"), F.col("hi")
     if p.earlier_only:  # a later document repeats the whole context of the least one
-        later = F.col("doc_id") > F.col("least")
+        later = F.col("doc") > F.col("least")
         first = F.when(later, -F.col("left")).otherwise(first)
         last = F.when(later, F.col("units") - F.col("left")).otherwise(last)
-    members = members.select("doc_id", "pos", first.alias("first"), last.alias("last")).where("first is not null")
-    return members.select("doc_id", _placed(F.col("first"), F.col("last")))
+    members = members.select("row", "pos", first.alias("first"), last.alias("last")).where("first is not null")
+    return members.select("row", _placed(F.col("first"), F.col("last")))
 
 
-def repeated_spans(docs: DataFrame, p: Windows, resolve: Callable[[Batch], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """doc_id and spans: array of (lo, hi), in symbols; every repeated window lies in one of them."""
-    texts = identified(docs, "doc_id", "text").where("doc_id is not null and text is not null")
+def repeated_spans(texts: DataFrame, p: Windows, resolve: Callable[[Batch], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """row and spans: array of (lo, hi), in symbols; every repeated window lies in one of them. texts: row, doc_id, text."""
+    texts = texts.where("text is not null").select("row", F.col("doc_id" if p.earlier_only else "row").alias("doc"), "text")
+    if p.earlier_only:
+        texts = texts.where("doc is not null")
     found = stage(anchors(texts, p))
     often = stage(found.groupBy("seed").agg((F.sum(F.size("places")) / 3).alias("n")).where("n > 1"))
     hits = found.join(often, "seed").withColumn("crowded", F.col("n") > p.group_limit)
-    hits = hits.groupBy("doc_id").agg(F.collect_list(F.struct("seed", "places", "crowded")).alias("hits"))
-    contexts = stage(_contexts(texts.join(hits, "doc_id"), p))
-    usual = contexts.where("not crowded").select("seed", F.col("doc_id").alias("key"), F.col("doc_id").alias("doc"), F.size("pos").cast("long").alias("copies"), "pos", "left", "context")
-    spans = _resolved(usual, p, resolve).select(F.col("key").alias("doc_id"), _placed(F.col("lo"), F.col("hi")))
+    hits = hits.groupBy("row").agg(F.collect_list(F.struct("seed", "places", "crowded")).alias("hits"))
+    contexts = stage(_contexts(texts.join(hits, "row"), p))
+    usual = contexts.where("not crowded").select("seed", F.col("row").alias("key"), "doc", F.size("pos").cast("long").alias("copies"), "pos", "left", "context")
+    spans = _resolved(usual, p, resolve).select(F.col("key").alias("row"), _placed(F.col("lo"), F.col("hi")))
     crowded = contexts.where("crowded")
     if crowded.limit(1).count():
         spans = spans.unionByName(_crowded(crowded, p, resolve))
-    return spans.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return spans.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))

@@ -2,14 +2,15 @@
 
 Suffixes are split by a prefix of ``seed`` words into groups that fit in memory, a batch of
 groups becomes one suffix tree, and every internal node deep enough gives the repeats that its
-leaves share. A group with more than ``group_limit`` different contexts has no tree: its whole
-windows are hashed and counted. A word goes if a window of ``width`` words that covers it also starts in
+leaves share. A group with more than ``group_limit`` different contexts is split by longer prefixes (see
+``repeats``) until each part has a tree of its own. A word goes if a window of ``width`` words that covers it also starts in
 a document with a smaller id.
 
 Defined results: a null or blank text has no words and keeps the empty string; documents of fewer
-than ``width`` words lose nothing; of equal documents the one with the smallest id stays whole; a null doc_id keeps its words; an
-empty table gives no rows. Columns other than doc_id and text are ignored; doc_id identifies a
-document.
+than ``width`` words lose nothing; a text of any length is searched whole; of equal documents the one with
+the smallest id stays whole; rows that repeat a doc_id are judged each, and none has a smaller id than the
+other; a null doc_id is smaller than none, so such a row keeps its words and takes none; an empty table
+gives no rows. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import identified, table
-from tessera.llm.repeats import Batch, Windows, common, repeated_spans, row_order
+from tessera.llm.common import table
+from tessera.llm.repeats import Batch, Windows, common, numbered, repeated_spans, row_order
 
 WORDS = Windows(width=50, seed=8, unit="word", earlier_only=True)
 
@@ -87,8 +88,8 @@ def deep_nodes(batch: Batch) -> tuple[np.ndarray, np.ndarray]:
 
 def remove_repeated_words(docs: DataFrame, p: Windows = WORDS) -> DataFrame:
     """doc_id, kept (the words that stay, joined by one space), n_words, n_removed."""
-    texts = identified(docs, "doc_id", "text")
-    spans = repeated_spans(docs, p, deep_nodes)
+    texts = numbered(docs, nulls=False)
+    spans = repeated_spans(texts, p, deep_nodes)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -109,7 +110,7 @@ def remove_repeated_words(docs: DataFrame, p: Windows = WORDS) -> DataFrame:
                     gone.append(len(own) - len(stay))
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=["doc_id", "kept", "n_words", "n_removed"])
 
-    joined = texts.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
+    joined = texts.join(spans, "row", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(cut, "doc_id long, kept string, n_words long, n_removed long")
 
 

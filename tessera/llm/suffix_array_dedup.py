@@ -7,10 +7,10 @@ bytes. Its members are then split by what stands to their left: members that als
 context agrees with its nearest neighbour's bounds the repeat on that side. Intervals whose
 members differ at once on the left have no such group and are passed over.
 
-Defined results: a null text counts as empty; texts shorter than ``width`` lose nothing; equal
-rows are occurrences of each other; an empty table gives no rows; a null doc_id keeps its bytes.
-Columns other than doc_id and text are ignored. Rows that repeat a doc_id must repeat its text:
-the operator expects doc_id to identify a document.
+Defined results: a null text counts as empty; texts shorter than ``width`` lose nothing; a text of any
+length is searched whole; every row is a document of its own, also if its doc_id is repeated, so equal
+rows are occurrences of each other; a row with a null doc_id is an occurrence too, but keeps its own
+bytes; an empty table gives no rows. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import identified, table, words
-from tessera.llm.repeats import Batch, Windows, common, repeated_spans, row_order
+from tessera.llm.common import table, words
+from tessera.llm.repeats import Batch, Windows, common, numbered, repeated_spans, row_order
 
 BYTES = Windows(width=400, seed=64, unit="byte", earlier_only=False)
 
@@ -115,12 +115,12 @@ def remove_repeats(docs: DataFrame, p: Windows = BYTES, carry: tuple[str, ...] =
 
     With ``passages``, windows of words, the words that lie in a repeated one go as well.
     """
-    texts = identified(docs, "doc_id", "text", *carry)
+    texts = numbered(docs, *carry)
     types = {f.name: f.dataType.simpleString() for f in texts.schema}
-    spans = repeated_spans(docs, p, repeat_groups)
+    spans = repeated_spans(texts, p, repeat_groups)
     if passages:
-        both = spans.withColumn("unit", F.lit("byte")).unionByName(repeated_spans(docs, passages, repeat_groups).withColumn("unit", F.lit("word")))
-        spans = both.groupBy("doc_id").agg(*[F.flatten(F.collect_list(F.when(F.col("unit") == u, F.col("spans")))).alias(c) for u, c in (("byte", "spans"), ("word", "word_spans"))])
+        both = spans.withColumn("unit", F.lit("byte")).unionByName(repeated_spans(texts, passages, repeat_groups).withColumn("unit", F.lit("word")))
+        spans = both.groupBy("row").agg(*[F.flatten(F.collect_list(F.when(F.col("unit") == u, F.col("spans")))).alias(c) for u, c in (("byte", "spans"), ("word", "word_spans"))])
     found_columns = ["spans", "word_spans"] if passages else ["spans"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +144,8 @@ def remove_repeats(docs: DataFrame, p: Windows = BYTES, carry: tuple[str, ...] =
                 columns = [pa.array([c[i] for c in counts], pa.int64()) for i in range(3)]
                 yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", *carry)], pa.array(kept, pa.binary()), *columns], names=["doc_id", *carry, "kept", "n_bytes", "n_removed", "n_spans"])
 
-    joined = texts.join(spans, "doc_id", "left").select("doc_id", *carry, "text", *found_columns)
+    named = F.col("doc_id").isNotNull()
+    joined = texts.join(spans, "row", "left").select("doc_id", *carry, "text", *[F.when(named, F.col(c)).alias(c) for c in found_columns])
     extra = "".join(f"`{c}` {types[c]}, " for c in carry)
     return joined.mapInArrow(cut, f"doc_id long, {extra}kept binary, n_bytes long, n_removed long, n_spans long")
 

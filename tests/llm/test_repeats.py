@@ -108,3 +108,47 @@ def test_queries_on_a_table(spark, tmp_path):
     assert got == {d: (a, b, hashlib.sha256(k).hexdigest()) for d, (a, b, _, k) in brute_bytes(docs, 400).items()}
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in sub.op1_substring_dedup(spark, str(tmp_path)).collect()}
     assert got == {d: (a, b, hashlib.sha256(k.encode()).hexdigest()) for d, (a, b, k) in brute_words(docs, 50).items()}
+
+
+def test_repeated_and_missing_ids(spark):
+    """Each row is searched and cut by itself; a row without an id counts as an occurrence and keeps its own bytes."""
+    r = random.Random(9)
+    text = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    p, q, alone = text(80), text(80), text(80)
+    rows = [(1, p), (1, q), (2, alone), (3, q + " tail of three"), (None, alone), (4, p)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(x.doc_id), x.n_bytes, x.n_removed) for x in suf.remove_repeats(df).collect())
+    want = [("1", len(p), len(p)), ("1", len(q), len(q)), ("2", len(alone), len(alone)), ("3", len(q) + 14, len(q)), ("4", len(p), len(p)), ("None", len(alone), 0)]
+    cut = {x[:2]: x[2] for x in got}
+    assert sorted(cut) == sorted(w[:2] for w in want)
+    for d, n, gone in want:  # the blank before a tail may repeat by chance; no other byte may
+        assert cut[d, n] in (gone, gone + 1), (d, n)
+    got = sorted((str(x.doc_id), x.n_words, x.n_removed) for x in sub.remove_repeated_words(df).collect())
+    assert got == [("1", 80, 0), ("1", 80, 0), ("2", 80, 0), ("3", 83, 80), ("4", 80, 80), ("None", 80, 0)]
+
+
+def test_long_words_that_sums_cannot_tell_apart(spark):
+    a = "a"
+    for _ in range(11):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, a + " " + rest[:150]), (2, b + " " + rest[:150])], "doc_id long, text string")
+    p = replace(sub.WORDS, width=10, seed=3)
+    got = {x.doc_id: x.n_removed for x in sub.remove_repeated_words(df, p).collect()}
+    assert got == {1: 0, 2: len(rest[:150].split())}
+
+
+def test_hot_passage_in_many_contexts(spark):
+    """One passage in more different surroundings than a group may have: every level of prefixes is needed."""
+    r = random.Random(11)
+    passage = [f"p{i}" for i in range(14)]
+    docs = []
+    for d in range(300):
+        before, after = ([f"{r.choice('abc')}{r.randrange(40)}" for _ in range(r.randrange(8))] for _ in range(2))
+        docs.append((d, " ".join(before + passage[r.randrange(3) : 14 - r.randrange(3)] + after)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    p = replace(sub.WORDS, width=10, seed=3, group_limit=20, batch=30)
+    assert {x.doc_id: (x.n_words, x.n_removed, x.kept) for x in sub.remove_repeated_words(df, p).collect()} == brute_words(docs, 10)
+    p = replace(suf.BYTES, width=30, seed=8, group_limit=20, batch=30)
+    assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in suf.remove_repeats(df, p).collect()} == brute_bytes(docs, 30)
