@@ -1,20 +1,25 @@
 """N-gram Jaccard join in metric space, exact.
 
-Jaccard distance is a metric. First the corpus falls apart into families that cannot be linked
-to each other: within a band of set sizes two linked sets differ in at most ``t`` shingles, so if
-the shingles are dealt to ``t + 2`` parts by hash, two parts at least are equal. Sets that share a
-part's content (and all that hang together through such parts) form one family. Each family is
-then joined recursively: pivots create Voronoi regions, a document goes to the region of its
-nearest pivot, and the triangle inequality gives the window of other regions whose members may
-still be within reach: ``d(x, p_j) <= d(x, p_i) + 2 r``. Documents within ``r`` of a pivot
-are linked to it at once. Regions that do not shrink are compared through their posting lists.
-
-A family beyond ``family_limit`` sets is dealt into blocks, and each pair of blocks is joined as
-one region of its own, so no task holds more than the limit.
+Jaccard distance is a metric, but most documents are at distance 1 from nearly all others, where no
+pivot can tell them apart. So an exact filter first leaves the documents that may have a partner: of the
+shingles in hash order each document shows enough that two linked ones have ``least`` of these in common, and
+of those shown it keeps the rarest, so many that one of the common ones is among them. Documents that
+keep an equal shingle hang together; each group is one metric space, a family.
+
+Every family is joined recursively. Pivots, drawn from its members, create Voronoi regions: a document goes
+to the region of its nearest pivot, and the triangle inequality gives the window of other regions whose
+members may still be within reach: ``d(x, p_j) <= d(x, p_i) + 2 r``. Documents within ``r`` of a pivot
+are linked to it at once. Families of more than ``limit`` sets are split as Spark jobs (pivots meet the
+members by a shuffle, each pivot copied to as many tasks as the family needs), level after level; what is
+smaller is split in the task that holds it, and regions of ``leaf`` sets are compared through their posting
+lists. A region whose members are all linked through its pivots is done. One that does not shrink is dealt into
+blocks: documents that pivots have linked to each other need no comparison, so only the others meet all blocks.
 
 Defined results: a null, empty or blank text has an empty set and links with nothing; fewer words
 than ``n`` give one shingle, the whole sequence; equal sets are linked; repeated rows link like
-copies; an empty table gives no rows. Columns other than doc_id and text are ignored.
+copies, also if texts of one doc_id differ; a text of any length is one set; rows with a null doc_id link,
+but name no component (their component is null if no member has an id); an empty table gives no rows. Columns
+other than doc_id and text are ignored. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -28,18 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, chunks, identified, mix, stage, table, text_buffer, window_hash, word_hashes, words
+from tessera.llm.common import LOWER, chunks, mix, stage, table, text_buffer, window_hash, word_hashes, words
 from tessera.llm.components import components
+from tessera.llm.repeats import numbered
 
 
 @dataclass(frozen=True)
 class Join:
     n: int = 3  # words in a shingle
     percent: int = 90  # least similarity
-    ratio: float = 1.5  # of the sizes that one band spans
-    family_limit: int = 4096
+    family_limit: int = 256  # sets that one task joins
     pivots: int = 8
-    leaf: int = 192
+    leaf: int = 2
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -60,55 +65,68 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarra
     return out
 
 
-def _band_edges(ratio: float) -> np.ndarray:
-    edges = [1]
-    while edges[-1] < 1 << 40:
-        edges.append(max(edges[-1] + 1, int(edges[-1] * ratio)))
-    return np.array(edges, np.int64)
+def _least_shown(n: int) -> int:
+    """Common shingles that linked documents show at least, by the size of the smaller one."""
+    return max(1, n // 10)
 
 
-def part_keys(own: np.ndarray, p: Join, edges: np.ndarray) -> np.ndarray:
-    """A key for each part of a set, in its own band and in those that smaller partners may have."""
-    n = len(own)
-    out = []
-    low = int(np.searchsorted(edges, -(-n * p.percent // 100), side="right")) - 1
-    high = int(np.searchsorted(edges, n, side="right")) - 1
-    for band in range(max(0, low), high + 1):
-        small = int(edges[band + 1]) - 1
-        large = small * 100 // p.percent
-        t = (100 - p.percent) * (small + large) // (100 + p.percent)
-        parts = t + 2
-        # linked sets agree in two parts at least, so one of them has a shingle unless two are empty
-        part = ((own >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-        head = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        total = np.add.reduceat(mix(own), head)
-        ids = part[head]
-        if parts - len(ids) >= 2:
-            empty = np.setdiff1d(np.arange(parts), ids)
-            ids, total = np.concatenate([ids, empty]), np.concatenate([total, np.zeros(len(empty), np.uint64)])
-        out.append(mix(total + mix(ids.astype(np.uint64) + np.uint64(band << 40))))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
-def signatures(docs: DataFrame, p: Join) -> DataFrame:
-    edges = _band_edges(p.ratio)
+def shown(own: np.ndarray, p: Join) -> tuple[np.ndarray, int]:
+    """The first shingles of a set in hash order, and how many of them a linked set shows too.
+
+    Linked sets share at least ``percent`` of the larger one; the first of the shared ones lie so far front
+    in both that each shows them.
+    """
+    shared = -(-len(own) * p.percent // 100)
+    return own[: len(own) - shared + _least_shown(len(own))], _least_shown(shared)
+
+
+#: Digests that a task remembers, so that copies which it reads show their shingles once.
+_REMEMBERED = 100_000
+
+
+def signatures(texts: DataFrame, p: Join) -> DataFrame:
+    """For each of (row, doc_id, text): row, doc_id, n_shingles, digest of the set, node (64 bits of it), least, keys (the shingles shown)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
-            offsets, raw = text_buffer(batch.column(1))
+            offsets, raw = text_buffer(batch.column(2))
             for i, j in chunks(offsets):
                 sets = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], p.n)
                 digest = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
                 node = np.array([int.from_bytes(d[:8], "little", signed=True) for d in digest], np.int64)
-                keys = [part_keys(x, p, edges) for x in sets]
+                keys, least = [], []
+                for x, d in zip(sets, digest):
+                    key, n = shown(x, p) if len(x) else (x, 1)
+                    keys.append(key[:0] if d in seen else key)
+                    least.append(n)
+                    seen.add(d)
+                if len(seen) > _REMEMBERED:
+                    seen.clear()
                 at = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 flat = np.concatenate(keys).view(np.int64) if len(keys) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array([len(x) for x in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(node), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))],
-                    names=["doc_id", "n_shingles", "digest", "node", "keys"],
+                    [*[batch.column(c).slice(i, j - i) for c in (0, 1)], pa.array([len(x) for x in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(node), pa.array(least, pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))],
+                    names=["row", "doc_id", "n_shingles", "digest", "node", "least", "keys"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, node long, keys array<long>")
+    return texts.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, n_shingles long, digest binary, node long, least int, keys array<long>")
+
+
+def candidates(known: DataFrame) -> DataFrame:
+    """src, dst: edges along which all linked sets hang together, between nodes that keep an equal shingle."""
+    keys = known.where("n_shingles > 0").select("node", "least", F.explode("keys").alias("key"))
+    often = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "n")
+    rare = keys.join(often, "key").groupBy("node").agg(F.max("least").alias("least"), F.array_sort(F.collect_set(F.struct("n", "key"))).alias("own"))
+    # shingles that no other set shows are the rarest; of the others as many stay as a linked set cannot lack
+    rare = rare.where(F.size("own") >= F.col("least")).select("node", F.explode(F.slice("own", F.lit(1), F.size("own") - F.col("least") + 1)).alias("kept"))
+    kept = stage(rare.select("node", F.col("kept.key").alias("key")))
+    hubs = kept.groupBy("key").agg(F.min("node").alias("dst"), F.max("node").alias("high")).where("dst < high").select("key", "dst")
+    return kept.join(hubs, "key").select(F.col("node").alias("src"), "dst").where("src <> dst").distinct()
+
+
+#: Regions are worth making if they have together at most this share of the pairs that they come from; so work shrinks from level to level.
+SHRINK = 0.8
 
 
 class Region:
@@ -184,12 +202,14 @@ class Region:
         home = d.argmin(axis=0)
         least = d.min(axis=0)
         regions = []
+        rest = np.ones(len(members), bool)
+        rest[pivots[: len(d)]] = False  # pivots have met all members
         for j in range(len(d)):
             # of a pair in two regions, the one of the lower region is repeated in the higher
-            inside = (home == j) | ((home < j) & (d[j] <= least + 2 * r + 1e-9))
+            inside = rest & ((home == j) | ((home < j) & (d[j] <= least + 2 * r + 1e-9)))
             if not cores[j][inside].all():  # documents within r of the pivot are linked through it already
                 regions.append(members[inside])
-        if max((len(x) for x in regions), default=0) > 0.8 * len(members):
+        if sum(len(x) ** 2 for x in regions) > SHRINK * len(members) ** 2:
             return False
         for x in regions:
             self.join(x)
@@ -197,7 +217,7 @@ class Region:
 
 
 def join_regions(rows: DataFrame, p: Join) -> DataFrame:
-    """region, doc_id, text sorted by region -> doc_id, label: the least document linked with it in the region."""
+    """region, row, text sorted by region -> row, label: the least row linked with it in the region."""
 
     def solve(ids: list[int], sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
         order = sorted(range(len(ids)), key=ids.__getitem__)
@@ -210,14 +230,14 @@ def join_regions(rows: DataFrame, p: Join) -> DataFrame:
         done: list[list] = [[], []]
 
         def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in done], names=["doc_id", "label"])
+            out = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in done], names=["row", "label"])
             done[0], done[1] = [], []
             return out
 
         for batch in batches:
-            region, doc, text = (batch.column(batch.schema.get_field_index(c)) for c in ("region", "doc_id", "text"))
+            region, row, text = (batch.column(batch.schema.get_field_index(c)) for c in ("region", "row", "text"))
             offsets, raw = text_buffer(text)
-            region, doc = region.to_pylist(), doc.to_pylist()
+            region, row = region.to_pylist(), row.to_pylist()
             for i, j in chunks(offsets):
                 own = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], p.n)
                 for k in range(i, j):
@@ -227,7 +247,7 @@ def join_regions(rows: DataFrame, p: Join) -> DataFrame:
                             done[0] += a
                             done[1] += b
                         current, ids, sets = region[k], [], []
-                    ids.append(doc[k])
+                    ids.append(row[k])
                     sets.append(own[k - i])
             if len(done[0]) > 4096:
                 yield flush()
@@ -237,40 +257,146 @@ def join_regions(rows: DataFrame, p: Join) -> DataFrame:
             done[1] += b
         yield flush()
 
-    return rows.mapInArrow(run, "doc_id long, label long")
+    return rows.mapInArrow(run, "row long, label long")
+
+
+def _distances(rows: DataFrame, p: Join) -> DataFrame:
+    """Sorted tasks of a region, its pivots first (region, task, member, row, text) -> region, row, pivots, d, core of each member.
+
+    d has the distance from each pivot, and bit j of core is set if the member is linked to pivot j.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, pivots, names = None, [], []
+        for batch in batches:
+            region, part, member, row, text = (batch.column(batch.schema.get_field_index(c)) for c in ("region", "task", "member", "row", "text"))
+            offsets, raw = text_buffer(text)
+            region, part, member, row = (x.to_pylist() for x in (region, part, member, row))
+            out: list[list] = [[], [], [], [], []]
+            for i, j in chunks(offsets):
+                own = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], p.n)
+                for k in range(i, j):
+                    x = own[k - i]
+                    if (region[k], part[k]) != key:
+                        key, pivots, names = (region[k], part[k]), [], []
+                    if not member[k]:
+                        pivots.append(x)
+                        names.append(row[k])
+                        continue
+                    both = [len(np.intersect1d(x, y, assume_unique=True)) for y in pivots]
+                    union = [len(x) + len(y) - n for y, n in zip(pivots, both)]
+                    core = sum(1 << at for at, (n, u) in enumerate(zip(both, union)) if 100 * n >= p.percent * u)
+                    for column, v in zip(out, (region[k], row[k], names, [1 - n / u for n, u in zip(both, union)], core)):
+                        column.append(v)
+            types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["region", "row", "pivots", "d", "core"])
+
+    return rows.mapInArrow(run, "region long, row long, pivots array<long>, d array<double>, core long")
+
+
+def _joined_pivots(cores: DataFrame) -> DataFrame:
+    """region, masks (sets of pivots that one member is linked to) -> region, parts: sets of pivots that hang together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for masks in batch.column(1).to_pylist():
+                own: list[int] = []
+                for m in masks:
+                    m |= sum(x for x in own if x & m)
+                    own = [x for x in own if not x & m] + [m]
+                parts.append(own)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.list_(pa.int64()))], names=["region", "parts"])
+
+    return cores.mapInArrow(run, "region long, parts array<long>")
+
+
+def _voronoi(members: DataFrame, texts: DataFrame, p: Join) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Regions too large for a task (region, row, n) -> links (row, label) with pivots, the other members, rows of the regions these are split into.
+
+    The members get part: the pivots, hanging together, that the row is linked to, or null. The rows have region, row, part, origin (the region they
+    come from) and n, its size.
+    """
+    r = 1 - p.percent / 100
+    least = [F.min(F.struct(F.xxhash64("row", F.lit(i)).alias("h"), "row")).alias(f"p{i}") for i in range(p.pivots)]
+    chosen = members.groupBy("region").agg(*least, F.max("n").alias("n"))
+    tasks = F.ceil(F.col("n") / p.family_limit).cast("int")
+    chosen = chosen.select("region", tasks.alias("tasks"), F.explode(F.array_distinct(F.array(*[F.col(f"p{i}.row") for i in range(p.pivots)]))).alias("row"))
+    chosen = chosen.select("region", "row", F.lit(False).alias("member"), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"))
+    dealt = members.select("region", "row", F.lit(True).alias("member"), F.pmod(F.xxhash64("row", F.lit("task")), tasks).cast("int").alias("task"))
+    rows = chosen.unionByName(dealt).join(texts.select("row", "text"), "row")
+    rows = rows.repartition("region", "task").sortWithinPartitions("region", "task", "member", "row")
+    placed = stage(_distances(rows, p).join(members.groupBy("region").agg(F.max("n").alias("n")), "region"))
+    linked = F.filter(F.arrays_zip("pivots", F.sequence(F.lit(0), F.size("pivots") - 1).alias("at")), lambda x: F.bit_get(F.col("core"), x["at"]) == 1)
+    links = placed.where("core <> 0").select("row", F.explode(linked).alias("pivot")).select("row", F.col("pivot.pivots").alias("label"))
+    parts = _joined_pivots(placed.where("core <> 0").groupBy("region").agg(F.collect_set("core").alias("masks")))
+    part = F.get(F.filter("parts", lambda x: x.bitwiseAND(F.col("core")) != 0), 0)
+    rest = placed.where(~F.array_contains("pivots", F.col("row")))  # pivots have met all members
+    whole = stage(rest.join(parts, "region", "left").select("region", "row", "n", part.alias("part"), "d"))
+    nearest = F.array_min("d")
+    each = whole.select("region", "row", "n", "part", nearest.alias("nearest"), (F.array_position("d", nearest) - 1).alias("home"), F.posexplode("d").alias("at", "far"))
+    # of a pair in two regions, the one of the lower region is repeated in the higher
+    inside = each.where((F.col("at") == F.col("home")) | ((F.col("at") > F.col("home")) & (F.col("far") <= F.col("nearest") + 2 * r + 1e-9)))
+    return links, whole.select("region", "row", "part"), inside.select(F.xxhash64("region", "at").alias("region"), "row", "part", F.col("region").alias("origin"), "n")
+
+
+def _blocks(rows: DataFrame, p: Join) -> DataFrame:
+    """Regions that pivots do not split, as regions of two blocks each; pairs linked through pivots already need not meet."""
+    half = p.family_limit // 2
+    counts = rows.groupBy("region", "part").agg(F.count("*").alias("m"))
+    main = counts.groupBy("region").agg(F.max(F.when(F.col("part").isNotNull(), F.struct("m", "part"))).alias("main"), F.sum("m").alias("total"))
+    core = F.coalesce(F.col("main.m"), F.lit(0))
+    main = main.select("region", F.col("main.part").alias("main"), F.ceil((F.col("total") - core) / half).cast("int").alias("outer"), F.ceil(core / half).cast("int").alias("inner"))
+    rows = rows.join(main, "region").withColumn("done", F.coalesce(F.col("part") == F.col("main"), F.lit(False)))
+    own = F.when(F.col("done"), F.col("outer") + F.pmod(F.xxhash64("row"), F.greatest("inner", F.lit(1)))).otherwise(F.pmod(F.xxhash64("row"), F.greatest("outer", F.lit(1))))
+    rows = rows.withColumn("own", own.cast("int"))
+    last = F.when(F.col("done"), F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last))).where("own <> other or outer + inner = 1")
+    return rows.select(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")).alias("region"), "row")
+
+
+def _linked(members: DataFrame, texts: DataFrame, p: Join) -> DataFrame:
+    """row, label: links (and more that follow from them) of all regions (region, row)."""
+    links, small = [], []
+    sized = members.join(members.groupBy("region").agg(F.count("*").alias("n")), "region")
+    while True:
+        large = sized.where(F.col("n") > p.family_limit)
+        small.append(sized.where(F.col("n") <= p.family_limit).select("region", "row"))
+        if not large.limit(1).count():
+            break
+        found, whole, inside = _voronoi(large, texts, p)
+        links.append(found)
+        sizes = inside.groupBy("origin", "region").agg(F.max("n").alias("n"), F.count("*").alias("now"), F.count("part").alias("named"), F.min("part").alias("low"), F.max("part").alias("high"))
+        sizes = stage(sizes.where("now > 1 and (named < now or low < high)").select("origin", "region", "n", "now"))
+        pairs = sizes.groupBy("origin").agg((F.sum(F.col("now").cast("double") * F.col("now")) / F.max(F.col("n").cast("double") * F.col("n"))).alias("share"))
+        stuck, shrunk = pairs.where(F.col("share") > SHRINK), pairs.where(F.col("share") <= SHRINK)
+        small.append(_blocks(whole.join(stuck.select(F.col("origin").alias("region")), "region"), p))
+        sized = stage(inside.select("region", "row").join(sizes.join(shrunk, "origin").select("region", F.col("now").alias("n")), "region"))
+    rows = small[0]
+    for x in small[1:]:
+        rows = rows.unionByName(x)
+    rows = rows.join(texts.select("row", "text"), "row").repartition("region").sortWithinPartitions("region", "row")
+    result = join_regions(rows, p)
+    for x in links:
+        result = result.unionByName(x)
+    if not links:  # every row is in one region, so its label is final
+        return result
+    return components(result.select(F.col("row").alias("src"), F.col("label").alias("dst"))).select(F.col("node").alias("row"), F.col("component").alias("label"))
 
 
 def jaccard_components(docs: DataFrame, p: Join = Join()) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
-    texts = identified(docs, "doc_id", "text")
+    texts = numbered(docs)
     known = stage(signatures(texts, p))
-    keys = known.where("n_shingles > 0 and doc_id is not null").select("node", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    edges = keys.join(shared.select("key", "least"), "key").select(F.col("node").alias("src"), F.col("least").alias("dst"))
-    families = components(edges)
-    classes = known.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("node").alias("node"), F.count("*").alias("copies"))
-    members = stage(classes.join(families, "node").select("digest", "rep", F.col("component").alias("family")))
-    sizes = members.groupBy("family").agg(F.count("*").alias("members"))
-    placed = members.join(sizes, "family")
-    half = p.family_limit // 2
-    usual = placed.where(F.col("members") <= p.family_limit).select(F.col("family").alias("region"), "rep")
-    many = placed.where(F.col("members") > p.family_limit).withColumn("blocks", F.ceil(F.col("members") / (0.8 * half)).cast("int"))
-    crowded = sizes.where(F.col("members") > p.family_limit).limit(1).count() > 0
-    if crowded:  # each block meets every other one in a region
-        many = many.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        many = many.withColumn("other", other).where("blocks = 1 or own <> other")
-        region = F.xxhash64("family", F.least("own", "other"), F.greatest("own", "other"))
-        usual = usual.unionByName(many.select(region.alias("region"), "rep"))
-    rows = usual.withColumnRenamed("rep", "doc_id").join(texts.where("doc_id is not null"), "doc_id").select("region", "doc_id", "text")
-    rows = rows.repartition("region").sortWithinPartitions("region", "doc_id")
-    links = join_regions(rows, p)
-    if crowded:
-        links = components(links.select(F.col("doc_id").alias("src"), F.col("label").alias("dst"))).select(F.col("node").alias("doc_id"), F.col("component").alias("label"))
-    labelled = classes.where("copies > 1").select("digest", "rep").unionByName(members.select("digest", "rep")).distinct()
-    labelled = labelled.join(links.withColumnRenamed("doc_id", "rep").distinct(), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))
+    families = components(candidates(known))
+    classes = known.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.first("node").alias("node"), F.count("*").alias("copies"))
+    classes = stage(classes.join(families, "node", "left").where("component is not null or copies > 1").select("digest", "rep", "row", F.col("component").alias("region")))
+    links = _linked(classes.where("region is not null").select("region", "row"), texts, p)
+    labelled = stage(classes.join(links, "row", "left").select("digest", "rep", F.coalesce("label", "row").alias("label")))
+    least = labelled.groupBy("label").agg(F.min("rep").alias("component"))
+    labelled = labelled.join(least, "label").select("digest", "component")
     result = known.select("doc_id", "n_shingles", "digest").join(labelled, "digest", "left")
-    return result.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return result.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

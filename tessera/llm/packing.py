@@ -96,7 +96,6 @@ class ChunkIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.words: dict[str, bytes] = {}
         self.whole = not self._chunks_stand_alone()
         self.shortcuts = not self.whole and self._rules_hold()
 
@@ -121,41 +120,46 @@ class ChunkIds(dict):
         return pack_ids([t.id for t in self.tokenizer.model.tokenize(text)])
 
     def learn(self, chunks: set[bytes]) -> None:
-        new = list(chunks.difference(self))
+        new = chunks - self.keys()
         if len(self) + len(new) > self.limit:
             self.clear()
-            self.words.clear()
-            new = list(chunks)
-        if not new:
-            return
+            new = chunks
         if not self.shortcuts:
-            return self._encode(new)
-        words, tokenize = self.words, self.tokenizer.model.tokenize
-        plain, stopped, tails, other = [], [], [], []
+            return self._encode(list(new))
+        plain, lower, stopped, other = set(), [], [], []
         for c, text in zip(new, b"\n".join(new).decode().split("\n")):
-            stop = text[-1]
-            if stop == "," or stop == ".":
-                text = text[:-1]
+            head = c
+            if text[-1] in ",.":
+                text, head = text[:-1], c[:-1]
                 if not (text and _ends_word(text[-1])):
                     other.append(c)
                     continue
-            low = text.lower()
-            if low.isalpha() and (low.isascii() or _plain(low)):
-                if low not in words:
-                    words[low] = array("I", [t.id for t in tokenize(low)]).tobytes() if low.isascii() and _LITTLE else self._word(low)
-                if stop == "," or stop == ".":
-                    stopped.append((c, low))
+                stopped.append(c)
+                if head in self or head in new:
+                    continue
+            if text.isalpha() and (text.isascii() or _plain(text)):
+                low = text.lower()
+                if low != text:
+                    low = low.encode()
+                    lower.append((head, low))
+                    if low in self:
+                        continue
+                    plain.add(low)
                 else:
-                    plain.append((c, low))
-            elif stop == "," or stop == ".":
-                tails.append(c)
+                    plain.add(head)
             else:
-                other.append(c)
-        heads = {c[:-1] for c in tails}.difference(self, other)
-        self._encode([*other, *heads, *[m for m in (b",", b".") if m not in self and m not in new]])
-        self.update([(c, words[low]) for c, low in plain])
-        self.update([(c, words[low] + self[c[-1:]]) for c, low in stopped])
-        self.update([(c, self[c[:-1]] + self[c[-1:]]) for c in tails])
+                other.append(head)
+        tokenize = self.tokenizer.model.tokenize
+        simple = [w for w in plain if w.isascii()]
+        accented = [w for w in plain if not w.isascii()]
+        texts = b"\n".join(simple).decode().split("\n") if simple else []
+        texts += b"\n".join(accented).decode("latin-1").translate(_BYTE_LETTERS).split("\n") if accented else []
+        self.update(zip(simple + accented, [pack_ids([t.id for t in tokenize(x)]) for x in texts]))
+        self._encode(other)
+        self.update([(c, self[x]) for c, x in lower])
+        if stopped:
+            self._encode([m for m in (b",", b".") if m not in self])
+            self.update([(c, self[c[:-1]] + self[c[-1:]]) for c in stopped])
 
     def _encode(self, chunks: list[bytes]) -> None:
         for at in range(0, len(chunks), 4096):

@@ -3,7 +3,10 @@
 A rule is a condition under which a document is rejected. On a bounded sample each rule's cost (the
 measures it needs, timed) and selectivity (the share it rejects) are estimated, and the rules are
 ordered by rejections per cost. The verdict is one ``CASE``: a document that a rule rejects is not
-tested by the rules after it. The order changes the time that the verdict takes, never the verdict.
+tested by the rules after it, and the measures that only those need are not computed for it. The order
+changes the time that the verdict takes, never the verdict. In a report the measures that are returned for
+every document cost a rule nothing more, so the rules on letters and on distinct words, which look at every
+word again, see only what the others leave.
 
 Words are runs of characters other than the ASCII space and 9 to 13. Defined results: a null or
 blank text has no words, zero for every measure, and fails; repeated rows are judged each; an
@@ -79,7 +82,11 @@ MEASURES = {
     "n_symbols": lambda text, w: n_symbols(text),
     "n_dup_lines": lambda text, w: n_dup_lines(text),
     "n_repeat_words": lambda text, w: n_repeat_words(w),
+    "n_distinct_words": lambda text, w: F.size(F.array_distinct(w)),
+    "n_lettered_words": lambda text, w: F.size(F.filter(w, lambda x: x.rlike(r"\p{L}"))),
 }
+#: Those that a report gives for every document.
+REPORTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 @dataclass(frozen=True)
@@ -95,6 +102,8 @@ RULES = (
     Rule("symbols", ("n_words", "n_symbols"), lambda m: 100 * m["n_symbols"] > 30 * m["n_words"]),
     Rule("word_length", ("n_words", "word_chars"), lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 20 * m["n_words"])),
     Rule("dup_lines", ("n_words", "n_dup_lines"), lambda m: 5 * m["n_dup_lines"] > m["n_words"]),
+    Rule("few_letters", ("n_words", "n_lettered_words"), lambda m: 100 * m["n_lettered_words"] < 60 * m["n_words"]),
+    Rule("few_distinct", ("n_words", "n_distinct_words"), lambda m: 50 * m["n_distinct_words"] < m["n_words"]),
 )
 BASE = ("too_short", "repeats")
 #: Rows of the sample on which costs and selectivities are estimated.
@@ -106,9 +115,19 @@ def _texts(docs: DataFrame) -> DataFrame:
     return rows.withColumn("w", words(F.col("text")))
 
 
-def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE) -> list[Rule]:
-    """Rules by rejections per cost, largest first; by name on ties."""
-    rows = _texts(docs).limit(sample).select("text", "w").cache()
+def _sample(docs: DataFrame, bound: int) -> DataFrame:
+    """At most bound rows, taken by a hash wherever they are; words are found for these alone."""
+    rows = identified(docs, "doc_id", "text")
+    total = rows.count()
+    if total > 2 * bound:
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < int(2 * bound / total * (1 << 40)))
+    return _texts(rows.limit(bound))
+
+
+def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE, given: tuple[str, ...] = ()) -> list[Rule]:
+    """Rules by rejections per cost, largest first; by name on ties. Measures that are given anyway cost nothing."""
+    text, w = F.col("text"), F.col("w")
+    rows = _sample(docs, sample).select("text", "w", *[c.alias(m) for m, c in measures(text, w, given).items()]).cache()
     try:
         total = rows.count()
         if not total:
@@ -121,8 +140,8 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int =
 
         found = []
         for rule in rules:
-            query = rows.agg(F.sum(rule.rejects(measures(F.col("text"), F.col("w"), rule.needs)).cast("int")))
-            cost, rejected = min(timed(query) for _ in range(2))
+            needed = {m: F.col(m) if m in given else c for m, c in measures(text, w, rule.needs).items()}
+            cost, rejected = min(timed(rows.agg(F.sum(rule.rejects(needed).cast("int")))) for _ in range(2))
             found.append((-rejected / total / max(cost, 1e-4), rule.name, rule))
         return [r for _, _, r in sorted(found, key=lambda x: x[:2])]
     finally:
@@ -142,14 +161,15 @@ def verdict(rules: list[Rule], measured: Mapping[str, Column]) -> Column:
 
 
 def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE, report: bool = False) -> DataFrame:
-    """doc_id and kept; with report also every measure of every document, which the verdict then reads."""
-    rows, order = _texts(docs), order_rules(docs, rules, sample)
+    """doc_id and kept; with report also the reported measures of every document, which the verdict then reads."""
+    rows, text, w = _texts(docs), F.col("text"), F.col("w")
     if not report:
-        return rows.select("doc_id", verdict(order, measures(F.col("text"), F.col("w"))).alias("kept"))
-    rows = rows.select("doc_id", *[c.alias(m) for m, c in measures(F.col("text"), F.col("w")).items()])
-    columns = {m: F.col(m) for m in MEASURES}
+        return rows.select("doc_id", verdict(order_rules(docs, rules, sample), measures(text, w)).alias("kept"))
+    order = order_rules(docs, rules, sample, REPORTED)
+    rows = rows.select("doc_id", "text", "w", *[c.alias(m) for m, c in measures(text, w, REPORTED).items()])
+    columns = {m: F.col(m) if m in REPORTED else c for m, c in measures(text, w).items()}
     base = [r for r in rules if r.name in BASE]
-    return rows.select("doc_id", *MEASURES, (~verdict(base, columns)).alias("base_failed"), verdict(order, columns).alias("kept"))
+    return rows.select("doc_id", *REPORTED, (~verdict(base, columns)).alias("base_failed"), verdict(order, columns).alias("kept"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,12 +195,13 @@ WITH d AS (
     CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines,
-    CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
+    CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
+    len(list_distinct(w)) AS n_distinct, len(list_filter(w, lambda x: regexp_matches(x, '\p{L}'))) AS n_lettered
   FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)
 ), b AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
 )
-SELECT *, NOT base_failed AND NOT (100 * n_symbols > 30 * n_words OR word_chars < 2 * n_words
-  OR word_chars > 20 * n_words OR 5 * n_dup_lines > n_words) AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (100 * n_symbols > 30 * n_words OR word_chars < 2 * n_words
+  OR word_chars > 20 * n_words OR 5 * n_dup_lines > n_words OR 100 * n_lettered < 60 * n_words OR 50 * n_distinct < n_words) AS kept
 FROM b
 """

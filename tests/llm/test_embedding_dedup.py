@@ -52,3 +52,17 @@ def test_empty(spark):
     rows = [(None, [1.0, 2.0], 1), (1, [1.0, 2.0], 1), (2, [1.0, 2.0], 1)]
     got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
     assert {(r.vec_id, r.component_id, r.kept) for r in got} >= {(1, 1, True), (2, 1, False)} and len(got) == 3
+
+
+def test_labels_that_differ_late_and_cells(spark):
+    rng = np.random.default_rng(5)
+    long = "x" * 70
+    rows = [(1, [1.0, 2.0], long + "a"), (2, [1.0, 2.0], long + "b"), (3, [1.0, 2.0], long + "a")]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")).collect()}
+    assert got == {1: (1, 1), 2: (0, 2), 3: (1, 1)}
+    x = rng.normal(size=(1500, 12))
+    x[700:] = x[:800] + rng.normal(size=(800, 12)) * rng.choice([0.01, 0.15, 0.3], size=(800, 1))
+    rows = [(i, [float(np.float32(a)) for a in v], i % 2) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
+    for p in (Cells(), Cells(per_cell=4, block=64)):
+        assert sorted(map(tuple, near_duplicates(df, p).collect())) == brute(rows, p.threshold)

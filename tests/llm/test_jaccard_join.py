@@ -81,3 +81,54 @@ def test_components(spark):
     want = {x: find(x) for e in edges if e[0] != e[1] for x in e}
     got = {x.node: x.component for x in components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert {k: v for k, v in got.items() if k in want} == want
+
+
+def test_regions_are_made_of_a_table(spark, monkeypatch):
+    """Families of documents beyond a leaf are split by pivots, also on a small table."""
+    split = []
+    plain = jj.Region._split
+
+    def counted(self, members, sizes, overlap):
+        done = plain(self, members, sizes, overlap)
+        split.append(done)
+        return done
+
+    p = jj.Join(n=5, percent=80)
+    texts = jj.numbered(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    known = jj.signatures(texts, p).cache()
+    families = components(jj.candidates(known)).withColumnRenamed("component", "family")
+    rows = known.select("row", "node").join(families, "node").join(texts, "row").select("family", "text").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.family, set()).add(r.text)
+    monkeypatch.setattr(jj.Region, "_split", counted)
+    for own in by.values():
+        data = [t.encode() for t in sorted(own)]
+        offsets = jj.np.cumsum([0] + [len(x) for x in data])
+        sets = jj.shingle_sets(jj.np.frombuffer(b"".join(data), jj.np.uint8), offsets, p.n)
+        jj.Region(sets, p).join(jj.np.arange(len(sets)))
+    assert sum(split) > 0
+
+
+@pytest.mark.parametrize("limit", [16, 40])
+def test_one_large_group(spark, limit):
+    """A group of near copies with outliers, larger than a task's limit: pivots meet it by a shuffle, level after level."""
+    r = random.Random(limit)
+    base = [f"b{i}" for i in range(60)]
+    docs = []
+    for d in range(320):
+        words = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 3, 5, 8])):
+            words[r.randrange(60)] = f"x{r.randrange(500)}"
+        docs.append((d, " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    for percent in (80, 90):
+        p = jj.Join(percent=percent, family_limit=limit, pivots=4)
+        assert {x.doc_id: (x.n_shingles, x.component_id) for x in jj.jaccard_components(df, p).collect()} == brute(docs, percent)
+
+
+def test_rows_of_one_id_and_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    rows = [(5, "a b c d e f"), (5, "g h i j k l"), (3, "g h i j k l"), (None, "m n o p q"), (None, "m n o p q"), (8, long), (9, long + " end"), (7, None)]
+    got = sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in jj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([("5", 4, "5"), ("5", 4, "3"), ("3", 4, "3"), ("None", 3, "None"), ("None", 3, "None"), ("8", 199_998, "8"), ("9", 199_999, "8"), ("7", 0, "7")])

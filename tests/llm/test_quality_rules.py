@@ -65,3 +65,30 @@ def test_sql(spark, sf):
     names = want.columns
     got = q.op4_quality_rules(spark, sf).select(names).collect()
     assert sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
+def test_rejected_rows_skip_later_rules(spark):
+    """A measure that only a later rule needs is not computed for a row that an earlier one rejects."""
+    from pyspark.sql import functions as F
+
+    def costly(text, w):
+        return F.when(F.size(w) < 50, F.raise_error(F.lit("computed for a rejected row")).cast("int")).otherwise(F.size(w))
+
+    q.MEASURES["costly"] = costly
+    try:
+        last = q.Rule("last", ("costly",), lambda m: m["costly"] > 1_000_000)
+        df = spark.createDataFrame(ROWS, "doc_id long, text string")
+        rows = q._texts(df)
+        order = [*q.RULES, last]
+        kept = rows.select("doc_id", q.verdict(order, q.measures(F.col("text"), F.col("w"), tuple(q.MEASURES))).alias("kept")).collect()
+        assert {r.doc_id: r.kept for r in kept} == {d: brute(t)[-1] for d, t in ROWS}
+        with pytest.raises(Exception, match="computed for a rejected row"):
+            rows.select(q.verdict([last, *q.RULES], q.measures(F.col("text"), F.col("w"), tuple(q.MEASURES)))).collect()
+    finally:
+        del q.MEASURES["costly"]
+
+
+def test_letters_and_distinct_words(spark):
+    rows = [(1, " ".join(f"{i}" for i in range(80))), (2, " ".join(f"{i}é" for i in range(80))), (3, " ".join(f"w{i} x y" for i in range(3)) + " z" * 30 + " q" * 40), (4, " ".join(f"a{i % 9}{i % 7}" for i in range(63)) + " 1" * 30)]
+    got = {r.doc_id: r.kept for r in q.cascade(spark.createDataFrame(rows, "doc_id long, text string"), report=True).collect()}
+    assert got[1] is False and got[2] is True
