@@ -13,7 +13,8 @@ are linked to it at once. Families of more than ``limit`` sets are split as Spar
 members by a shuffle, each pivot copied to as many tasks as the family needs), level after level; what is
 smaller is split in the task that holds it, and regions of ``leaf`` sets are compared through their posting
 lists. A region whose members are all linked through its pivots is done. One that does not shrink is dealt into
-blocks: documents that pivots have linked to each other need no comparison, so only the others meet all blocks.
+blocks by size: linked sets have sizes in the same or in neighbouring bands, and documents that pivots have linked
+to each other need no comparison, so only the others meet the blocks of their bands.
 
 Defined results: a null, empty or blank text has an empty set and links with nothing; fewer words
 than ``n`` give one shingle, the whole sequence; equal sets are linked; repeated rows link like
@@ -25,6 +26,7 @@ other than doc_id and text are ignored. Shingles are compared by 64-bit hashes.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,7 +44,7 @@ from tessera.llm.repeats import numbered
 class Join:
     n: int = 3  # words in a shingle
     percent: int = 90  # least similarity
-    family_limit: int = 256  # sets that one task joins
+    family_limit: int = 256  # sets of a family or block that one task joins
     pivots: int = 8
     leaf: int = 2
 
@@ -261,7 +263,7 @@ def join_regions(rows: DataFrame, p: Join) -> DataFrame:
 
 
 def _distances(rows: DataFrame, p: Join) -> DataFrame:
-    """Sorted tasks of a region, its pivots first (region, task, member, row, text) -> region, row, pivots, d, core of each member.
+    """Sorted tasks of a region, its pivots first (region, task, member, row, text) -> region, row, size, pivots, d, core of each member.
 
     d has the distance from each pivot, and bit j of core is set if the member is linked to pivot j.
     """
@@ -272,7 +274,7 @@ def _distances(rows: DataFrame, p: Join) -> DataFrame:
             region, part, member, row, text = (batch.column(batch.schema.get_field_index(c)) for c in ("region", "task", "member", "row", "text"))
             offsets, raw = text_buffer(text)
             region, part, member, row = (x.to_pylist() for x in (region, part, member, row))
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for i, j in chunks(offsets):
                 own = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], p.n)
                 for k in range(i, j):
@@ -286,12 +288,12 @@ def _distances(rows: DataFrame, p: Join) -> DataFrame:
                     both = [len(np.intersect1d(x, y, assume_unique=True)) for y in pivots]
                     union = [len(x) + len(y) - n for y, n in zip(pivots, both)]
                     core = sum(1 << at for at, (n, u) in enumerate(zip(both, union)) if 100 * n >= p.percent * u)
-                    for column, v in zip(out, (region[k], row[k], names, [1 - n / u for n, u in zip(both, union)], core)):
+                    for column, v in zip(out, (region[k], row[k], len(x), names, [1 - n / u for n, u in zip(both, union)], core)):
                         column.append(v)
-            types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["region", "row", "pivots", "d", "core"])
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["region", "row", "size", "pivots", "d", "core"])
 
-    return rows.mapInArrow(run, "region long, row long, pivots array<long>, d array<double>, core long")
+    return rows.mapInArrow(run, "region long, row long, size long, pivots array<long>, d array<double>, core long")
 
 
 def _joined_pivots(cores: DataFrame) -> DataFrame:
@@ -332,27 +334,30 @@ def _voronoi(members: DataFrame, texts: DataFrame, p: Join) -> tuple[DataFrame,
     parts = _joined_pivots(placed.where("core <> 0").groupBy("region").agg(F.collect_set("core").alias("masks")))
     part = F.get(F.filter("parts", lambda x: x.bitwiseAND(F.col("core")) != 0), 0)
     rest = placed.where(~F.array_contains("pivots", F.col("row")))  # pivots have met all members
-    whole = stage(rest.join(parts, "region", "left").select("region", "row", "n", part.alias("part"), "d"))
+    whole = stage(rest.join(parts, "region", "left").select("region", "row", "size", "n", part.alias("part"), "d"))
     nearest = F.array_min("d")
     each = whole.select("region", "row", "n", "part", nearest.alias("nearest"), (F.array_position("d", nearest) - 1).alias("home"), F.posexplode("d").alias("at", "far"))
     # of a pair in two regions, the one of the lower region is repeated in the higher
     inside = each.where((F.col("at") == F.col("home")) | ((F.col("at") > F.col("home")) & (F.col("far") <= F.col("nearest") + 2 * r + 1e-9)))
-    return links, whole.select("region", "row", "part"), inside.select(F.xxhash64("region", "at").alias("region"), "row", "part", F.col("region").alias("origin"), "n")
+    return links, whole.select("region", "row", "size", "part"), inside.select(F.xxhash64("region", "at").alias("region"), "row", "part", F.col("region").alias("origin"), "n")
 
 
 def _blocks(rows: DataFrame, p: Join) -> DataFrame:
-    """Regions that pivots do not split, as regions of two blocks each; pairs linked through pivots already need not meet."""
-    half = p.family_limit // 2
+    """Regions that pivots do not split (region, row, size, part), as regions of two blocks each; pairs linked through pivots already need not meet."""
     counts = rows.groupBy("region", "part").agg(F.count("*").alias("m"))
-    main = counts.groupBy("region").agg(F.max(F.when(F.col("part").isNotNull(), F.struct("m", "part"))).alias("main"), F.sum("m").alias("total"))
-    core = F.coalesce(F.col("main.m"), F.lit(0))
-    main = main.select("region", F.col("main.part").alias("main"), F.ceil((F.col("total") - core) / half).cast("int").alias("outer"), F.ceil(core / half).cast("int").alias("inner"))
-    rows = rows.join(main, "region").withColumn("done", F.coalesce(F.col("part") == F.col("main"), F.lit(False)))
-    own = F.when(F.col("done"), F.col("outer") + F.pmod(F.xxhash64("row"), F.greatest("inner", F.lit(1)))).otherwise(F.pmod(F.xxhash64("row"), F.greatest("outer", F.lit(1))))
-    rows = rows.withColumn("own", own.cast("int"))
-    last = F.when(F.col("done"), F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last))).where("own <> other or outer + inner = 1")
-    return rows.select(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")).alias("region"), "row")
+    main = counts.where("part is not null").groupBy("region").agg(F.max(F.struct("m", "part"))["part"].alias("main"))
+    rows = rows.join(main, "region", "left").withColumn("done", F.coalesce((F.col("part") == F.col("main")).cast("int"), F.lit(0)))
+    # linked sizes lie less than one band apart, also after rounding
+    band = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / min(p.percent, 99)) * (1 - 1e-9)).cast("int")
+    rows = rows.select("region", "row", "done", band.alias("band"))
+    blocks = rows.groupBy("region", "band", "done").agg(F.ceil(F.count("*") / p.family_limit).cast("int").alias("blocks"))
+    code = lambda band, done, k: band.cast("long") * F.lit(1 << 32) + done * F.lit(1 << 31) + k
+    own = rows.join(blocks, ["region", "band", "done"])
+    own = own.select("region", "row", "done", code(F.col("band"), F.col("done"), F.pmod(F.xxhash64("row"), "blocks")).alias("own"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    other = blocks.select("region", "band", F.col("done").alias("other_done"), "blocks")
+    met = own.join(other, ["region", "band"]).where("done + other_done < 2").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.withColumn("other", code(F.col("band"), F.col("other_done"), F.col("k")))
+    return met.select(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")).alias("region"), "row")
 
 
 def _linked(members: DataFrame, texts: DataFrame, p: Join) -> DataFrame:
