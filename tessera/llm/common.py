@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of a few MB; a session that asks for less keeps its own setting."""
+    """Arrow batches of a few MB, for the whole session, since plans run after this returns; a smaller setting stays."""
     rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
         spark.conf.set(rows, str(BATCH_ROWS))
@@ -34,23 +34,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only if none is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
+    """spark.checkpoint.dir; where it is unset, a folder in the warehouse, which executors share as well."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_staged"
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read again: what follows survives lost executors."""
+_open: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def stage(df: DataFrame, outlive: bool = False) -> DataFrame:
+    """Write to the shared folder and read again: what follows survives lost executors.
+
+    With ``outlive`` the table stays when the innermost released() block ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    if len(_open) > outlive:
+        _open[-1 - outlive].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables whose last reader is done."""
+    for df in tables:
+        _delete(df.sparkSession, df._staged_path)
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are deleted at the end: for steps whose result is stored by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            _delete(spark, path)
 
 
 def identified(df: DataFrame, key: str, *columns: str) -> DataFrame:

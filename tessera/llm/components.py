@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stage
+from tessera.llm.common import stage, unstage
 
 
 def _star(edges: DataFrame, least: DataFrame, larger: bool) -> DataFrame:
@@ -32,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: each node and its smaller neighbours move to the least of these
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = _star(large, lower, False).unionByName(lower.select("u", F.col("m").alias("v")))
-        pairs = stage(small.where("u <> v").distinct())
+        last, pairs = pairs, stage(small.where("u <> v").distinct())
+        unstage(last)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             break

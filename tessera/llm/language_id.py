@@ -8,8 +8,9 @@ whole numbers, so the prototypes do not depend on the order in which tasks end.
 
 Letters are those of Unicode, lower-cased; all else separates words, and a word's edges count as
 one more symbol. Defined results: ``und`` with score 0 if a text is null or has no letter, or if no
-language could be learned; rows with a null lang or doc_id are not learned from; an empty table
-gives no rows; columns other than the named ones are ignored.
+language could be learned; rows with a null lang or doc_id are not learned from; repeated rows are learned from and
+predicted each; a text of any length counts whole, in bounded memory; an empty table gives no rows; columns
+other than the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -40,8 +41,10 @@ _is_letter: list[np.ndarray] = []
 def letter_vector(p: Profiles, code: int) -> np.ndarray:
     key = (p.seed, p.dimensions, code)
     if key not in _letters:
+        if len(_letters) >= 1 << 15:  # scripts have more letters than a worker should remember
+            _letters.clear()
         bits = np.random.default_rng([p.seed, code]).integers(0, 2, p.dimensions, dtype=np.int8)
-        _letters[key] = (2 * bits - 1).astype(np.float32)
+        _letters[key] = 2 * bits - 1
     return _letters[key]
 
 
@@ -64,23 +67,44 @@ def bundles(texts: list[str], p: Profiles) -> np.ndarray:
     keep[at[:-1]] = True
     row = np.repeat(np.arange(len(own)), np.diff(at))[keep]
     codes = codes[keep]
+    out = np.zeros((len(texts), p.dimensions))
+    for at in range(0, len(codes) - p.n + 1, _SEGMENT):  # n-grams are summed, so they may be taken a segment at a time
+        _add(out, codes[at : at + _SEGMENT + p.n - 1], row[at : at + _SEGMENT + p.n - 1], p)
+    return out
+
+
+#: Symbols, and different n-grams, that are worked on at a time, so that memory does not grow with the length or variety of a text.
+_SEGMENT, _GRAMS = 1 << 18, 4096
+
+
+def _add(out: np.ndarray, codes: np.ndarray, row: np.ndarray, p: Profiles) -> None:
+    """Add the n-grams of a segment to the bundles of their rows."""
     symbols, inverse = np.unique(codes, return_inverse=True)
     if len(codes) < p.n or len(symbols) < 2:
-        return np.zeros((len(texts), p.dimensions), np.float32)
+        return
     base = len(symbols)
     gram = np.zeros(len(codes) - p.n + 1, np.int64)
     for k in range(p.n):
         gram = gram * base + inverse[k : len(codes) - p.n + 1 + k]
-    inside = row[: len(gram)] == row[p.n - 1 :]
-    names, which = np.unique(gram[inside], return_inverse=True)
-    counts = np.bincount(row[: len(gram)][inside] * len(names) + which, minlength=len(texts) * len(names)).reshape(len(texts), -1)
-    table = np.stack([letter_vector(p, int(c)) for c in symbols])
-    bound = np.ones((len(names), p.dimensions), np.float32)
-    rest = names
-    for k in range(p.n):  # the last letter of the n-gram first; its place is its permutation
-        bound *= np.roll(table, k, axis=1)[rest % base]
-        rest = rest // base
-    return counts.astype(np.float32) @ bound
+    owner = row[: len(gram)]
+    inside = owner == row[p.n - 1 :]
+    if not inside.any():
+        return
+    gram, first = gram[inside], int(owner[0])
+    owner = owner[inside] - first
+    rows = int(owner[-1]) + 1
+    names, which = np.unique(gram, return_inverse=True)
+    for lo in range(0, len(names), _GRAMS):
+        own = names[lo : lo + _GRAMS]
+        here = (which >= lo) & (which < lo + len(own)) if len(names) > _GRAMS else slice(None)
+        counts = np.bincount(owner[here] * len(own) + which[here] - lo, minlength=rows * len(own)).reshape(rows, -1)
+        letters, place = np.unique(np.stack([own // base**k % base for k in range(p.n)]), return_inverse=True)
+        table = np.stack([letter_vector(p, int(symbols[c])) for c in letters])
+        place = place.reshape(p.n, -1)
+        bound = np.ones((len(own), p.dimensions), np.float32)
+        for k in range(p.n):  # the last letter of the n-gram first; its place is its permutation
+            bound *= np.roll(table, k, axis=1)[place[k]]
+        out[first : first + rows] += counts.astype(np.float32) @ bound
 
 
 def _texts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
@@ -111,8 +135,8 @@ def learn(docs: DataFrame, p: Profiles) -> dict[str, np.ndarray]:
     return {k: v / np.linalg.norm(v) for k, v in sorted(found.items()) if v.any()}
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], p: Profiles) -> DataFrame:
-    """doc_id, lang_pred, score: the cosine with the nearest prototype, 0 at least."""
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], p: Profiles, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns named in carry, lang_pred, score: the cosine with the nearest prototype, 0 at least."""
     names = list(prototypes)
     matrix = np.stack(list(prototypes.values())).T if names else None
 
@@ -120,7 +144,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], p: Profiles) ->
         for batch in batches:
             langs, scores = [], []
             for _, texts in _texts(batch.column(1)):
-                found = bundles(texts, p).astype(np.float64)
+                found = bundles(texts, p)
                 norm = np.linalg.norm(found, axis=1)
                 if matrix is None:
                     langs += ["und"] * len(texts)
@@ -130,20 +154,28 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], p: Profiles) ->
                 best = cosine.argmax(axis=1)
                 langs += [names[b] if n else "und" for b, n in zip(best.tolist(), norm.tolist())]
                 scores += np.clip(cosine[np.arange(len(best)), best], 0, 1).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", *own, "lang_pred", "score"])
 
-    return identified(docs, "doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    own = [f"carry_{i}" for i in range(len(carry))]  # names of any kind may clash
+    rows = identified(docs, "doc_id", "text", *carry)
+    types = "".join(f"{n} {rows.schema[i + 2].dataType.simpleString()}, " for i, n in enumerate(own))
+    found = rows.mapInArrow(run, f"doc_id long, {types}lang_pred string, score double")
+    return found.select("doc_id", *[F.col(n).alias(c) for n, c in zip(own, carry)], "lang_pred", "score")
 
 
 def held_out(key: str = "doc_id", folds: int = 3, fold: int = 1) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def learned(docs: DataFrame, p: Profiles = Profiles()) -> dict[str, np.ndarray]:
+    """Prototypes from the rows that are not held out."""
+    rows = identified(docs, "doc_id", "text", "lang")
+    return learn(rows.where(~held_out() & F.col("doc_id").isNotNull()), p)
+
+
 def identify(docs: DataFrame, p: Profiles = Profiles()) -> DataFrame:
     """Learn from the rows that are not held out, predict all: doc_id, held_out, lang_pred, score."""
-    rows = identified(docs, "doc_id", "text", "lang")
-    prototypes = learn(rows.where(~held_out() & F.col("doc_id").isNotNull()), p)
-    return predict(rows, prototypes, p).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return predict(docs, learned(docs, p), p).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

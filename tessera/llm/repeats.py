@@ -34,6 +34,7 @@ from tessera.llm.common import (
     identified,
     stage,
     text_buffer,
+    unstage,
     window_hash,
     word_hashes,
     words,
@@ -364,6 +365,7 @@ def repeated_spans(texts: DataFrame, p: Windows, resolve: Callable[[Batch], tupl
     hits = found.join(often, "seed").withColumn("crowded", F.col("n") > p.group_limit)
     hits = hits.groupBy("row").agg(F.collect_list(F.struct("seed", "places", "crowded")).alias("hits"))
     contexts = stage(_contexts(texts.join(hits, "row"), p))
+    unstage(found, often)
     usual = contexts.where("not crowded").select("seed", F.col("row").alias("key"), "doc", F.size("pos").cast("long").alias("copies"), "pos", "left", "context")
     spans = _resolved(usual, p, resolve).select(F.col("key").alias("row"), _placed(F.col("lo"), F.col("hi")))
     crowded = contexts.where("crowded")

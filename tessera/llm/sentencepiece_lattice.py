@@ -53,18 +53,39 @@ def piece_score(number: Column, unknown: float) -> Column:
     return F.when(number == 0, F.lit(unknown)).otherwise(-F.rint(16 * F.log((number + 1).cast("double"))) / 16)
 
 
-def best_path(edges: Column, unknown: float) -> Column:
-    """Ids of the best path, first to last."""
+#: Edges that one inner fold takes. Arrays are copied when they grow, so a long part is folded in chunks.
+_CHUNK = 512
+
+
+def best_path(edges: Column, unknown: float, longest: int) -> Column:
+    """Ids of the best path, first to last.
+
+    An edge starts at most ``longest`` places before its end, so the fold keeps that many nodes near and puts the
+    others away chunk by chunk: the work grows with the length of a part.
+    """
     node = lambda start, score, i: F.array(F.struct(start.cast("int").alias("start"), score.alias("score"), i.cast("int").alias("id")))
+    kind = "array<struct<start:int,score:double,id:int>>"
 
-    def step(nodes: Column, e: Column) -> Column:
+    def step(state: Column, e: Column) -> Column:
+        nodes, base = state["near"], state["base"]
         end, start, number = F.shiftright(e, 40).cast("int"), F.shiftright(e, 17).bitwiseAND((1 << 23) - 1).cast("int"), e.bitwiseAND(_ID)
-        total = F.get(nodes, start)["score"] + piece_score(number, unknown)
-        fresh = F.size(nodes) == end
-        better = total > F.get(nodes, end)["score"]
-        return F.when(fresh, F.concat(nodes, node(start, total, number - 1))).when(better, F.concat(F.slice(nodes, F.lit(1), end), node(start, total, number - 1))).otherwise(nodes)
+        total = F.get(nodes, start - base)["score"] + piece_score(number, unknown)
+        fresh = F.size(nodes) == end - base
+        better = total > F.get(nodes, end - base)["score"]
+        grown = F.when(fresh, F.concat(nodes, node(start, total, number - 1))).when(better, F.concat(F.slice(nodes, F.lit(1), end - base), node(start, total, number - 1))).otherwise(nodes)
+        return F.struct(base.alias("base"), grown.alias("near"))
+
+    def chunk(state: Column, i: Column) -> Column:
+        begin = F.struct(state["base"].alias("base"), state["near"].alias("near"))
+        return F.transform(F.array(F.aggregate(F.slice(edges, i * _CHUNK + 1, F.lit(_CHUNK)), begin, step)), lambda s: settled(state["done"], s))[0]
 
-    nodes = F.aggregate(edges, node(F.lit(0), F.lit(0.0), F.lit(-2)), step)
+    def settled(done: Column, s: Column) -> Column:
+        away = F.greatest(F.size(s["near"]) - (longest + 1), F.lit(0))
+        return F.struct((s["base"] + away).alias("base"), F.slice(s["near"], away + 1, F.lit(longest + 2)).alias("near"), F.concat(done, F.array(F.slice(s["near"], F.lit(1), away))).alias("done"))
+
+    start = F.struct(F.lit(0).alias("base"), node(F.lit(0), F.lit(0.0), F.lit(-2)).cast(kind).alias("near"), F.array().cast(f"array<{kind}>").alias("done"))
+    chunks = F.sequence(F.lit(0), F.floor((F.size(edges) - 1) / _CHUNK).cast("int"))
+    nodes = F.aggregate(chunks, start, chunk, lambda s: F.concat(F.flatten(s["done"]), s["near"]))
 
     def walk(all_nodes: Column) -> Column:
         begin = F.struct((F.size(all_nodes) - 1).alias("at"), F.array().cast("array<int>").alias("path"))
@@ -101,13 +122,13 @@ def encode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFr
     dealt = texts.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).repartition(int(blocks), "block")
     # doc_id is counted, which is always true, so that both uses of the texts have the same columns and share one shuffle
     words = dealt.select("doc_id", "block", F.explode(parts(F.col("text"))).alias("part")).groupBy("block", "part").agg(F.count("doc_id").alias("n")).where("n >= 0")
-    paths = _edges(words.select("block", "part"), vocabulary, spark).select(F.col("block").alias("own_block"), "part", best_path(F.col("edges"), vocabulary.unknown).alias("ids"))
+    paths = _edges(words.select("block", "part"), vocabulary, spark).select(F.col("block").alias("own_block"), "part", best_path(F.col("edges"), vocabulary.unknown, vocabulary.longest).alias("ids"))
 
     def gather(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = {}
+        ids, names = {}, _names(vocabulary)
         for part, own in zip(right["part"].to_pylist(), right["ids"].to_pylist()):
             if -1 in own:
-                own = _with_bytes(part, own, vocabulary)
+                own = _with_bytes(part, own, vocabulary, names)
             ids[part] = np.array(own, np.int32)
         split = re.compile(PARTS).findall
         out = []
@@ -121,9 +142,8 @@ def encode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFr
     return dealt.groupBy("block").cogroup(paths.groupBy("own_block")).applyInArrow(gather, "doc_id long, text string, ids array<int>")
 
 
-def _with_bytes(part: str, path: list[int], vocabulary: Vocabulary) -> list[int]:
+def _with_bytes(part: str, path: list[int], vocabulary: Vocabulary, names: dict[int, str]) -> list[int]:
     """Put the byte pieces of unknown characters in their places."""
-    names = _names(vocabulary)
     out, at = [], 0
     for i in path:
         if i == -1:
@@ -135,14 +155,8 @@ def _with_bytes(part: str, path: list[int], vocabulary: Vocabulary) -> list[int]
     return out
 
 
-_by_id: dict[int, dict[int, str]] = {}
-
-
 def _names(vocabulary: Vocabulary) -> dict[int, str]:
-    if id(vocabulary) not in _by_id:
-        _by_id.clear()
-        _by_id[id(vocabulary)] = {i: piece for piece, (i, _) in vocabulary.pieces.items()}
-    return _by_id[id(vocabulary)]
+    return {i: piece for piece, (i, _) in vocabulary.pieces.items()}
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -50,3 +50,33 @@ def test_held_out_accuracy(spark):
     got = [r for r in op9_language_id(spark, SF).collect() if r.held_out and r.lang_pred != "und"]
     assert len(got) > 30
     assert sum(truth[r.doc_id] == r.lang_pred for r in got) >= 0.95 * len(got)
+
+
+def test_segments_and_slices(monkeypatch):
+    """Long and varied texts are taken in segments of symbols and slices of n-grams; sums are the same."""
+    from tessera.llm import language_id as li
+
+    p = Profiles(dimensions=32)
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9000, 500))) + " word", "", "abc def " * 40, "é"]
+    want = bundles(texts, p)
+    monkeypatch.setattr(li, "_SEGMENT", 37)
+    monkeypatch.setattr(li, "_GRAMS", 5)
+    assert np.allclose(bundles(texts, p), want) and np.allclose(want, [brute_bundle(t, p) for t in texts])
+
+
+def test_memory_of_a_varied_text():
+    """A text of 250,000 different n-grams takes less than 300 MB."""
+    import subprocess
+    import sys
+
+    code = (
+        "import resource, numpy as np\n"
+        "from tessera.llm.language_id import Profiles, bundles\n"
+        "bundles(['warm'], Profiles())\n"
+        "before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+        "bundles([''.join(map(chr, np.random.default_rng(1).integers(0x4E00, 0x9FFF, 250_000)))], Profiles())\n"
+        "print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)\n"
+    )
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert int(out.stdout) < 300, out.stdout

@@ -74,3 +74,17 @@ def test_scores_in_sql(spark):
 
     rows = spark.range(0, 32001).select("id", lattice.piece_score(F.col("id"), -99.0).alias("s")).collect()
     assert all(r.s == (-99.0 if r.id == 0 else unigram.score(r.id - 1)) for r in rows)
+
+
+def test_long_parts(spark, library):
+    """Parts without a space of tens of thousands of characters, folded chunk by chunk in time that grows with their length."""
+    import time
+
+    r = random.Random(3)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/中文字"
+    rows = [(i, "".join(r.choice(alphabet) for _ in range(n))) for i, n in enumerate((700, 5000, 32_000))]
+    begun = time.time()
+    with lattice.wide_aggregates(spark):
+        got = {x.doc_id: x.ids for x in lattice.encode(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()}
+    assert time.time() - begun < 90
+    assert got == {i: library.encode(t) for i, t in rows}
