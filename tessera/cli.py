@@ -9,6 +9,7 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from tessera import constants as C
 from tessera.operators import findings, scores
 from tessera.plans import analysis, render
 from tessera.sources import files as sources
@@ -50,13 +51,25 @@ def _ratio(files, options) -> float:
     return analysis.duplicates(files, options).ratio.first().ratio
 
 
+def _folder(path: str) -> str:
+    """The folder whose history tells about a path: itself, or that of a file."""
+    return path if os.path.isdir(path) else os.path.dirname(os.path.abspath(path))
+
+
+def _calibration_file(paths: list[str]) -> str | None:
+    """A calibration file where the tool runs, or else beside what it looks at."""
+    places = [os.getcwd(), *map(_folder, paths)]
+    return next(filter(os.path.isfile, (os.path.join(p, C.CALIBRATION_FILE) for p in places)), None)
+
+
 def main(argv: list[str] | None = None) -> int:
     try:
         args = _parser().parse_args(argv)
     except SystemExit as e:
         return 1 if e.code else 0
     spark = SparkSession.builder.appName("tessera").getOrCreate()
-    calibration = load(spark, args.calibration) if args.calibration else Calibration()
+    at = args.calibration or _calibration_file(args.paths)
+    calibration = load(spark, at) if at else Calibration()
     stdin = getattr(args, "stdin", False)
     if stdin:
         files = sources.from_bytes(spark, [("<stdin>" + (f".{args.lang}" if args.lang else ""), sys.stdin.buffer.read())])
@@ -69,7 +82,7 @@ def main(argv: list[str] | None = None) -> int:
             own = sources.read_folder(spark, path) if os.path.isdir(path) else sources.read_file(spark, path)
             files = own if files is None else files.unionByName(own)
     project = not stdin and any(map(os.path.isdir, args.paths))
-    git = next(filter(os.path.isdir, args.paths), None) if getattr(args, "git", False) else None
+    git = _folder(args.paths[0]) if getattr(args, "git", False) and not stdin else None
     options = analysis.Options(include_general=getattr(args, "all", args.command == "report"), git_folder=git, prior=getattr(args, "prior", 0.5), calibration=calibration, threshold=getattr(args, "threshold", 0.30), cross_language=getattr(args, "cross_lang", False))
     if args.command == "check":
         found = analysis.check(files, options).cache()
@@ -79,9 +92,11 @@ def main(argv: list[str] | None = None) -> int:
             print("no issues found")
         return render.exit_of_check(counts)
     if args.command == "dupes":
-        clusters = analysis.duplicates(files, options).clusters
-        _show(clusters.select(F.to_json(F.struct("*")).alias("text")))
-        return render.exit_of_duplicates(clusters)
+        found = analysis.duplicates(files, options)
+        _show(render.duplicate_listing(found.functions, found.members, found.clusters))
+        if not found.clusters.limit(1).count():
+            print(f"no duplicate functions found (NCD < {options.threshold:.2f}, bodies of at least {C.LEAST_BODY} bytes)")
+        return render.exit_of_duplicates(found.clusters)
     scored = analysis.scan(files, options, project).cache()
     overview = scores.project(scored)
     _show(files.where("skip_reason is not null").select(F.format_string("skipped %s (%s)", "path", "skip_reason").alias("text")))
@@ -101,9 +116,11 @@ def main(argv: list[str] | None = None) -> int:
         _show(overview.select(F.format_string("project score %.1f", F.col("project_score") * 10).alias("text")))
     if args.command == "report":
         tables = analysis.report(files, options)
-        for name in ("findings", "duplicates", "methodology"):
-            print(f"\n{name.upper()}")
-            _show(render.findings_text(tables[name]) if name == "findings" else tables[name].select(F.to_json(F.struct("*")).alias("text")))
+        for name in ("overview", "summary", "findings", "dead_code", "duplicate_listing", "skipped", "methodology", "settings"):
+            title = name.upper().replace("_", " ")
+            print(f"\n{'-' * 72}\n  {title}\n{'-' * 72}")
+            text = tables[name] if name == "duplicate_listing" else render.findings_text(tables[name]) if name in ("findings", "dead_code") else tables[name].select(F.to_json(F.struct("*")).alias("text"))
+            _show(text)
     return render.exit_of_scan(overview)
 
 

@@ -106,3 +106,8 @@ GAUSSIAN = {
 # Probability of a pattern in machine-written and in human code.
 BINARY = {"narration": (0.40, 0.01), "decay": (0.25, 0.05), "overwrap": (0.18, 0.01), "namebreak": (0.15, 0.02)}
 TEMPERATURE = 2.0
+
+#: Bytes in which the parameters of a function are looked for.
+SIGNATURE = 512
+#: Name of a calibration file that is looked for where the tool runs and beside what it looks at.
+CALIBRATION_FILE = "tessera-calibration.json"

@@ -135,35 +135,58 @@ def dropped_errors(lines: DataFrame) -> DataFrame:
     return _capped(hits, "err-suppress", "error is dropped", "%d total dropped errors in file")
 
 
+#: What stands between parentheses, three levels deep.
+_BALANCED = r"[^()]*(?:\([^()]*(?:\([^()]*(?:\([^()]*\)[^()]*)*\)[^()]*)*\)[^()]*)*"
+
+
 def unused_parameters(functions: DataFrame) -> DataFrame:
     """Parameters whose name is no word of the body, comments and strings included."""
-    inside = F.regexp_extract("signature", r"\(([^()]*(?:\([^()]*\)[^()]*)*)\)[^()]*$", 1)
-    part = F.explode(F.slice(F.split(inside, ","), 1, 16))
-    rows = functions.where(F.col("body_len") >= 10).select("path", "language", "name", "start_line", "func_idx", "body", part.alias("part"))
+    python = F.col("language") == "python"
+    inside = F.when(python, F.regexp_extract("head", rf"^\s*(?:async +)?def +\w+\s*\(({_BALANCED})\)", 1)).otherwise(F.regexp_extract("head", rf"\(({_BALANCED})\)[^()]*$", 1))
+    # a comma within brackets parts no parameters, but one in a pattern of a script's parameter does
+    flat = F.regexp_replace(F.replace(inside, F.lit("=>"), F.lit("")), r":\s*\{[^{}]*\}", "")
+    flat = F.when(F.col("language").isin("ts", "js"), F.regexp_replace(flat, "[{}]", " ")).otherwise(flat)
+    for _ in range(3):
+        flat = F.regexp_replace(flat, r"[(<\[{][^()<>\[\]{}]*[)>\]}]", "")
+    part = F.explode(F.slice(F.split(flat, ","), 1, 16))
+    # a def that goes on over more lines: its body begins after them
+    lines_of_def = F.size(F.split(F.regexp_extract("head", rf"^\s*(?:async +)?def +\w+\s*\({_BALANCED}\)", 0), "\n")) - 1
+    body = F.when(python & (lines_of_def > 0), F.array_join(F.slice(F.split("body", "\n"), lines_of_def + 1, F.lit(1 << 30)), "\n")).otherwise(F.col("body"))
+    rows = functions.where(F.col("body_len") >= 10).select("path", "language", "name", "start_line", "func_idx", body.alias("body"), part.alias("part"))
     typed = F.regexp_extract(F.regexp_replace("part", "=.*$", ""), r"([A-Za-z_$][A-Za-z0-9_$]*)[^A-Za-z0-9_$]*$", 1)
-    named = F.regexp_extract("part", r"^[ \t.*&{\[]*([A-Za-z_$][A-Za-z0-9_$]*)", 1)
+    named = F.regexp_extract("part", r"^\s*[ \t.*&{\[]*([A-Za-z_$][A-Za-z0-9_$]*)", 1)
     rows = rows.withColumn("parameter", F.when(F.col("language").isin("c", "cpp", "java", "rust", "swift", "other"), typed).otherwise(named))
     rows = rows.where((F.char_length("parameter") >= 2) & ~T.is_parameter_word(F.col("parameter")))
     used = F.array_contains(F.regexp_extract_all("body", F.lit("[A-Za-z0-9_$]+"), F.lit(0)), F.col("parameter"))
     return _finding(rows.where(~used), "zombie-param", GENERAL, F.format_string("parameter '%s' in %s() is never used", "parameter", _shown("name")), "start_line")
 
 
+def _clauses(text: Column, pattern: str, group: int) -> Column:
+    """What the pattern finds, each with its place (from 1) in the text; the same clause may stand twice."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<clause:string,pos:int>>").alias("out"))
+
+    def step(acc: Column, clause: Column) -> Column:
+        pos = F.call_function("locate", clause, text, acc["at"])
+        return F.struct((pos + F.char_length(clause)).alias("at"), F.concat(acc["out"], F.array(F.struct(clause.alias("clause"), pos.alias("pos")))).alias("out"))
+
+    return F.aggregate(found, start, step)["out"]
+
+
 def imports(lexed: DataFrame, lines: DataFrame) -> DataFrame:
     """path, line and name of what a file imports; a group in braces has the line where it starts."""
-    at_line = lambda pos: F.size(F.split(F.expr(f"substring(raw, 1, {pos})"), "\n"))
-    raw_code = F.col("code")
+    at_line = F.size(F.split(F.expr("substring(raw, 1, found.pos)"), "\n"))
+    raw_code, clause = F.col("code"), F.col("found.clause")
     # scripts: the clause between import and from
-    script = lexed.where("language in ('ts', 'js')").select("path", "raw", F.explode(F.regexp_extract_all(raw_code, F.lit(r"(?<![A-Za-z0-9_.])import\s+(?:type\s+)?([^;'\"()]*?)\sfrom"), F.lit(1))).alias("clause"))
-    script = script.withColumn("pos", F.expr("instr(raw, clause)"))
-    names = F.explode(F.split(F.regexp_replace("clause", "[{}]", ","), ","))
-    script = script.select("path", at_line("pos").alias("line"), names.alias("item"))
+    script = lexed.where("language in ('ts', 'js')").select("path", "raw", F.explode(_clauses(raw_code, r"(?<![A-Za-z0-9_.])import\s+(?:type\s+)?([^;'\"()]*?)\sfrom", 1)).alias("found"))
+    names = F.explode(F.split(F.regexp_replace(clause, "[{}]", ","), ","))
+    script = script.select("path", at_line.alias("line"), names.alias("item"))
     script = script.select("path", "line", F.regexp_extract("item", r"([A-Za-z_$][A-Za-z0-9_$]*)\s*$", 1).alias("name")).where("name <> ''")
     # Python, line by line; a group in parentheses goes on
-    text = F.regexp_replace(raw_code, r"\\\n", "  ")
-    python = lexed.where("language = 'python'").select("path", "raw", F.explode(F.regexp_extract_all(text, F.lit(r"(?m)^[ \t]*(?:from[ \t]+[A-Za-z0-9_.]+[ \t]+import[ \t]*(?:\([^)]*\)|[^\n(]*)|import[ \t]+[^\n,]*)"), F.lit(0))).alias("clause"))
-    python = python.withColumn("pos", F.expr("instr(raw, trim(regexp_extract(clause, '^[^\\n]*', 0)))"))
-    items = F.regexp_replace(F.regexp_replace("clause", r"^\s*(?:from\s+[A-Za-z0-9_.]+\s+)?import", ""), "[()\n]", " ")
-    python = python.select("path", at_line("pos").alias("line"), F.explode(F.split(items, ",")).alias("item"))
+    python = lexed.where("language = 'python'").withColumn("joined", F.regexp_replace(raw_code, r"\\\n", "  "))
+    python = python.select("path", "raw", F.explode(_clauses(F.col("joined"), r"(?m)^[ \t]*(?:from[ \t]+[A-Za-z0-9_.]+[ \t]+import[ \t]*(?:\([^)]*\)|[^\n(]*)|import[ \t]+[^\n,]*)", 0)).alias("found"))
+    items = F.regexp_replace(F.regexp_replace(clause, r"^\s*(?:from\s+[A-Za-z0-9_.]+\s+)?import", ""), "[()\n]", " ")
+    python = python.select("path", at_line.alias("line"), F.explode(F.split(items, ",")).alias("item"))
     python = python.select("path", "line", F.coalesce(F.nullif(F.regexp_extract("item", r"\sas\s+([A-Za-z_]\w*)", 1), F.lit("")), F.regexp_extract("item", r"^\s*([A-Za-z_]\w*)", 1)).alias("name")).where("name <> ''")
     # Go: an alias, or the last part of the path
     w = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -191,14 +214,9 @@ def unused_imports(lexed: DataFrame, lines: DataFrame) -> DataFrame:
     return _finding(unused_names(found, lexer.words(lines)), "unused-import", GENERAL, F.format_string("imported name '%s' not used in file", "shown"))
 
 
-def magic_strings(lines: DataFrame) -> DataFrame:
+def magic_strings(lexed: DataFrame) -> DataFrame:
     """Strings of 8 to 127 bytes that stand three times or more in a file."""
-    marks = F.regexp_extract_all("kinds", F.lit("2+"), F.lit(0))
-    first = lines.where(F.col("kinds").contains("2")).select("path", "line", "raw", "kinds", "code")
-    pieces = F.regexp_extract_all("raw", F.lit(r"\"([^\"\\]{8,127})\"|'([^'\\]{8,127})'|`([^`\\]{8,127})`"), F.lit(0))
-    rows = first.where(F.size(marks) > 0).select("path", "line", F.explode(pieces).alias("quoted"), "raw", "kinds")
-    rows = rows.where(F.expr("substring(kinds, instr(raw, quoted), 1) = '2'"))
-    rows = rows.select("path", "line", F.expr("substring(quoted, 2, length(quoted) - 2)").alias("text"))
+    rows = lexer.strings(lexed.where(F.col("kinds").contains("2"))).where(F.char_length("text").between(8, 127))
     found = rows.groupBy("path", "text").agg(F.count("*").alias("n"), F.min("line").alias("line")).where("n >= 3")
     cut = F.concat(F.substring("text", 1, 48), F.when(F.char_length("text") > 48, "...").otherwise(""))
     return _finding(found, "magic-string", GENERAL, F.format_string('string "%s" repeated %d times', cut, "n"))
@@ -240,7 +258,7 @@ def check(files: DataFrame, include_general: bool = False, tables: lexer.Tables
     ]
     if include_general:
         words = lexer.words(lines)
-        found += [unused_parameters(functions), unused_imports(lexed, lines), magic_strings(lines), dead_code(functions, words)]
+        found += [unused_parameters(functions), unused_imports(lexed, lines), magic_strings(lexed), dead_code(functions, words)]
     out = None
     for i, table in enumerate(found):
         table = table.withColumn("detector", F.lit(i))

@@ -65,6 +65,23 @@ def lex(files: DataFrame) -> DataFrame:
     return columns.mapInPandas(run, "path string, family string, language string, raw string, code string, kinds string")
 
 
+def strings(lexed: DataFrame) -> DataFrame:
+    """Every string of the code: path, the line where it starts, spot (its first byte) and text without quotes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for path, family, raw in zip(b["path"], b["family"], b["raw"]):
+                content, line, at = raw.encode("latin-1"), 1, 0
+                for m in _TOKENS[family].finditer(content):
+                    if m.lastgroup == "string":
+                        line, at = line + content.count(b"\n", at, m.start()), m.start()
+                        out.append((path, line, at, m.group()[1:-1].decode("latin-1")))
+            yield pd.DataFrame(out, columns=["path", "line", "spot", "text"])
+
+    return lexed.select("path", "family", "raw").mapInPandas(run, "path string, line int, spot int, text string")
+
+
 def lines(lexed: DataFrame) -> DataFrame:
     """A row for each line: line (from 1), raw, code, kinds, at (its first byte), kind, indent."""
     parts = [F.split(c, "\n") for c in ("raw", "code", "kinds")]
@@ -167,13 +184,18 @@ def python_functions(lines_: DataFrame) -> DataFrame:
     rows = lines_.where((F.col("family") == C.PYTHON) & (F.col("kind") == "code"))
     spaces = F.char_length(F.regexp_extract("code", "^ *", 0))
     is_def = F.col("code").rlike(r"^ *(?:async )?def ")
-    rows = rows.select("path", "family", "language", "line", "code", "at", spaces.alias("spaces"), is_def.alias("is_def"))
-    defs = rows.where("is_def").drop("is_def")
-    later = rows.select(F.col("path").alias("p"), F.col("line").alias("l"), F.col("at").alias("a"), F.col("spaces").alias("s"), F.col("is_def").alias("d"))
-    ends = defs.join(later, (F.col("path") == F.col("p")) & (F.col("l") > F.col("line")) & ((F.col("s") <= F.col("spaces")) | F.col("d")), "left")
-    ends = ends.groupBy("path", "line").agg(F.min(F.struct("l", "a")).alias("next"))
+    # every line belongs to the last def before it, and its function ends at the next def at the latest
+    by_line = Window.partitionBy("path").orderBy("line")
+    rows = rows.withColumn("def_no", F.sum(is_def.cast("int")).over(by_line)).where("def_no > 0")
+    rows = rows.withColumn("own", F.first(spaces).over(Window.partitionBy("path", "def_no").orderBy("line")))
+    closing = F.col("code").rlike(r"^\s*\)")  # of a def that goes on over more lines
+    shallow = F.when(~is_def & ~closing & (spaces <= F.col("own")), F.struct(F.col("line").alias("l"), F.col("at").alias("a")))
+    head = F.max(F.when(is_def, F.struct("family", "language", "line", "code", "at"))).alias("head")
+    defs = rows.groupBy("path", "def_no").agg(head, F.min(shallow).alias("shallow")).select("path", "head.*", "shallow")
+    following = F.lead(F.struct(F.col("line").alias("l"), F.col("at").alias("a"))).over(by_line)
+    defs = defs.withColumn("next", F.coalesce("shallow", following))
     whole = lines_.groupBy("path").agg(F.max("line").alias("last"), F.max(F.col("at") + F.char_length("raw")).alias("size"))
-    found = defs.join(ends, ["path", "line"]).join(whole, "path")
+    found = defs.join(whole, "path")
     begin = F.col("at") + F.char_length("code") + 1
     end = F.coalesce(F.col("next.a"), F.col("size"))
     name = F.regexp_extract("code", r"def +([A-Za-z_][A-Za-z0-9_]*)", 1)
@@ -184,10 +206,14 @@ def functions(lexed: DataFrame, lines_: DataFrame | None = None) -> DataFrame:
     """Functions of C-like and Python files with their bodies, numbered by file."""
     rows = lines(lexed) if lines_ is None else lines_
     found = c_functions(rows).unionByName(python_functions(rows))
-    found = found.join(lexed.select("path", "raw"), "path")
+    found = found.join(lexed.select("path", "raw", F.col("code").alias("all_code")), "path")
     body = F.expr("substring(raw, cast(body_offset + 1 as int), cast(body_len as int))")
+    # a signature may stand on several lines: the code before the body, for Python from the def on
+    before = F.expr(f"substring(all_code, cast(greatest(body_offset - {C.SIGNATURE}, 0) + 1 as int), cast(least(body_offset, {C.SIGNATURE}) as int))")
+    after = F.expr(f"substring(all_code, cast(greatest(body_offset - length(signature) - 1, 0) + 1 as int), {C.SIGNATURE})")
     w = Window.partitionBy("path").orderBy("body_offset")
-    return found.withColumn("body", body).drop("raw").withColumn("func_idx", F.row_number().over(w) - 1)
+    found = found.withColumn("body", body).withColumn("head", F.when(F.col("family") == C.PYTHON, after).otherwise(before))
+    return found.drop("raw", "all_code").withColumn("func_idx", F.row_number().over(w) - 1)
 
 
 def overwraps(lines_: DataFrame) -> DataFrame:

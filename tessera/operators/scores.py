@@ -100,7 +100,8 @@ def score_files(metrics: DataFrame, calibration: Calibration = Calibration(), pr
 
 def signals(scores: DataFrame) -> DataFrame:
     """A row for each signal of each file, with its explanation."""
-    rows = scores.select("path", F.posexplode("signals").alias("ord", "s")).select("path", "ord", "s.*")
+    # an inner explode would bring a filter on the array, whose whole expression is then computed twice
+    rows = scores.select("path", F.posexplode_outer("signals").alias("ord", "s")).where("ord is not null").select("path", "ord", "s.*")
     table = F.create_map(*[F.lit(x) for pair in EXPLANATIONS.items() for x in pair])
     return rows.withColumn("why", F.try_element_at(table, F.col("signal")))
 

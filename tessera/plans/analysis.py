@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from tessera import constants as C
 from tessera.operators import duplicates as D
 from tessera.operators import features, findings, lexer, scores
+from tessera.plans import render
 from tessera.sources import files as sources
 from tessera.sources import history
-from tessera.sources.settings import Calibration, as_table
+from tessera.sources.settings import Calibration, as_table, bounds_table
 from tessera.sources.staging import written
 
 
@@ -83,8 +84,11 @@ def report(files: DataFrame, options: Options = Options(include_general=True)) -
         "summary": findings.severity_counts(found),
         "dead_code": found.where("kind = 'dead-code'"),
         "duplicates": dup.clusters,
+        "members": dup.functions.join(dup.members, "func_ord").select("cluster", "func_ord", "path", "start_line", "end_line", "name"),
+        "duplicate_listing": render.duplicate_listing(dup.functions, dup.members, dup.clusters),
         "skipped": files.where("skip_reason is not null").select("path", "skip_reason"),
         "methodology": as_table(files.sparkSession, options.calibration),
+        "settings": bounds_table(files.sparkSession, options.calibration, options.threshold),
     }
 
 

@@ -24,10 +24,22 @@ def file_table(scores: DataFrame) -> DataFrame:
 
 
 def signal_table(signals: DataFrame) -> DataFrame:
-    text = F.format_string("  %-32s %-16s %+.2f", F.concat("grp", F.lit(" / "), "signal"), "measured", "llr")
+    text = F.format_string("  %-32s %-16s %+.2f  %s", F.concat("grp", F.lit(" / "), "signal"), "measured", "llr", F.coalesce("why", F.lit("")))
     return signals.orderBy("path", "ord").select("path", "ord", text.alias("text"))
 
 
+def duplicate_listing(functions: DataFrame, members: DataFrame, clusters: DataFrame) -> DataFrame:
+    """The clusters in their order, each with a header and a line for every member."""
+    rank = F.row_number().over(Window.orderBy(F.desc("size"), "cluster"))  # clusters is the bounded top of the list
+    top = clusters.withColumn("rank", rank)
+    head = top.select("rank", F.lit(-1).cast("long").alias("func_ord"), F.format_string("\n  cluster %d - NCD %.2f (%s)", "rank", "min_ncd", "label").alias("text"))
+    name = F.when(F.col("name") == "", "?").otherwise(F.col("name"))
+    line = F.format_string("    %s:%d\t%s()\t[%d lines]", "path", "start_line", name, F.col("end_line") - F.col("start_line") + 1)
+    rows = members.join(F.broadcast(top.select("cluster", "rank")), "cluster").join(functions, "func_ord")
+    rows = rows.select("rank", F.col("func_ord").cast("long").alias("func_ord"), line.alias("text"))
+    return head.unionByName(rows).orderBy("rank", "func_ord")
+
+
 def exit_of_check(counts: DataFrame) -> int:
     return counts.first().exit_code
 

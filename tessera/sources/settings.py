@@ -72,3 +72,9 @@ def as_table(spark: SparkSession, c: Calibration) -> DataFrame:
     """Parameters as rows, for reports."""
     rows = [(k, *map(float, v)) for k, v in c.gaussian.items()] + [(k, float(p), None, float(q), None) for k, (p, q) in c.binary.items()]
     return spark.createDataFrame(rows, "signal string, mu_ai double, sigma_ai double, mu_h double, sigma_h double")
+
+
+def bounds_table(spark: SparkSession, c: Calibration, threshold: float) -> DataFrame:
+    """What else a report's method depends on, by name."""
+    rows = [("temperature", float(c.temperature)), ("clamp of a signal", float(c.limit)), ("calibrated", float(c.loaded)), ("duplicate distance", float(threshold))]
+    return spark.createDataFrame(rows, "setting string, value double")

@@ -2,18 +2,44 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_open: list[list] = []
+
+
+def _target(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, a folder in the warehouse, which executors share as well."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_staged"
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The same rows, read from Parquet; the files go when the session ends."""
+    """The same rows, read from Parquet; the files go when the session ends, or the released() block around it."""
     spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    path = f"{where}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    target, system = _target(spark, path)
+    system.deleteOnExit(target)
+    if _open:
+        _open[-1].append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Tables written inside are deleted at the end: for steps whose result is stored by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _open.pop():
+            target, system = _target(spark, path)
+            system.delete(target, True)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import paths
 from tessera.operators import findings
 from tessera.sources.files import described
+from tessera.sources.staging import released
 
 SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -23,7 +24,8 @@ def check_stream(files: DataFrame, target: str, checkpoint: str, include_general
     """Findings of each batch of new files, appended to a Parquet folder."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        found = findings.check(batch, include_general).withColumn("epoch", F.lit(epoch))
-        found.write.mode("append").parquet(target)
+        with released():  # a stream runs on and on
+            found = findings.check(batch, include_general).withColumn("epoch", F.lit(epoch))
+            found.write.mode("append").parquet(target)
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()

@@ -212,3 +212,63 @@ def test_lexer_keeps_places(content, family):
     assert len(code) == len(kinds) == len(content)
     for c, x, k in zip(content, code, kinds):
         assert (c == 10) == (k == 10) and (x == c if k in b"0\n" else x == 32)
+
+
+def findings_of(spark, name, text):
+    rows = analysis.check(sources.from_bytes(spark, [(name, text.encode())]), analysis.Options(include_general=True)).collect()
+    return [(r.kind, r.line, r.message) for r in rows]
+
+
+def test_strings_by_their_tokens(spark):
+    got = findings_of(spark, "a.ts", 'f("x" + separator + "y");\n' * 3 + 'g("tab\\tseparated value");\n' * 3 + "h(`over\ntwo lines`);\n" * 3 + "k('only twice here'); k('only twice here');\n")
+    assert [x for x in got if x[0] == "magic-string"] == [("magic-string", 4, 'string "tab\\tseparated value" repeated 3 times'), ("magic-string", 7, 'string "over\ntwo lines" repeated 3 times')]
+
+
+def test_parameters_over_several_lines(spark):
+    go = "export function go(\n  usedOne: Map<string, number>,\n  neverUsed: Array<[string, number]>,\n  callback: (a: string, b: number) => void\n) {\n  return usedOne + callback + go.length;\n}\n"
+    got = {m for k, _, m in findings_of(spark, "a.ts", go) if k == "zombie-param"}
+    assert got == {"parameter 'neverUsed' in go() is never used"}
+    py = "def work(\n    used,\n    never_used=(1, 2),\n):\n    return used + 1 + 2 + 3\n\n\nwork(1)\n"
+    assert {m for k, _, m in findings_of(spark, "a.py", py) if k == "zombie-param"} == {"parameter 'never_used' in work() is never used"}
+    c = "int f(int first, void *second,\n      int third) {\n  (void)second;\n  return first + 10;\n}\n"
+    assert {m for k, _, m in findings_of(spark, "a.c", c) if k == "zombie-param"} == {"parameter 'third' in f() is never used"}
+
+
+def test_errors_dropped_in_go(spark):
+    go = "package main\n\nfunc run() {\n\tvalue, _ := load()\n\t_ = fmt.Sprintf(\"%v\", value)\n\t_ = closeErr()\n\tfor _, x := range value {\n\t\tuse(x)\n\t}\n}\n"
+    assert [x[1] for x in findings_of(spark, "a.go", go) if x[0] == "err-suppress"] == [4, 6]
+
+
+def test_equal_imports_have_their_own_lines(spark):
+    text = "import { Thing } from 'a';\nconst x = 1;\nimport { Thing } from 'b';\nexport default x;\n"
+    files = sources.from_bytes(spark, [("a.ts", text.encode()), ("b.py", b"import os\nimport sys\nimport os\nprint(1)\n")])
+    tables = lexer.tables(files)
+    from tessera.operators.findings import imports
+
+    got = sorted((r.path, r.line, r.name) for r in imports(tables.lexed, tables.lines).collect())
+    assert got == [("a.ts", 1, "Thing"), ("a.ts", 3, "Thing"), ("b.py", 1, "os"), ("b.py", 2, "sys"), ("b.py", 3, "os")]
+
+
+def test_python_functions_end(spark):
+    text = "def a():\n    x = 1\n\n    def inner():\n        return 2\n    return inner\nvalue = 3\nasync def b():\n    pass\n"
+    got = sorted((r.start_line, r.end_line, r.name) for r in lexer.tables(sources.from_bytes(spark, [("a.py", text.encode())])).functions.collect())
+    assert got == [(1, 3, "a"), (4, 5, "inner"), (8, 10, "b")] or got == [(1, 3, "a"), (4, 5, "inner"), (8, 9, "b")]
+
+
+def test_listing_report_and_calibration_file(spark, tmp_path, capsys, monkeypatch):
+    from tessera import cli
+
+    body = "\n".join(f"  const value{i} = input.part{i} + other.part{i} * {i};" for i in range(12))
+    (tmp_path / "a.ts").write_text(f"export function fetchOne(input, other) {{\n{body}\n  return value1;\n}}\n")
+    (tmp_path / "b.ts").write_text(f"export function fetchTwo(input, other) {{\n{body}\n  return value2;\n}}\n")
+    assert cli.main(["dupes", str(tmp_path)]) == 2
+    text = capsys.readouterr().out
+    assert "cluster 1 - NCD 0.0" in text and "b.ts:1\tfetchTwo()\t[15 lines]" in text and "a.ts:1\tfetchOne()" in text
+    pairs = {k: {"mu_ai": 0.5, "sigma_ai": 0.1, "mu_h": 0.4, "sigma_h": 0.1} for k in ("regularity", "ccr", "cond", "ident")}
+    import json
+
+    (tmp_path / "tessera-calibration.json").write_text(json.dumps({"version": 1, "temperature": 3.5, "signals": pairs}))
+    monkeypatch.chdir(tmp_path)
+    assert cli.main(["report", str(tmp_path)]) in (0, 1, 2)
+    text = capsys.readouterr().out
+    assert all(x in text for x in ("OVERVIEW", "SUMMARY", "METHODOLOGY", "DUPLICATE LISTING", '"temperature","value":3.5', "How even line lengths"))
