@@ -1,6 +1,6 @@
 """Queries by name, with the DuckDB SQL that gives the same rows where SQL can."""
 
-from tessera.plans import documents, samples, tables
+from tessera.plans import documents, parts, samples, tables
 
-QUERIES = {name: query for name, (query, _) in documents.QUERIES.items()} | samples.QUERIES | tables.SCANS | tables.TABLES
-ORACLE_SQL = {name: sql for name, (_, sql) in documents.QUERIES.items() if sql}
+QUERIES = {name: query for name, (query, _) in documents.QUERIES.items()} | samples.QUERIES | tables.SCANS | tables.TABLES | parts.QUERIES
+ORACLE_SQL = {name: sql for name, (_, sql) in documents.QUERIES.items() if sql} | parts.ORACLE_SQL
