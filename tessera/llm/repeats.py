@@ -141,12 +141,17 @@ def anchors(texts: DataFrame, p: Windows) -> DataFrame:
     return texts.select("row", "text").mapInArrow(run, "seed long, row long, places array<int>")
 
 
-def _contexts(joined: DataFrame, p: Windows) -> DataFrame:
-    """Anchors of repeated seeds with the text that their windows cover; equal ones of a document share a row."""
+def _contexts(joined: DataFrame, p: Windows, wide: bool = False) -> DataFrame:
+    """Anchors of repeated seeds with the text that their windows cover; equal ones of a document share a row.
+
+    With ``wide`` a context reaches two widths to both sides, whichever windows are the anchor's, and each has its digest;
+    early and late are the first and last start of the anchor's windows, relative to it.
+    """
+    schema = "seed long, crowded boolean, row long, doc long, pos array<int>, left int, units int, own long, context binary" + ", early int, late int" * wide
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["seed", "crowded", "row", "doc", "pos", "left", "units", "own", "context"]
-        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+        names = [f.split()[0] for f in schema.split(", ")]
+        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int64(), pa.binary(), *[pa.int32()] * 2 * wide]
         out: list[list] = [[] for _ in names]
         size = 0
 
@@ -166,12 +171,14 @@ def _contexts(joined: DataFrame, p: Windows) -> DataFrame:
                 equal: dict[tuple, list[int]] = {}
                 for seed, places, crowded in zip(*[found[c].to_pylist() for c in range(3)]):
                     for pos, lo, hi in zip(places[::3], places[1::3], places[2::3]):
-                        end = hi + p.width
+                        end, reach = hi + p.width, (lo - pos, hi - pos) if wide else ()
+                        if wide:
+                            lo, end = max(0, pos - 2 * p.width), min(len(units), pos + 2 * p.width)
                         piece = units[lo:end] if p.unit == "byte" else b" ".join(units[lo:end])
-                        equal.setdefault((seed, crowded, pos - lo, end - lo, piece), []).append(pos)
-                for (seed, crowded, left, length, piece), pos in equal.items():
-                    own = int.from_bytes(hashlib.blake2b(piece, digest_size=8, key=b"%d %d" % (seed, left)).digest(), "little", signed=True) if crowded else None
-                    for x, v in zip(out, (seed, crowded, row, doc, pos, left, length, own, piece)):
+                        equal.setdefault((seed, crowded, pos - lo, end - lo, piece, reach), []).append(pos)
+                for (seed, crowded, left, length, piece, reach), pos in equal.items():
+                    own = int.from_bytes(hashlib.blake2b(piece, digest_size=8, key=b"%d %d" % (seed, left)).digest(), "little", signed=True) if crowded or wide else None
+                    for x, v in zip(out, (seed, crowded, row, doc, pos, left, length, own, piece, *reach)):
                         x.append(v)
                     size += len(piece) + 40
                 if size > 1 << 20:
@@ -180,7 +187,7 @@ def _contexts(joined: DataFrame, p: Windows) -> DataFrame:
         if out[0]:
             yield flush()
 
-    return joined.mapInArrow(run, "seed long, crowded boolean, row long, doc long, pos array<int>, left int, units int, own long, context binary")
+    return joined.mapInArrow(run, schema)
 
 
 class Batch:
@@ -236,44 +243,50 @@ def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return at
 
 
-def _resolved(contexts: DataFrame, p: Windows, resolve: Callable[[Batch], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """seed, key, pos, and lo and hi of repeated symbols relative to pos, of rows (seed, key, doc, copies, pos, left, context)."""
-
-    def spans(rows: list) -> pa.RecordBatch:
-        seed, key, docs, copies, left = (np.concatenate([r[c].to_numpy() for r in rows]) for c in (0, 1, 2, 3, 5))
-        batch = Batch(seed, left, [x for r in rows for x in r[6].to_pylist()], docs, copies, p)
-        reach_back, reach_on = resolve(batch)
-        m = batch.member
-        whole = docs > batch.least[m] if p.earlier_only else batch.count[m] > 1
-        lo = -np.where(whole, batch.left_len[m], reach_back[m])
-        hi = np.where(whole, batch.right_len[m], reach_on[m])
-        keep = hi - lo >= p.width
-        pos = pa.concat_arrays([r[4] for r in rows]).filter(pa.array(keep))
-        seed, key, lo, hi = (pa.array(x[keep]) for x in (seed, key, lo.astype(np.int32), hi.astype(np.int32)))
-        return pa.RecordBatch.from_arrays([seed, key, pos, lo, hi], names=["seed", "key", "pos", "lo", "hi"])
+def seed_groups(contexts: DataFrame, columns: tuple[str, ...], schema: str, size: int, work: Callable[[list], pa.RecordBatch]) -> DataFrame:
+    """work on lists of column slices that hold whole seeds, about size rows at a time; the first column is the seed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, n = [], 0
         for batch in batches:
-            rest = [batch.column(batch.schema.get_field_index(c)) for c in ("seed", "key", "doc", "copies", "pos", "left", "context")]
+            rest = [batch.column(batch.schema.get_field_index(c)) for c in columns]
             while len(rest[0]):
                 take = min(len(rest[0]), 1024)
                 part, rest = [c.slice(0, take) for c in rest], [c.slice(take) for c in rest]
                 keys = part[0].to_numpy()
-                if n >= p.batch:  # cut where a new seed begins
+                if n >= size:  # cut where a new seed begins
                     same = int(np.searchsorted(keys != rows[-1][0][-1].as_py(), True))
                     if same < take:
                         if same:
                             rows.append([c.slice(0, same) for c in part])
-                        yield spans(rows)
+                        yield work(rows)
                         rows, n, part = [], 0, [c.slice(same) for c in part]
                 rows.append(part)
                 n += len(part[0])
         if rows:
-            yield spans(rows)
+            yield work(rows)
+
+    return contexts.repartition(columns[0]).sortWithinPartitions(columns[0]).select(*columns).mapInArrow(run, schema)
 
-    rows = contexts.repartition("seed").sortWithinPartitions("seed").select("seed", "key", "doc", "copies", "pos", "left", "context")
-    return rows.mapInArrow(run, "seed long, key long, pos array<int>, lo int, hi int")
+
+def _resolved(contexts: DataFrame, p: Windows, resolve: Callable[[Batch], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """seed, key, pos, and lo and hi of repeated symbols relative to pos, of rows (seed, key, doc, copies, pos, left, context)."""
+
+    def spans(rows: list) -> pa.RecordBatch:
+        seed, key, docs, copies, left = (np.concatenate([r[c].to_numpy() for r in rows]) for c in (0, 1, 2, 3, 5))
+        batch = Batch(seed, left, [x for r in rows for x in r[6].to_pylist()], docs, copies, p)
+        reach_back, reach_on = resolve(batch)
+        m = batch.member
+        whole = docs > batch.least[m] if p.earlier_only else batch.count[m] > 1
+        lo = -np.where(whole, batch.left_len[m], reach_back[m])
+        hi = np.where(whole, batch.right_len[m], reach_on[m])
+        keep = hi - lo >= p.width
+        pos = pa.concat_arrays([r[4] for r in rows]).filter(pa.array(keep))
+        seed, key, lo, hi = (pa.array(x[keep]) for x in (seed, key, lo.astype(np.int32), hi.astype(np.int32)))
+        return pa.RecordBatch.from_arrays([seed, key, pos, lo, hi], names=["seed", "key", "pos", "lo", "hi"])
+
+    columns = ("seed", "key", "doc", "copies", "pos", "left", "context")
+    return seed_groups(contexts, columns, "seed long, key long, pos array<int>, lo int, hi int", p.batch, spans)
 
 
 def _placed(lo, hi):
@@ -281,7 +294,7 @@ def _placed(lo, hi):
     return F.transform("pos", lambda x: F.struct((x + lo).alias("lo"), (x + hi).alias("hi"))).alias("spans")
 
 
-def _halved(crowded: DataFrame, p: Windows) -> DataFrame:
+def halved(crowded: DataFrame, p: Windows) -> DataFrame:
     """Classes of groups that are too large -> their parts in both halves of the range of e: parent, and columns of a class."""
     schema = "parent long, grp long, a int, b int, node long, copies long, least long, left int, units int, context binary"
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
@@ -323,7 +336,7 @@ def _class_spans(classes: DataFrame, p: Windows, resolve: Callable[[Batch], tupl
     crowded = classes.where(F.col("n") > p.group_limit)
     if not crowded.limit(1).count():
         return found
-    parts = stage(_halved(crowded, p))
+    parts = stage(halved(crowded, p))
     children = parts.groupBy("node").agg(*[F.first(c).alias(c) for c in ("grp", "a", "b", "left", "units", "context")], F.sum("copies").alias("copies"), F.min("least").alias("least"))
     children = stage(children)
     below = children.select("node", F.col("least").alias("first_doc")).join(_class_spans(children, p, resolve), "node", "left")
@@ -355,17 +368,23 @@ def _crowded(contexts: DataFrame, p: Windows, resolve: Callable[[Batch], tuple[n
     return members.select("row", _placed(F.col("first"), F.col("last")))
 
 
-def repeated_spans(texts: DataFrame, p: Windows, resolve: Callable[[Batch], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """row and spans: array of (lo, hi), in symbols; every repeated window lies in one of them. texts: row, doc_id, text."""
-    texts = texts.where("text is not null").select("row", F.col("doc_id" if p.earlier_only else "row").alias("doc"), "text")
-    if p.earlier_only:
-        texts = texts.where("doc is not null")
+def repeated_contexts(texts: DataFrame, p: Windows, wide: bool = False) -> DataFrame:
+    """Staged contexts of all anchors whose seed stands twice or more. texts: row, doc, text."""
     found = stage(anchors(texts, p))
     often = stage(found.groupBy("seed").agg((F.sum(F.size("places")) / 3).alias("n")).where("n > 1"))
     hits = found.join(often, "seed").withColumn("crowded", F.col("n") > p.group_limit)
     hits = hits.groupBy("row").agg(F.collect_list(F.struct("seed", "places", "crowded")).alias("hits"))
-    contexts = stage(_contexts(texts.join(hits, "row"), p))
+    contexts = stage(_contexts(texts.join(hits, "row"), p, wide))
     unstage(found, often)
+    return contexts
+
+
+def repeated_spans(texts: DataFrame, p: Windows, resolve: Callable[[Batch], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """row and spans: array of (lo, hi), in symbols; every repeated window lies in one of them. texts: row, doc_id, text."""
+    texts = texts.where("text is not null").select("row", F.col("doc_id" if p.earlier_only else "row").alias("doc"), "text")
+    if p.earlier_only:
+        texts = texts.where("doc is not null")
+    contexts = repeated_contexts(texts, p)
     usual = contexts.where("not crowded").select("seed", F.col("row").alias("key"), "doc", F.size("pos").cast("long").alias("copies"), "pos", "left", "context")
     spans = _resolved(usual, p, resolve).select(F.col("key").alias("row"), _placed(F.col("lo"), F.col("hi")))
     crowded = contexts.where("crowded")
