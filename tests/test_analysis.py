@@ -170,12 +170,17 @@ def test_calibration(spark):
 def test_stream(spark, tmp_path):
     from tessera.streaming import watch
 
+    import os
+
+    tables = lambda: {x for x in os.listdir(spark.conf.get("spark.checkpoint.dir")) if x.startswith("table-")}
+    before = tables()
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.ts").write_text("// First, we go\nlet x = 1;\n")
     query = watch.check_stream(watch.watch_folder(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check"))
     query.processAllAvailable()
     query.stop()
     assert [r.kind for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["narration"]
+    assert tables() == before  # a batch leaves no tables behind
 
 
 def test_command_line(spark, tmp_path, capsys, monkeypatch):
