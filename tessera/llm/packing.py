@@ -154,7 +154,8 @@ class ChunkIds(dict):
         accented = [w for w in plain if not w.isascii()]
         texts = b"\n".join(simple).decode().split("\n") if simple else []
         texts += b"\n".join(accented).decode("latin-1").translate(_BYTE_LETTERS).split("\n") if accented else []
-        self.update(zip(simple + accented, [pack_ids([t.id for t in tokenize(x)]) for x in texts]))
+        found = [array("I", [t.id for t in tokenize(x)]).tobytes() for x in texts] if _LITTLE else [pack_ids([t.id for t in tokenize(x)]) for x in texts]
+        self.update(zip(simple + accented, found))
         self._encode(other)
         self.update([(c, self[x]) for c, x in lower])
         if stopped:
