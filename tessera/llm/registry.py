@@ -3,8 +3,10 @@
 from tessera.llm.embedding_dedup import op10_embedding_dedup
 from tessera.llm.jaccard_join import op6_jaccard_join
 from tessera.llm.language_id import op9_language_id
+from tessera.llm.license_scan import OP12_SQL, op12_license_scan
 from tessera.llm.oracle import OP1_SQL, OP3_SQL, OP6_SQL, OP10_SQL
 from tessera.llm.packing import op7_packing
+from tessera.llm.periodic_runs import op13_periodic_runs
 from tessera.llm.quality_classifier import op2_quality_classifier
 from tessera.llm.quality_rules import OP4_SQL, op4_quality_rules
 from tessera.llm.sentencepiece_lattice import op5_sentencepiece
@@ -23,6 +25,8 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_language_id": op9_language_id,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op12_license_scan": op12_license_scan,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": OP1_SQL,
@@ -30,4 +34,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": OP4_SQL,
     "op6_jaccard_join": OP6_SQL,
     "op10_embedding_dedup": OP10_SQL,
+    "op12_license_scan": OP12_SQL,
 }
