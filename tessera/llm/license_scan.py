@@ -371,14 +371,19 @@ def as_regex(template: str) -> str:
 
 
 def oracle(scan: Scan = Scan()) -> str:
+    sizes = sorted({len(words_of(p)) for p, _ in scan.phrases})
+    grams = ", ".join(" || ' ' || ".join(["x", *[f"lead(x, {j}) OVER o" for j in range(1, k)]]) + f" AS x{k}" for k in sizes)
+    gram = "CASE k " + " ".join(f"WHEN {k} THEN x{k}" for k in sizes) + " END"
     phrases = ", ".join(f"('{p}', {len(words_of(p))}, '{label}')" for p, label in scan.phrases)
     templates = ", ".join(f"(' {as_regex(t)}', '{label}')" for label, t in scan.templates)
     return rf"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
 ), phrases(p, k, label) AS (VALUES {phrases}), templates(r, label) AS (VALUES {templates}),
-base AS (
-  SELECT doc_id, label, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) JOIN phrases ON array_to_string(w[i:i + k - 1], ' ') = p
+grams AS (
+  SELECT doc_id, i, {grams} FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d) WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), base AS (
+  SELECT doc_id, label, i FROM grams JOIN phrases ON p = {gram}
 ), places AS (
   SELECT doc_id, count(*) AS n, min(i) - 1 AS lo, max(i) - 1 AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY doc_id
 ), own AS (

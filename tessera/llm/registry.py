@@ -1,5 +1,6 @@
 """Queries of the training-data operators, one for each, over their whole tables."""
 
+from tessera.llm.conversation_trie import OP11_SQL, op11_conversation_trie
 from tessera.llm.embedding_dedup import op10_embedding_dedup
 from tessera.llm.jaccard_join import op6_jaccard_join
 from tessera.llm.language_id import op9_language_id
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_language_id": op9_language_id,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_license_scan": op12_license_scan,
     "op13_periodic_runs": op13_periodic_runs,
 }
@@ -34,5 +36,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": OP4_SQL,
     "op6_jaccard_join": OP6_SQL,
     "op10_embedding_dedup": OP10_SQL,
+    "op11_conversation_trie": OP11_SQL,
     "op12_license_scan": OP12_SQL,
 }
