@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import constants as C
@@ -55,7 +55,8 @@ def file_metrics(lexed: DataFrame, lines: DataFrame, functions: DataFrame) -> Da
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
     start = functions.groupBy("path").agg(F.min("start_line").alias("body_start"))
     total = lines.groupBy("path").agg((F.max("line") - F.max(F.when(F.col("raw") == "", F.col("line")).otherwise(0)).eqNullSafe(F.max("line")).cast("int")).alias("total_lines"))
-    rows = lines.join(start, "path", "left").join(total, "path").withColumn("body_start", F.coalesce("body_start", F.lit(1)))
+    narrow = lines.select("path", "line", "kind", "indent", T.conditionals(F.col("code")).alias("conditionals"))
+    rows = narrow.join(start, "path", "left").join(total, "path").withColumn("body_start", F.coalesce("body_start", F.lit(1)))
     body = F.col("total_lines") - F.col("body_start") + 1
     half = F.col("body_start") + F.floor(body / 2)
     inside = (F.col("line") >= F.col("body_start")) & (F.col("line") <= F.col("total_lines")) & (body >= 2 * C.GRADIENT_LINES)
@@ -65,7 +66,7 @@ def file_metrics(lexed: DataFrame, lines: DataFrame, functions: DataFrame) -> Da
         count(F.col("kind") == "blank").alias("blank_lines"),
         count(comment).alias("comment_lines"),
         count(F.col("kind") == "code").alias("code_lines"),
-        F.sum(T.conditionals(F.col("code"))).cast("long").alias("conditionals"),
+        F.sum("conditionals").cast("long").alias("conditionals"),
         count(top).alias("top_lines"),
         count(top & comment).alias("top_comments"),
         count(inside & ~top).alias("bottom_lines"),
@@ -83,21 +84,29 @@ def file_metrics(lexed: DataFrame, lines: DataFrame, functions: DataFrame) -> Da
         by_quarter,
         sizes,
     ]
-    own = lexed.select("path", "family", "language", F.octet_length(F.encode("raw", "ISO-8859-1")).cast("long").alias("bytes"), T.line_lengths(F.col("raw")).alias("lengths"))
-    own = own.select("path", "family", "language", "bytes", T.entropy(F.col("lengths")).alias("entropy"), T.spread(F.col("lengths")).alias("line_cv"))
+    size = F.char_length("raw")  # a character is a byte here
+    own = lexed.select("path", "family", "language", size.cast("long").alias("bytes"), (F.col("packed") / size).alias("compression_ratio"), F.transform(F.filter(F.split("raw", "\n"), lambda x: x != ""), lambda x: F.char_length(x)).alias("lengths"))
+    own = own.select("path", "family", "language", "bytes", "compression_ratio", T.entropy(F.col("lengths")).alias("entropy"), T.spread(F.col("lengths")).alias("line_cv"))
     found = own.join(sums, "path", "left").join(naming(lexed, "path", "code"), "path", "left")
     for table in extra:
         found = found.join(table, "path", "left")
-    return found.fillna(0)
+    return found.fillna(0, [c for c in found.columns if c != "compression_ratio"])
 
 
 def name_breaks(lines: DataFrame, functions: DataFrame) -> DataFrame:
     """Functions with four camel or snake names at least, over a quarter of each."""
-    names = lexer.identifiers(lines).withColumnRenamed("path", "p")
-    rows = functions.join(names, (F.col("path") == F.col("p")) & F.col("line").between(F.col("start_line"), F.col("end_line")))
-    count = lambda c: F.sum(F.col(c).cast("int"))
-    found = rows.groupBy("path", "language", "name", "start_line").agg(count("is_camel").alias("camel"), count("is_snake").alias("snake"))
-    found = found.where("camel + snake >= 4")
+    own = lines.join(functions.select("path").distinct(), "path", "left_semi").select("path", "line", T.identifiers(F.col("code")).alias("w"))
+    count = lambda f: F.size(F.filter("w", f)).cast("long")
+    own = own.select("path", "line", F.lit(1).alias("order"), F.lit(None).cast("int").alias("func_idx"), count(T.is_camel).alias("camel"), count(T.is_snake).alias("snake")).where("camel + snake > 0")
+    # a function opens before its first line and closes after its last: what is counted in between is its own
+    zero = F.lit(0).cast("long")
+    edge = lambda line, order: functions.select("path", F.col(line).alias("line"), F.lit(order).alias("order"), "func_idx", zero.alias("camel"), zero.alias("snake"))
+    w = Window.partitionBy("path").orderBy("line", "order").rowsBetween(Window.unboundedPreceding, 0)
+    swept = own.unionByName(edge("start_line", 0)).unionByName(edge("end_line", 2))
+    swept = swept.withColumn("camel", F.sum("camel").over(w)).withColumn("snake", F.sum("snake").over(w)).where("func_idx is not null")
+    inside = lambda c: (F.max(F.when(F.col("order") == 2, F.col(c))) - F.max(F.when(F.col("order") == 0, F.col(c)))).alias(c)
+    found = swept.groupBy("path", "func_idx").agg(inside("camel"), inside("snake"))
+    found = found.where("camel + snake >= 4").join(functions.select("path", "func_idx", "language", "name", "start_line"), ["path", "func_idx"])
     share = lambda c: F.floor(100 * F.col(c) / (F.col("camel") + F.col("snake"))).cast("int")
     found = found.select("path", "language", "name", F.col("start_line").alias("line"), share("camel").alias("camel_pct"), share("snake").alias("snake_pct"))
     return found.where("camel_pct > 25 and snake_pct > 25")

@@ -7,7 +7,6 @@ Each has path, line, kind, severity and message. Severities are ``strong tell``,
 from __future__ import annotations
 
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,9 +56,13 @@ def _shown(name: str) -> Column:
 
 
 def overwraps(lines: DataFrame, functions: DataFrame) -> DataFrame:
-    hits = lexer.overwraps(lines).select(F.col("path").alias("p"), F.col("line").alias("at_line"), "pos", F.col("depth").alias("nested"))
-    rows = hits.join(functions, F.expr("p = path and pos >= body_offset and pos < body_offset + body_len"))
-    return _finding(rows, "over-wrap", RELATED, F.format_string("try/catch nested %d deep in %s()", "nested", _shown("name")), "at_line")
+    hits = lexer.overwraps(lines).select("path", "pos", F.struct("line", "depth").alias("hit"), F.lit(None).cast("struct<name: string, until: bigint>").alias("inside"))
+    # the last body that began before; bodies do not overlap
+    body = F.struct("name", (F.col("body_offset") + F.col("body_len")).cast("long").alias("until"))
+    begun = functions.join(hits.select("path").distinct(), "path", "left_semi").select("path", F.col("body_offset").alias("pos"), F.lit(None).cast(hits.schema["hit"].dataType).alias("hit"), body.alias("inside"))
+    w = Window.partitionBy("path").orderBy("pos", F.col("hit").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = hits.unionByName(begun).withColumn("inside", F.last("inside", ignorenulls=True).over(w)).where("hit is not null and pos < inside.until")
+    return _finding(rows, "over-wrap", RELATED, F.format_string("try/catch nested %d deep in %s()", "hit.depth", _shown("inside.name")), "hit.line")
 
 
 def null_checks(lines: DataFrame, within: int = 10, remembered: int = 32) -> DataFrame:
@@ -67,18 +70,19 @@ def null_checks(lines: DataFrame, within: int = 10, remembered: int = 32) -> Dat
     tested = F.regexp_extract("code", rf"^[ \t]*(?:\}} *else +)?if[ (].*?([A-Za-z_$][{WORD}$.]*)[ \t]*(?:[!=]=+|is(?: not)?)[ \t]*(?:null|undefined|nil|None)(?![{WORD}])", 1)
     rows = lines.select("path", "line", tested.alias("name")).where("name <> ''")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        seen: list[tuple[str, int]] = []
-        out = []
-        for line, name in group.sort_values("line")[["line", "name"]].itertuples(index=False):
-            first = next((at for n, at in seen if n == name and 0 < line - at <= within), None)
-            if first is None:
-                seen = [*seen, (name, line)][-remembered:]
-            else:
-                out.append((group["path"].iloc[0], line, name, first))
-        return pd.DataFrame(out, columns=["path", "line", "name", "first"])
-
-    found = rows.groupBy("path").applyInPandas(run, "path string, line int, name string, first int")
+    tests = rows.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line", "name"))).alias("tests"))
+    start = F.expr("named_struct('seen', cast(array() as array<struct<line: int, name: string>>), 'found', cast(array() as array<struct<line: int, name: string, first: int>>))")
+
+    def step(state: Column, test: Column) -> Column:
+        near = F.filter(state["seen"], lambda x: (x["name"] == test["name"]) & (test["line"] - x["line"]).between(1, within))
+        first = F.get(near, 0)["line"]
+        seen = F.concat(state["seen"], F.array(test))
+        latest = F.slice(seen, F.greatest(F.size(seen) - remembered + 1, F.lit(1)), F.lit(remembered))
+        again = F.struct(test["line"].alias("line"), test["name"].alias("name"), first.alias("first"))
+        fresh = F.struct(latest.alias("seen"), state["found"].alias("found"))
+        return F.when(first.isNull(), fresh).otherwise(F.struct(state["seen"].alias("seen"), F.concat(state["found"], F.array(again)).alias("found")))
+
+    found = tests.select("path", F.explode(F.aggregate("tests", start, step)["found"]).alias("x")).select("path", "x.*")
     return _finding(found, "over-wrap", RELATED, F.format_string("redundant null check on '%s' (already checked at line %d)", "name", "first"))
 
 
@@ -175,6 +179,10 @@ def _clauses(text: Column, pattern: str, group: int) -> Column:
 
 def imports(lexed: DataFrame, lines: DataFrame) -> DataFrame:
     """path, line and name of what a file imports; a group in braces has the line where it starts."""
+    return lexer.shown(_imports(lexed, lines))
+
+
+def _imports(lexed: DataFrame, lines: DataFrame) -> DataFrame:
     at_line = F.size(F.split(F.expr("substring(raw, 1, found.pos)"), "\n"))
     raw_code, clause = F.col("code"), F.col("found.clause")
     # scripts: the clause between import and from
@@ -192,7 +200,7 @@ def imports(lexed: DataFrame, lines: DataFrame) -> DataFrame:
     w = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     mark = F.when(F.col("code").rlike(r"^\s*import\s*\("), "open").when(F.col("code").rlike(r"^\s*\)|^\s*(?:func|type|var|const)\b"), "shut")
     go = lines.where("language = 'go'").withColumn("group", F.last(mark, ignorenulls=True).over(w))
-    go = go.where((F.col("group") == "open") & F.col("kinds").contains("2") | F.col("code").rlike(r"^\s*import\s+[A-Za-z_.]*\s*$"))
+    go = go.where((F.col("group") == "open") & F.col("has_string") | F.col("code").rlike(r"^\s*import\s+[A-Za-z_.]*\s*$"))
     alias = F.regexp_extract(F.regexp_replace("code", r"^\s*import\s*", ""), r"^\s*([A-Za-z_.][A-Za-z0-9_]*)", 1)
     go = go.select("path", "line", alias.alias("alias"), F.regexp_extract("raw", r'"(?:[^"]*/)?([^"/]+)"', 1).alias("last"))
     go = go.where("alias not in ('_', '.')").select("path", "line", F.when(F.col("alias") != "", F.col("alias")).otherwise(F.col("last")).alias("name"))
@@ -201,22 +209,30 @@ def imports(lexed: DataFrame, lines: DataFrame) -> DataFrame:
 
 def unused_names(names: DataFrame, words: DataFrame) -> DataFrame:
     """Names that are no word of their file outside the lines from..to of the name."""
-    used = words.select(F.col("path").alias("p"), F.col("line").alias("l"), F.col("word").alias("w"))
-    return names.join(used, (F.col("path") == F.col("p")) & (F.col("name") == F.col("w")) & ~F.col("l").between(F.col("from"), F.col("to")), "left_anti")
+    # a word stands outside these lines exactly when its first or its last line does
+    extents = words.groupBy(F.col("path").alias("p"), F.col("word").alias("w")).agg(F.min("line").alias("first_use"), F.max("line").alias("last_use"))
+    found = names.join(extents, (F.col("path") == F.col("p")) & (F.col("name") == F.col("w")), "left")
+    inside = (F.col("first_use") >= F.col("from")) & (F.col("last_use") <= F.col("to"))
+    return found.where(F.coalesce(inside, F.lit(True))).drop("p", "w", "first_use", "last_use")
+
+
+def _words_near(names: DataFrame, lines: DataFrame) -> DataFrame:
+    """Words of the files that have a name to look for."""
+    return lexer.words(lines.join(names.select("path").distinct(), "path", "left_semi"))
 
 
 def unused_imports(lexed: DataFrame, lines: DataFrame) -> DataFrame:
-    found = imports(lexed, lines).withColumn("from", F.col("line"))
+    found = _imports(lexed, lines).withColumn("from", F.col("line"))
     found = found.join(lexed.select("path", "language"), "path")
     found = found.withColumn("to", F.col("line"))
     # names with other characters are looked up by their first word
     found = found.withColumn("shown", F.col("name")).withColumn("name", F.regexp_extract("name", r"([A-Za-z0-9_]+)$", 1))
-    return _finding(unused_names(found, lexer.words(lines)), "unused-import", GENERAL, F.format_string("imported name '%s' not used in file", "shown"))
+    return _finding(unused_names(found, _words_near(found, lines)), "unused-import", GENERAL, F.format_string("imported name '%s' not used in file", "shown"))
 
 
 def magic_strings(lexed: DataFrame) -> DataFrame:
     """Strings of 8 to 127 bytes that stand three times or more in a file."""
-    rows = lexer.strings(lexed.where(F.col("kinds").contains("2"))).where(F.char_length("text").between(8, 127))
+    rows = lexer.strings(lexed.where("has_string")).where(F.char_length("text").between(8, 127))
     found = rows.groupBy("path", "text").agg(F.count("*").alias("n"), F.min("line").alias("line")).where("n >= 3")
     cut = F.concat(F.substring("text", 1, 48), F.when(F.char_length("text") > 48, "...").otherwise(""))
     return _finding(found, "magic-string", GENERAL, F.format_string('string "%s" repeated %d times', cut, "n"))
@@ -232,16 +248,16 @@ def is_exported(rows: DataFrame) -> Column:
     return script | (c("language") == "go") & c("name").rlike("^[A-Z]") | (c("language") == "python") & ~c("name").startswith("_") | other
 
 
-def dead_functions(functions: DataFrame, words: DataFrame) -> DataFrame:
+def dead_functions(functions: DataFrame, lines: DataFrame) -> DataFrame:
     """Functions of more than one line that nothing outside them names, exports or calls by rule."""
     rows = functions.where((F.col("name") != "") & (F.col("end_line") > F.col("start_line")))
     rows = rows.where(~is_exported(rows) & ~T.is_entry_point(F.col("name"), F.col("language")))
     rows = rows.withColumn("from", F.least("start_line", "name_line")).withColumn("to", F.col("end_line"))
-    return unused_names(rows, words).withColumn("lines", F.col("end_line") - F.col("start_line") + 1)
+    return unused_names(rows, _words_near(rows, lines)).withColumn("lines", F.col("end_line") - F.col("start_line") + 1)
 
 
-def dead_code(functions: DataFrame, words: DataFrame) -> DataFrame:
-    dead = dead_functions(functions, words)
+def dead_code(functions: DataFrame, lines: DataFrame) -> DataFrame:
+    dead = dead_functions(functions, lines)
     each = _finding(dead, "dead-code", GENERAL, F.format_string("%s() defined but never referenced (%d lines)", "name", "lines"), "start_line")
     total = dead.groupBy("path").agg(F.count("*").alias("n"), F.sum("lines").alias("lines")).where("n > 1")
     return each.unionByName(_finding(total, "dead-code", GENERAL, F.format_string("%d unused functions, %d dead lines total", "n", "lines"), F.lit(0), F.lit(1 << 40)))
@@ -249,7 +265,11 @@ def dead_code(functions: DataFrame, words: DataFrame) -> DataFrame:
 
 def check(files: DataFrame, include_general: bool = False, tables: lexer.Tables | None = None) -> DataFrame:
     """path, seq, kind, severity, line and message of the findings in all files that are not skipped."""
-    tables = tables or lexer.tables(files)
+    return lexer.shown(check_tables(tables or lexer.tables(files), include_general))
+
+
+def check_tables(tables: lexer.Tables, include_general: bool = False) -> DataFrame:
+    """The same, with the tables' own keys of files."""
     lexed, lines, functions = tables.lexed, tables.lines, tables.functions
     metrics = file_metrics(lexed, lines, functions)
     found = [
@@ -257,8 +277,7 @@ def check(files: DataFrame, include_general: bool = False, tables: lexer.Tables
         mixed_names(lines, functions), any_casts(lines), ts_directives(lines), python_directives(lines), dropped_errors(lines),
     ]
     if include_general:
-        words = lexer.words(lines)
-        found += [unused_parameters(functions), unused_imports(lexed, lines), magic_strings(lexed), dead_code(functions, words)]
+        found += [unused_parameters(functions), unused_imports(lexed, lines), magic_strings(lexed), dead_code(functions, lines)]
     out = None
     for i, table in enumerate(found):
         table = table.withColumn("detector", F.lit(i))

@@ -11,10 +11,13 @@ end with their line unless they are in backticks, and a line inside a longer str
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,39 +33,104 @@ _TOKENS = {
 }
 _KIND = {"line": b"1", "string": b"2", "block": b"3"}
 _BLANK = bytes(10 if i == 10 else 32 for i in range(256))
+_CLASS = {k: bytes(10 if i == 10 else k[0] for i in range(256)) for k in (b"0", *_KIND.values())}
+
+
+def runs(content: bytes, family: str) -> list[tuple[int, int, str]]:
+    """Start, end and kind (line, string, block) of all that is not code."""
+    return [(*m.span(), m.lastgroup) for m in _TOKENS[family].finditer(content)]
+
+
+def blanked(content: bytes, found: list[tuple[int, int, str]]) -> bytes:
+    """Code with all else blanked; lines stay."""
+    parts, at = [], 0
+    for start, end, _ in found:
+        parts += [content[at:start], content[start:end].translate(_BLANK)]
+        at = end
+    return b"".join([*parts, content[at:]])
 
 
 def classify(content: bytes, family: str) -> tuple[bytes, bytes]:
     """Code with all else blanked, and the class of each byte (0 code, 1 line comment, 2 string, 3 block comment)."""
-    code, kinds, at = [], [], 0
-    for m in _TOKENS[family].finditer(content):
-        plain, other = content[at : m.start()], m.group().translate(_BLANK)
-        code += [plain, other]
-        kinds += [re.sub(rb"[^\n]", b"0", plain), re.sub(rb"[^\n]", _KIND[m.lastgroup], other)]
-        at = m.end()
-    rest = content[at:]
-    return b"".join([*code, rest]), b"".join([*kinds, re.sub(rb"[^\n]", b"0", rest)])
+    found, kinds, at = runs(content, family), [], 0
+    for start, end, kind in found:
+        kinds += [content[at:start].translate(_CLASS[b"0"]), content[start:end].translate(_CLASS[_KIND[kind]])]
+        at = end
+    return blanked(content, found), b"".join([*kinds, content[at:].translate(_CLASS[b"0"])])
+
+
+def line_starts(content: bytes) -> np.ndarray:
+    """First byte of each line."""
+    return np.concatenate([[0], np.flatnonzero(np.frombuffer(content, np.uint8) == 10) + 1])
+
+
+def line_marks(starts: np.ndarray, size: int, found: list[tuple[int, int, str]]) -> list[dict | None] | None:
+    """For each line whether a string stands in it, and place (from 1) and length of its line comment; None for plain code."""
+    if not found:
+        return None
+    marks: list[dict | None] = [None] * len(starts)
+    first = np.searchsorted(starts, [r[0] for r in found], side="right") - 1
+    last = np.searchsorted(starts, [max(r[0], r[1] - 1) for r in found], side="right") - 1
+    for (start, end, kind), a, b in zip(found, first.tolist(), last.tolist()):
+        if kind == "block":
+            continue
+        for i in range(a, b + 1):
+            stop = int(starts[i + 1]) - 1 if i + 1 < len(starts) else size
+            begin, until = max(start, int(starts[i])), min(end, stop)
+            if until <= begin:
+                continue  # an empty line of a longer string
+            mark = marks[i] = marks[i] or {"string": False, "at": None, "size": None}
+            if kind == "string":
+                mark["string"] = True
+            else:
+                mark |= {"at": begin - int(starts[i]) + 1, "size": until - begin}
+    return marks
+
+
+_MARK = pa.struct([("string", pa.bool_()), ("at", pa.int32()), ("size", pa.int32())])
+_LEXED = pa.schema(
+    [(c, pa.string()) for c in ("path", "family", "language", "raw", "code")]
+    + [("has_string", pa.bool_()), ("braces", pa.bool_()), ("packed", pa.int32()), ("starts", pa.list_(pa.int32())), ("marks", pa.list_(_MARK))]
+)
+_SCHEMA = "path string, family string, language string, raw string, code string, has_string boolean, braces boolean, packed int, starts array<int>, marks array<struct<string: boolean, at: int, size: int>>"
 
 
 def lex(files: DataFrame) -> DataFrame:
-    """path, family, language, raw, code and kinds: three strings of the same length."""
+    """A row for each file: raw and code (of one length), has_string, braces (some are there), packed (compressed size), and by line its first byte and its marks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            path, content, family, language = (batch.column(i).to_pylist() for i in range(4))
+            rows = []
+            for p, c, f, lang in zip(path, content, family, language):
+                found = runs(c, f)
+                starts = line_starts(c)
+                packed = len(zlib.compress(c, 6)) if len(c) >= C.LEAST_COMPRESSED else None
+                code = blanked(c, found).decode("latin-1") if found else None
+                rows.append((p, f, lang, c.decode("latin-1"), code, any(k == "string" for *_, k in found), b"{" in c, packed, starts.tolist(), line_marks(starts, len(c), found)))
+            columns = [pa.array(list(x), t) for x, t in zip(zip(*rows), _LEXED.types)] if rows else [pa.array([], t) for t in _LEXED.types]
+            yield pa.RecordBatch.from_arrays(columns, schema=_LEXED)
+
+    key = F.concat("path", F.lit(_CUT), F.conv(F.monotonically_increasing_id().cast("string"), 10, 36))
+    columns = files.select(key.alias("path"), F.coalesce("content", F.lit(b"")).alias("content"), "family", "language")
+    return _whole(columns.mapInArrow(run, _SCHEMA))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            both = [classify(bytes(c), f) for c, f in zip(b["content"], b["family"])]
-            yield pd.DataFrame(
-                {
-                    "path": b["path"],
-                    "family": b["family"],
-                    "language": b["language"],
-                    "raw": [bytes(c).decode("latin-1") for c in b["content"]],
-                    "code": [x.decode("latin-1") for x, _ in both],
-                    "kinds": [x.decode("latin-1") for _, x in both],
-                }
-            )
-
-    columns = files.select("path", F.coalesce("content", F.lit(b"")).alias("content"), "family", "language")
-    return columns.mapInPandas(run, "path string, family string, language string, raw string, code string, kinds string")
+
+_CUT = "\x00"
+
+
+def shown(table: DataFrame) -> DataFrame:
+    """Names of files in place of the keys that tell them apart."""
+    return table.withColumn("path", F.substring_index("path", _CUT, 1))
+
+
+def _whole(table: DataFrame) -> DataFrame:
+    """Code that equals the text is kept as null."""
+    return table.withColumn("code", F.coalesce("code", "raw"))
+
+
+def _slim(table: DataFrame) -> DataFrame:
+    return table.withColumn("code", F.nullif("code", "raw"))
 
 
 def strings(lexed: DataFrame) -> DataFrame:
@@ -83,13 +151,13 @@ def strings(lexed: DataFrame) -> DataFrame:
 
 
 def lines(lexed: DataFrame) -> DataFrame:
-    """A row for each line: line (from 1), raw, code, kinds, at (its first byte), kind, indent."""
-    parts = [F.split(c, "\n") for c in ("raw", "code", "kinds")]
-    rows = lexed.select("path", "family", "language", F.posexplode(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, ("raw", "code", "kinds"))])).alias("i", "x"))
-    rows = rows.select("path", "family", "language", (F.col("i") + 1).alias("line"), "x.raw", "x.code", "x.kinds")
-    before = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("at", F.coalesce(F.sum(F.char_length("raw") + 1).over(before), F.lit(0)))
-    solid = F.col("code").rlike(r"[^ \t\r\f\x0B]") | F.col("kinds").contains("2")
+    """A row for each line: line (from 1), raw, code, at (its first byte), kind, indent, has_string, and place and size of its line comment."""
+    nothing = F.expr("cast(array() as array<struct<string: boolean, at: int, size: int>>)")
+    both = F.arrays_zip(F.split("raw", "\n").alias("raw"), F.split("code", "\n").alias("code"), F.coalesce("marks", nothing).alias("mark"), F.col("starts").alias("at"))
+    rows = lexed.select("path", "family", "language", "braces", F.posexplode(both).alias("i", "x"))
+    has_string = F.coalesce("x.mark.string", F.lit(False))
+    rows = rows.select("path", "family", "language", "braces", (F.col("i") + 1).alias("line"), "x.raw", "x.code", "x.at", has_string.alias("has_string"), F.coalesce("x.mark.at", F.lit(0)).alias("comment_at"), F.col("x.mark.size").alias("comment_size"))
+    solid = F.col("code").rlike(r"[^ \t\r\f\x0B]") | F.col("has_string")
     kind = F.when(T.is_blank(F.col("raw")), "blank").when(solid, "code").otherwise("comment")
     lead = F.regexp_extract("raw", r"^[ \t]*", 0)
     indent = F.char_length(lead) + 3 * (F.char_length(lead) - F.char_length(F.replace(lead, F.lit("\t"), F.lit(""))))
@@ -110,10 +178,9 @@ def identifiers(lines_: DataFrame) -> DataFrame:
 
 def comments(lines_: DataFrame) -> DataFrame:
     """Line comments: the text after the comment sign, and the whole line."""
-    at = F.instr("kinds", "1")
-    text = F.substr(F.col("raw"), at, F.regexp_count(F.col("kinds"), F.lit("1")))
+    text = F.substr(F.col("raw"), F.col("comment_at"), F.col("comment_size"))
     body = F.regexp_replace(text, r"^(?://+|#+)", "")
-    return lines_.where(at > 0).select("path", "language", "line", body.alias("comment"), F.regexp_replace("raw", r"[ \t\r\f\x0B]+$", "").alias("raw"))
+    return lines_.where("comment_at > 0").select("path", "language", "line", body.alias("comment"), F.regexp_replace("raw", r"[ \t\r\f\x0B]+$", "").alias("raw"))
 
 
 def narration(lines_: DataFrame) -> DataFrame:
@@ -138,7 +205,7 @@ def _braces(lines_: DataFrame) -> DataFrame:
     by_line = Window.partitionBy("path").orderBy("line")
     code = F.when(F.col("kind") == "code", F.col("code"))
     before = by_line.rowsBetween(Window.unboundedPreceding, -1)
-    rows = lines_.where(F.col("family") == C.C_LIKE)
+    rows = lines_.where((F.col("family") == C.C_LIKE) & F.col("braces"))
     rows = rows.withColumn("previous", F.coalesce(F.last(code, ignorenulls=True).over(before), F.lit("")))
     rows = rows.withColumn("above", F.concat_ws("\n", *[F.coalesce(F.lag("code", k).over(by_line), F.lit("")) for k in (4, 3, 2, 1)]))
     rows = rows.where(F.col("code").rlike("[{}]"))
@@ -206,7 +273,8 @@ def functions(lexed: DataFrame, lines_: DataFrame | None = None) -> DataFrame:
     """Functions of C-like and Python files with their bodies, numbered by file."""
     rows = lines(lexed) if lines_ is None else lines_
     found = c_functions(rows).unionByName(python_functions(rows))
-    found = found.join(lexed.select("path", "raw", F.col("code").alias("all_code")), "path")
+    may = F.col("braces") & (F.col("family") == C.C_LIKE) | (F.col("family") == C.PYTHON)
+    found = found.join(lexed.where(may).select("path", "raw", F.col("code").alias("all_code")), "path")
     body = F.expr("substring(raw, cast(body_offset + 1 as int), cast(body_len as int))")
     # a signature may stand on several lines: the code before the body, for Python from the def on
     before = F.expr(f"substring(all_code, cast(greatest(body_offset - {C.SIGNATURE}, 0) + 1 as int), cast(least(body_offset, {C.SIGNATURE}) as int))")
@@ -221,8 +289,11 @@ def overwraps(lines_: DataFrame) -> DataFrame:
     rows = _braces(lines_)
     is_try = F.col("open") & F.regexp_extract(F.concat_ws(" ", "previous", "here"), r"(?<![A-Za-z0-9_])(try)[ \t]*$", 1).isin("try")
     tries = rows.where(is_try & F.col("close").isNotNull()).select("path", "line", "pos", F.col("close.pos").alias("until"))
-    inner = tries.alias("a").join(tries.alias("b"), F.expr("a.path = b.path and b.pos <= a.pos and a.pos < b.until"))
-    return inner.groupBy("a.path", "a.line", "a.pos").agg(F.count("*").alias("nested")).where("nested > 2").select("path", "line", "pos", F.col("nested").alias("depth"))
+    # openings and closings in order: how many are open at each opening
+    opened = tries.select("path", "line", "pos", F.lit(1).alias("step"))
+    events = opened.unionByName(tries.select("path", F.lit(None).cast("int").alias("line"), F.col("until").alias("pos"), F.lit(-1).alias("step")))
+    w = Window.partitionBy("path").orderBy("pos")
+    return events.withColumn("depth", F.sum("step").over(w)).where("line is not null and depth > 2").select("path", "line", "pos", "depth")
 
 
 @dataclass(frozen=True)
@@ -236,6 +307,6 @@ class Tables:
 
 def tables(files: DataFrame) -> Tables:
     """Tables of the files that are not skipped."""
-    lexed = written(lex(files.where("skip_reason is null")))
-    rows = written(lines(lexed))
+    lexed = _whole(written(_slim(lex(files.where("skip_reason is null")))))
+    rows = _whole(written(_slim(lines(lexed))))
     return Tables(lexed, rows, written(functions(lexed, rows)))

@@ -40,6 +40,11 @@ def _number(x: Column) -> Column:
     return F.format_string("%.2f", x)
 
 
+def _counted(column: str, word: str) -> Column:
+    n = F.col(column)
+    return F.when(n == 1, f"1 {word}").when(n > 1, F.format_string(f"%d {word}s", n)).otherwise("none")
+
+
 def score_files(metrics: DataFrame, calibration: Calibration = Calibration(), prior: float = 0.5) -> DataFrame:
     """path, raw_score, probability, label, code_lines, dead_lines and signals (array, in order).
 
@@ -73,8 +78,8 @@ def score_files(metrics: DataFrame, calibration: Calibration = Calibration(), pr
     indent, fifteen = T.spread(indents), F.size(indents) >= 15
     zero = F.lit(0.0)
 
-    def measured(ok: Column, x: Column, parameters, none: Column) -> tuple[Column, Column]:
-        return F.when(ok, _number(x)).otherwise(none), F.when(ok, S.gaussian_llr(x, parameters, limit)).otherwise(zero)
+    def measured(ok: Column, x: Column, parameters, none: Column, shown: Column | None = None) -> tuple[Column, Column]:
+        return F.when(ok, _number(x) if shown is None else F.concat(_number(x), shown)).otherwise(none), F.when(ok, S.gaussian_llr(x, parameters, limit)).otherwise(zero)
 
     signals = [
         _signal("regularity", F.when(has_ratio, "composite").otherwise("composite*"), _number(even), even_llr),
@@ -82,16 +87,16 @@ def score_files(metrics: DataFrame, calibration: Calibration = Calibration(), pr
         _signal("comments", "narration", F.format_string("%s (%d hits)", F.when(c("narration") >= 3, "yes").otherwise("no"), "narration"), narration),
         _signal("structure", "conditional dens.", *measured(enough, density, g["cond"], F.format_string("n/a (%d kw)", "conditionals"))),
         _signal("position", "quality decay", F.when(small, f"n/a (<{C.LEAST_LINES} lines)").when(decay, "detected").otherwise("none"), F.when(small, zero).otherwise(S.binary_llr(decay, b["decay"], limit))),
-        _signal("patterns", "over-wrapping", F.when(c("overwraps") > 0, F.format_string("%d hits", "overwraps")).otherwise("none"), S.binary_llr(c("overwraps") > 0, b["overwrap"], limit)),
-        _signal("patterns", "naming breaks", F.when(c("name_breaks") > 0, F.format_string("%d funcs", "name_breaks")).otherwise("none"), S.binary_llr(c("name_breaks") > 0, b["namebreak"], limit)),
-        _signal("naming", "ident. specificity", *measured(named, generic, g["ident"], F.format_string("n/a (%d ids)", "total_identifiers"))),
-        _signal("structure", "func length CV", *measured(five, lengths, g["func_cv"], F.format_string("n/a (%d funcs)", F.size(sizes)))),
-        _signal("naming", "token diversity", *measured(fifty, ttr, g["ttr"], F.format_string("n/a (%d ids)", "total_identifiers"))),
-        _signal("whitespace", "indent regularity", *measured(fifteen, indent, g["indent"], F.lit("n/a"))),
+        _signal("patterns", "over-wrapping", _counted("overwraps", "hit"), S.binary_llr(c("overwraps") > 0, b["overwrap"], limit)),
+        _signal("patterns", "naming breaks", _counted("name_breaks", "func"), S.binary_llr(c("name_breaks") > 0, b["namebreak"], limit)),
+        _signal("naming", "ident. specificity", *measured(named, generic, g["ident"], F.format_string("n/a (%d idents)", "total_identifiers"), F.format_string(" (%d/%d)", "generic_identifiers", "total_identifiers"))),
+        _signal("structure", "func length CV", *measured(five, lengths, g["func_cv"], F.format_string("n/a (%d funcs)", F.size(sizes)), F.format_string(" (%d funcs)", F.size(sizes)))),
+        _signal("naming", "token diversity", *measured(fifty, ttr, g["ttr"], F.format_string("n/a (%d tokens)", "total_identifiers"), F.format_string(" (%d/%d)", "unique_identifiers", "total_identifiers"))),
+        _signal("whitespace", "indent regularity", *measured(fifteen, indent, g["indent"], F.format_string("n/a (%d lines)", F.size(indents)), F.format_string(" (%d lines)", F.size(indents)))),
         _signal("dupes", "duplicate ratio", _number(c("dup_ratio")), S.gaussian_llr(c("dup_ratio"), g["dup"], limit), c("dup_ratio") >= 0),
         _signal("git", "commit style", _number(c("composite")), S.gaussian_llr(c("composite"), g["git"], limit), c("composite").isNotNull()),
     ]
-    none = _signal("score", "insufficient code", F.lit("n/a"), zero)
+    none = _signal("score", "insufficient code", F.lit("0 code lines"), zero)
     rows = metrics.withColumn("signals", F.when(c("code_lines") <= 0, F.array(none)).otherwise(F.filter(F.array(*signals), lambda s: s.isNotNull())))
     raw = F.aggregate("signals", zero, lambda a, s: a + s["llr"]) + S.prior_llr(prior)
     rows = rows.withColumn("raw_score", raw).withColumn("probability", S.sigmoid(c("raw_score") / calibration.temperature))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import nullcontext
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from tessera.plans import render
 from tessera.sources import files as sources
 from tessera.sources import history
 from tessera.sources.settings import Calibration, as_table, bounds_table
-from tessera.sources.staging import written
+from tessera.sources.staging import released, written
 
 
 @dataclass(frozen=True)
@@ -42,7 +43,7 @@ class Duplicates:
 
 def duplicates(files: DataFrame, options: Options = Options(), most: int | None = 20, tables: lexer.Tables | None = None) -> Duplicates:
     """Near-duplicate functions of a project."""
-    functions = D.numbered((tables or lexer.tables(files)).functions)
+    functions = lexer.shown(D.numbered((tables or lexer.tables(files)).functions))
     functions = functions.withColumn("body", F.encode("body", "ISO-8859-1")).where(F.octet_length("body") >= C.LEAST_BODY)
     functions = written(functions)
     pairs = written(D.compression_pairs(functions, options.threshold, None if options.cross_language else "family"))
@@ -52,15 +53,15 @@ def duplicates(files: DataFrame, options: Options = Options(), most: int | None
 
 def measured(files: DataFrame, options: Options = Options(), project: bool = True, tables: lexer.Tables | None = None) -> DataFrame:
     """File metrics with what the score needs besides: compression, history, dead lines, the project's duplicates."""
-    kept, tables = sources.analysed(files), tables or lexer.tables(files)
+    tables = tables or lexer.tables(files)
     lexed, lines, functions = tables.lexed, tables.lines, tables.functions
     metrics = features.file_metrics(lexed, lines, functions)
-    metrics = metrics.join(kept.select("path", D.compress_ratio(F.col("content")).alias("compression_ratio")), "path")
-    dead = findings.dead_functions(functions, lexer.words(lines)).groupBy("path").agg(F.sum("lines").cast("long").alias("dead_lines"))
+    dead = findings.dead_functions(functions, lines).groupBy("path").agg(F.sum("lines").cast("long").alias("dead_lines"))
     metrics = metrics.join(dead, "path", "left").fillna(0, ["dead_lines"])
     if options.git_folder:
-        style = history.commit_style(history.read_commits(kept, options.git_folder)).select("path", "composite")
-        metrics = metrics.join(style, "path", "left")
+        named = metrics.withColumn("name", F.substring_index("path", "\x00", 1))
+        style = history.commit_style(history.read_commits(named.select(F.col("name").alias("path")).distinct(), options.git_folder))
+        metrics = named.join(style.select(F.col("path").alias("name"), "composite"), "name", "left").drop("name")
     if project:
         metrics = metrics.crossJoin(F.broadcast(duplicates(files, options, tables=tables).ratio.select(F.col("ratio").alias("dup_ratio"))))
     return metrics
@@ -68,7 +69,14 @@ def measured(files: DataFrame, options: Options = Options(), project: bool = Tru
 
 def scan(files: DataFrame, options: Options = Options(), project: bool = True, tables: lexer.Tables | None = None) -> DataFrame:
     """Scores of the files that are not skipped; a single file or stream has no project."""
-    return scores.score_files(measured(files, options, project, tables), options.calibration, options.prior)
+    return lexer.shown(_scored(files, options, project, tables))
+
+
+def _scored(files: DataFrame, options: Options, project: bool, tables: lexer.Tables | None) -> DataFrame:
+    """Scores with the tables' own keys. The metrics are written, so that all larger tables go when they were made here."""
+    with released() if tables is None else nullcontext():
+        metrics = written(measured(files, options, project, tables), outlive=tables is None)
+    return scores.score_files(metrics, options.calibration, options.prior)
 
 
 def report(files: DataFrame, options: Options = Options(include_general=True)) -> dict[str, DataFrame]:
@@ -95,11 +103,12 @@ def report(files: DataFrame, options: Options = Options(include_general=True)) -
 def analyse(files: DataFrame, options: Options = Options(include_general=True), project: bool = True) -> DataFrame:
     """A row for every file, skipped ones included: score, findings as an array, line counts."""
     tables = lexer.tables(files)
-    scored = scan(files, options, project, tables)
+    scored = _scored(files, options, project, tables)
     row = F.struct("seq", "kind", "severity", "line", "message")
-    found = check(files, options, tables).groupBy("path").agg(F.array_sort(F.collect_list(row)).alias("findings"))
-    rows = files.select("path", "family", "language", F.col("skip_reason").isNotNull().alias("skipped"))
-    return rows.join(scored, "path", "left").join(found, "path", "left")
+    found = findings.check_tables(tables, options.include_general).groupBy("path").agg(F.array_sort(F.collect_list(row)).alias("findings"))
+    kept = tables.lexed.select("path", "family", "language", F.lit(False).alias("skipped")).join(scored, "path", "left").join(found, "path", "left")
+    skipped = files.where("skip_reason is not null").select("path", "family", "language", F.lit(True).alias("skipped"))
+    return lexer.shown(kept).unionByName(skipped, allowMissingColumns=True)
 
 
 def analyse_file(spark: SparkSession, path: str, options: Options = Options(include_general=True)) -> DataFrame:

@@ -120,11 +120,11 @@ def sample_files(spark: SparkSession) -> DataFrame:
 
 
 def sample_lines(spark, sf_dir):
-    return lexer.lines(lexer.lex(sources.analysed(sample_files(spark)))).select("path", "line", "kind", "indent", "code")
+    return lexer.shown(lexer.lines(lexer.lex(sources.analysed(sample_files(spark))))).select("path", "line", "kind", "indent", "code")
 
 
 def sample_functions(spark, sf_dir):
-    found = lexer.functions(lexer.lex(sources.analysed(sample_files(spark))))
+    found = lexer.shown(lexer.tables(sample_files(spark)).functions)
     return found.select("path", "func_idx", "name", "start_line", "end_line", "body_offset", "body_len")
 
 

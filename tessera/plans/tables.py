@@ -59,11 +59,11 @@ def scan_signals(spark, sf_dir):
 
 
 def table_lines(spark, sf_dir):
-    return lexer.lines(lexer.lex(table_files(spark, sf_dir).where("skip_reason is null"))).select("path", "line", "kind", "indent", "code")
+    return lexer.shown(lexer.lines(lexer.lex(table_files(spark, sf_dir).where("skip_reason is null")))).select("path", "line", "kind", "indent", "code")
 
 
 def table_functions(spark, sf_dir):
-    found = lexer.tables(table_files(spark, sf_dir)).functions
+    found = lexer.shown(lexer.tables(table_files(spark, sf_dir)).functions)
     return found.select("path", "func_idx", "name", "start_line", "end_line", "body_offset", "body_len")
 
 

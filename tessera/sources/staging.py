@@ -17,19 +17,25 @@ def _target(spark: SparkSession, path: str):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, a folder in the warehouse, which executors share as well."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_staged"
+    """spark.checkpoint.dir; where it is unset, a local session gets a folder in its warehouse, and a cluster an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return found or f"{spark.conf.get('spark.sql.warehouse.dir')}/_staged"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The same rows, read from Parquet; the files go when the session ends, or the released() block around it."""
+def written(df: DataFrame, outlive: bool = False) -> DataFrame:
+    """The same rows, read from Parquet; the files go when the session ends, or the released() block around it.
+
+    With ``outlive`` they stay when the innermost block ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     target, system = _target(spark, path)
     system.deleteOnExit(target)
-    if _open:
-        _open[-1].append((spark, path))
+    if len(_open) > outlive:
+        _open[-1 - outlive].append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

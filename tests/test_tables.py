@@ -66,3 +66,30 @@ def test_copies_meet_by_partial_aggregates(spark, tmp_path):
     found = documents.exact_components(spark, str(tmp_path))
     assert sorted(map(tuple, found.collect())) == [(2, 2), (3, 2), (4, 4), (7, 4), (9, 4)]
     assert "Window" not in documents._copies(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_repeated_and_missing_ids(spark, tmp_path):
+    """One row in, one row out: rows that share an id, or have none, are files of their own."""
+    text = "// First, we read\nfunction readIt(a) {\n  try {\n    return a;\n  } catch (e) { }\n}\n"
+    rows = [(1, text), (1, "x = 1\ny = 2\nz = 3\n"), (2, text), (2, text), (None, text), (None, text), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(((r.doc_id, r.code_lines) for r in tables.scan_scores(spark, str(tmp_path)).collect()), key=repr)
+    assert got == sorted(((d, brute(t)[0]) for d, t in rows), key=repr)
+    files = tables.document_files(spark, str(tmp_path))
+    found = analysis.check(files).where("kind = 'narration'").collect()
+    assert sorted((r.path[:4], r.line) for r in found) == [("1", 1), ("2", 1), ("2", 1), ("none", 1), ("none", 1)]
+    done = analysis.analyse(files).collect()
+    assert len(done) == len(rows) and sum(len(r.findings or []) for r in done) == 5
+
+
+def test_staged_tables_go_after_a_scan(spark, tmp_path):
+    import os
+
+    from tessera.sources.staging import shared_folder
+
+    write(spark, tmp_path)
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    found = tables.scan_scores(spark, str(tmp_path))
+    assert len(set(os.listdir(folder)) - before) == 1  # the metrics alone
+    assert found.count() == len(TEXTS)
