@@ -111,16 +111,20 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.column_stack([shares, *columns])
 
 
-def document_features(docs: DataFrame) -> DataFrame:
+def document_features(docs: DataFrame, carry: str | None = None) -> DataFrame:
+    """doc_id, the column named in carry (a string), features."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, raw = text_buffer(batch.column(1))
             for i, j in chunks(offsets):
                 found = features(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 at = pa.array(np.arange(j - i + 1, dtype=np.int32) * found.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(at, pa.array(found.ravel()))], names=["doc_id", "features"])
+                kept = [batch.column(k).slice(i, j - i) for k in ((0, 2) if carry else (0,))]
+                yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(at, pa.array(found.ravel()))], names=["doc_id", *names, "features"])
 
-    return identified(docs, "doc_id", "text").mapInArrow(run, "doc_id long, features array<double>")
+    names = [carry] if carry else []
+    return identified(docs, "doc_id", "text", *names).mapInArrow(run, "doc_id long, " + "".join(f"{c} string, " for c in names) + "features array<double>")
 
 
 @dataclass(frozen=True)
@@ -164,10 +168,10 @@ def fit(x: np.ndarray, label: np.ndarray, p: Ranking) -> Model | None:
     return Model(edges, model.weights, float(np.log(p.cut / (1 - p.cut)) - cut))
 
 
-def rank(docs: DataFrame, labels: DataFrame, p: Ranking = Ranking(), folds: int = 5) -> DataFrame:
-    """doc_id, held_out, score and predicted, learned from documents whose crc32 is not divisible by folds."""
+def rank(docs: DataFrame, labels: DataFrame, p: Ranking = Ranking(), folds: int = 5, carry: str | None = None) -> DataFrame:
+    """doc_id, held_out, score and predicted, learned from documents whose crc32 is not divisible by folds; and the column named in carry."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(False))
-    found = stage(document_features(docs))
+    found, names = stage(document_features(docs, carry)), [carry] if carry else []
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
     known = known.where("doc_id is not null and label in (0, 1)").where(~held_out).groupBy("doc_id").agg(F.max("label").alias("label"))
     sample = bounded_sample(found.join(known, "doc_id"), "doc_id", p.sample).select("features", "label").toPandas()
@@ -177,12 +181,12 @@ def rank(docs: DataFrame, labels: DataFrame, p: Ranking = Ranking(), folds: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = len(batch)
-            x = batch.column(1).flatten().to_numpy().reshape(n, -1) if n else np.zeros((0, len(NAMES)))
+            x = batch.column(len(names) + 1).flatten().to_numpy().reshape(n, -1) if n else np.zeros((0, len(NAMES)))
             score = model.score(x) if model is not None else np.full(n, 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= cut).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score), pa.array((score >= cut).astype(np.int32))], names=["doc_id", *names, "score", "predicted"])
 
-    scored = found.mapInArrow(run, "doc_id long, score double, predicted int")
-    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    scored = found.mapInArrow(run, "doc_id long, " + "".join(f"{c} string, " for c in names) + "score double, predicted int")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", *names)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
-Documents are dealt into blocks by doc_id. The distinct text parts of a block are exploded into all
+Documents are dealt into blocks by doc_id, text and where they are read. The distinct text parts of a block are exploded into all
 substrings up to the longest piece, and an equi-join with the piece table keeps the edges of the
 lattice (the table has a fixed size, that of the vocabulary, and is broadcast). Edges are grouped by
 part and folded by Spark's ``aggregate``: edges come in order of their end and start, the fold carries
@@ -9,12 +9,17 @@ stays in the block's partition. Each block's documents then look up their parts'
 
 Decoding is the reverse: pieces by id, bytes put together, U+2581 to a space, the first one dropped.
 
+A long part goes by a digest in the relational steps, and is cut into windows that overlap by the longest piece before its
+substrings are exploded, so no row carries it along.
+
 Defined results: a null or empty text has no pieces and decodes to the empty text; repeated rows are
-encoded each; an empty table gives no rows; columns other than doc_id and text are ignored.
+encoded each, and rows without an id as well; texts and parts of any length are taken whole, in time that grows with their length; an
+empty table gives no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -35,17 +40,36 @@ BLOCK_BYTES = 16 << 20
 _END, _START, _ID = 1 << 40, 1 << 17, (1 << 17) - 1
 
 
+#: Parts of more characters go by a digest, and are exploded window by window.
+_WINDOW = 256
+
+
+def _key(part: Column) -> Column:
+    """A line feed before a digest, since no part but the line feed itself has one."""
+    return F.when(F.char_length(part) > _WINDOW, F.concat(F.lit("\n"), F.sha2(part, 256))).otherwise(part)
+
+
+def _windows(part: Column, longest: int) -> Column:
+    """Windows of a part, each with the first characters of the next one; all but the last have _WINDOW places of their own."""
+    cut = F.regexp_extract_all(part, F.lit(f"(?s).{{1,{_WINDOW}}}"), F.lit(0))
+    return F.transform(cut, lambda x, i: F.struct((i * _WINDOW).alias("base"), F.char_length(x).alias("own"), F.concat(x, F.substring(F.coalesce(F.get(cut, i + 1), F.lit("")), 1, longest - 1)).alias("text")))
+
+
 def _edges(words: DataFrame, vocabulary: Vocabulary, spark: SparkSession) -> DataFrame:
-    """block, part and its edges, sorted; an id of -1 is a character that is no piece."""
+    """block, key of a part and its edges, sorted; an id of -1 is a character that is no piece."""
     rows = [(piece, i) for piece, (i, _) in vocabulary.pieces.items()]
     table = F.broadcast(spark.createDataFrame(rows, "piece string, id int"))
-    starts = words.withColumn("start", F.explode(F.sequence(F.lit(0), F.char_length("part") - 1)))
-    size = F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.char_length("part") - F.col("start"))))
-    substrings = starts.withColumn("size", size).withColumn("piece", F.substring("part", F.col("start") + 1, F.col("size")))
+    length, longest = F.char_length("part"), vocabulary.longest
+    whole = F.array(F.struct(F.lit(0).alias("base"), length.alias("own"), F.col("part").alias("text")))
+    windows = words.select("block", _key(F.col("part")).alias("key"), F.explode(F.when(length > _WINDOW, _windows(F.col("part"), longest)).otherwise(whole)).alias("w"))
+    windows = windows.select("block", "key", "w.*")
+    starts = windows.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("own") - 1)))
+    size = F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.char_length("text") - F.col("at"))))
+    substrings = starts.withColumn("size", size).withColumn("piece", F.substring("text", F.col("at") + 1, F.col("size")))
     found = substrings.join(table, "piece", "left").where("id is not null or size = 1")
-    start = F.col("start").cast("long")
+    start = (F.col("base") + F.col("at")).cast("long")
     edge = (start + F.col("size")) * F.lit(_END) + start * F.lit(_START) + F.coalesce("id", F.lit(-1)) + 1
-    return found.groupBy("block", "part").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    return found.groupBy("block", "key").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 def piece_score(number: Column, unknown: float) -> Column:
@@ -88,14 +112,23 @@ def best_path(edges: Column, unknown: float, longest: int) -> Column:
     nodes = F.aggregate(chunks, start, chunk, lambda s: F.concat(F.flatten(s["done"]), s["near"]))
 
     def walk(all_nodes: Column) -> Column:
-        begin = F.struct((F.size(all_nodes) - 1).alias("at"), F.array().cast("array<int>").alias("path"))
-        places = F.sequence(F.size(all_nodes) - 1, F.lit(1), F.lit(-1))
+        """Back from the last place, again in chunks, since each step copies the path that it has."""
+        ints = F.array().cast("array<int>")
+        last = F.size(all_nodes) - 1
+        begin = F.struct(last.alias("at"), F.array().cast("array<array<int>>").alias("done"))
 
         def back(s: Column, place: Column) -> Column:
             n = F.get(all_nodes, place)
-            return F.when(place == s["at"], F.struct(n["start"].alias("at"), F.concat(F.array(n["id"]), s["path"]).alias("path"))).otherwise(s)
+            return F.when(place == s["at"], F.struct(n["start"].alias("at"), F.concat(s["path"], F.array(n["id"])).alias("path"))).otherwise(s)
+
+        def chunk_back(s: Column, i: Column) -> Column:
+            high = last - i * _CHUNK
+            places = F.sequence(high, F.greatest(high - _CHUNK + 1, F.lit(1)), F.lit(-1))
+            part = F.aggregate(places, F.struct(s["at"].alias("at"), ints.alias("path")), back)
+            return F.transform(F.array(part), lambda x: F.struct(x["at"].alias("at"), F.concat(s["done"], F.array(x["path"])).alias("done")))[0]
 
-        return F.aggregate(places, begin, back)["path"]
+        rounds = F.sequence(F.lit(0), F.floor((last - 1) / _CHUNK).cast("int"))
+        return F.when(last < 1, ints).otherwise(F.reverse(F.flatten(F.aggregate(rounds, begin, chunk_back)["done"])))
 
     return F.transform(F.array(nodes), walk)[0]
 
@@ -119,18 +152,21 @@ def encode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFr
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     # the partition is the block, so what follows needs no other shuffle
-    dealt = texts.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).repartition(int(blocks), "block")
+    dealt = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks)).cast("int")).repartition(int(blocks), "block")
     # doc_id is counted, which is always true, so that both uses of the texts have the same columns and share one shuffle
     words = dealt.select("doc_id", "block", F.explode(parts(F.col("text"))).alias("part")).groupBy("block", "part").agg(F.count("doc_id").alias("n")).where("n >= 0")
-    paths = _edges(words.select("block", "part"), vocabulary, spark).select(F.col("block").alias("own_block"), "part", best_path(F.col("edges"), vocabulary.unknown, vocabulary.longest).alias("ids"))
+    paths = _edges(words.select("block", "part"), vocabulary, spark).select(F.col("block").alias("own_block"), "key", best_path(F.col("edges"), vocabulary.unknown, vocabulary.longest).alias("ids"))
 
     def gather(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, names = {}, _names(vocabulary)
-        for part, own in zip(right["part"].to_pylist(), right["ids"].to_pylist()):
-            if -1 in own:
-                own = _with_bytes(part, own, vocabulary, names)
-            ids[part] = np.array(own, np.int32)
-        split = re.compile(PARTS).findall
+        names, found = _names(vocabulary), dict(zip(right["key"].to_pylist(), right["ids"].to_pylist()))
+
+        class Known(dict):
+            def __missing__(self, part: str) -> np.ndarray:
+                own = found[part if len(part) <= _WINDOW else "\n" + hashlib.sha256(part.encode()).hexdigest()]
+                self[part] = np.array(_with_bytes(part, own, vocabulary, names) if -1 in own else own, np.int32)
+                return self[part]
+
+        ids, split = Known(), re.compile(PARTS).findall
         out = []
         for text in left["text"].to_pylist():
             own = [ids[x] for x in split(SPACE + text.replace(" ", SPACE))] if text else []

@@ -88,3 +88,24 @@ def test_long_parts(spark, library):
         got = {x.doc_id: x.ids for x in lattice.encode(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()}
     assert time.time() - begun < 90
     assert got == {i: library.encode(t) for i, t in rows}
+
+
+def test_time_grows_with_the_length_of_a_part(spark, library):
+    import time
+
+    r, took = random.Random(9), []
+    for n in (1000, 8000, 32_000):
+        text = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        begun = time.time()
+        with lattice.wide_aggregates(spark):
+            got = lattice.encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), PATH).first().ids
+        took.append(time.time() - begun)
+        assert got == library.encode(text)
+    assert took[2] < max(5 * took[1], 10) and took[2] < 30, took
+
+
+def test_rows_without_id_are_dealt_out(spark, library):
+    rows = [(None, t) for t in ("one", "two", "one", "", None, "x" * 600 + " \U0001f600" + "\U0001f600" * 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = sorted((r.text, tuple(r.ids)) for r in lattice.encode(df, PATH, block_bytes=100).collect())
+    assert got == sorted((t or "", tuple(library.encode(t or ""))) for _, t in rows)
