@@ -1,8 +1,9 @@
-"""Near-duplicate functions: a range join on sizes, compression distance, connected components."""
+"""Near-duplicate functions: candidates by an index of shingles, or by all sizes in range; compression distance; connected components."""
 
 from __future__ import annotations
 
 import zlib
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -46,14 +47,84 @@ def distance(x: Column, y: Column, both: Column) -> Column:
     return F.when((x <= 0) | (y <= 0) | (both <= 0), F.lit(1.0)).otherwise(F.least(F.greatest(found, F.lit(0.0)), F.lit(1.0)))
 
 
-def compression_pairs(functions: DataFrame, threshold: float = C.DUPLICATE_DISTANCE, group: str | None = "family", ratio: float = C.SIZE_RATIO) -> DataFrame:
+#: A word, or a sign of its own.
+TOKENS = r"[^\x00-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]+|[\x21-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7E]"
+
+
+@dataclass(frozen=True)
+class Index:
+    """Posting lists of shingles of so many ``tokens``.
+
+    A text has the ``sketch`` least hashes of its shingles and is posted under ``posted`` of them: first under those with the longest lists that
+    are still read wholly, then under the shortest of the others. A list is read in order of size, and each text meets the ``near`` that follow it, so
+    the candidates of a text are bounded and a list that is common to very many texts costs no more than its length; lists of more
+    than ``piece`` texts are dealt into pieces.
+    """
+
+    tokens: int = 4
+    sketch: int = 64
+    posted: int = 16
+    near: int = 16
+    piece: int = 4096
+
+
+def _number(digest: Column) -> Column:
+    """The first 60 bits."""
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
+def sketch(text: Column, index: Index = Index()) -> Column:
+    """The least hashes of a text's shingles; a text with fewer tokens is one shingle, without tokens it has none."""
+    words = F.regexp_extract_all(text, F.lit(TOKENS), F.lit(0))
+
+    def of(w: Column) -> Column:
+        hashes = F.array_distinct(F.transform(places_of(w), lambda i: _number(F.md5(F.array_join(F.slice(w, i + 1, F.lit(index.tokens)), " ").cast("binary")))))
+        return F.when(F.size(w) > 0, F.slice(F.array_sort(hashes), 1, index.sketch)).otherwise(F.array().cast("array<bigint>"))
+
+    def places_of(w: Column) -> Column:
+        return F.sequence(F.lit(0), F.greatest(F.size(w) - index.tokens, F.lit(0)))
+
+    return F.transform(F.array(words), of)[0]
+
+
+def index_candidates(rows: DataFrame, key: str, text: str, size: str, group: str | None, ratio: float = C.SIZE_RATIO, index: Index = Index()) -> DataFrame:
+    """a < b of rows of one group that meet in a posting list and whose sizes differ by the ratio at most.
+
+    Texts should differ: copies are the caller's to merge. Their number grows with that of the rows; what may be missed are pairs
+    without a posted shingle in common and those far from each other in a long list. pair_candidates() gives all pairs.
+    """
+    own = rows.select(F.col(key).alias("id"), F.col(size).alias("n"), (F.col(group) if group else F.lit(0)).alias("g"), F.col(text).alias("text")).where("n > 0 and g is not null")
+    own = written(own.select("id", "n", "g", sketch(F.col("text"), index).alias("terms")))
+    posted = own.select("id", "n", "g", F.explode("terms").alias("term"))
+    shared = posted.groupBy("g", "term").agg(F.count("*").alias("k")).where("k > 1")
+    order = F.when(F.col("k") <= index.near + 1, -F.col("k")).otherwise(F.col("k"))
+    best = F.slice(F.array_sort(F.collect_list(F.struct(order.alias("order"), "term", "k"))), 1, index.posted)  # of a sketch, which is bounded
+    kept = posted.join(shared, ["g", "term"]).groupBy("id", "n", "g").agg(best.alias("x")).select("id", "n", "g", F.explode("x").alias("x")).select("id", "n", "g", "x.*")
+    kept = kept.withColumn("piece", F.pmod(F.xxhash64("id", "term"), F.ceil(F.col("k") / index.piece)))
+    following = Window.partitionBy("g", "term", "piece").orderBy("n", "id")
+    meets = F.array_compact(F.array(*[F.lead(F.struct("id", "n"), j).over(following) for j in range(1, index.near + 1)]))
+    found = kept.withColumn("others", meets).select("id", "n", F.explode("others").alias("other"))
+    close = F.greatest("n", "other.n") <= ratio * F.least("n", "other.n")
+    return found.where(close).select(F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b")).where("a < b").distinct()
+
+
+def compression_pairs(functions: DataFrame, threshold: float = C.DUPLICATE_DISTANCE, group: str | None = "family", ratio: float = C.SIZE_RATIO, index: Index | None = None) -> DataFrame:
     """a, b and ncd below the threshold; functions have func_ord, body (binary) and the group.
 
-    Each body is compressed once; a pair needs one more compression, of both bodies in a row.
+    Each body is compressed once; a pair needs one more compression, of both bodies in a row. With an index, equal bodies are
+    merged first (each is paired with the least of them) and candidates come from the index; else all pairs in range are tried.
     """
     bodies = functions.where(F.octet_length("body") >= C.LEAST_BODY)
     bodies = bodies.select("func_ord", "body", F.octet_length("body").alias("size"), compressed_size(F.col("body")).alias("packed"), *([group] if group else []))
-    pairs = pair_candidates(bodies, "func_ord", "size", group, ratio)
+    if index is None:
+        pairs = pair_candidates(bodies, "func_ord", "size", group, ratio)
+    else:
+        same = F.struct((F.col(group) if group else F.lit(0)).alias("g"), F.sha2("body", 256).alias("digest"))
+        classes = written(bodies.withColumn("class", same))
+        least = classes.where("class.g is not null").groupBy("class").agg(F.min("func_ord").alias("least"))
+        copies = classes.join(least, "class").where("least < func_ord").select(F.col("least").alias("a"), F.col("func_ord").alias("b"))
+        different = classes.join(least.select(F.col("least").alias("func_ord")), "func_ord", "left_semi").withColumn("text", F.decode("body", "ISO-8859-1"))
+        pairs = copies.unionByName(index_candidates(different, "func_ord", "text", "size", group, ratio, index))
     x = bodies.select(F.col("func_ord").alias("a"), F.col("body").alias("x"), F.col("packed").alias("cx"))
     y = bodies.select(F.col("func_ord").alias("b"), F.col("body").alias("y"), F.col("packed").alias("cy"))
     both = pairs.join(x, "a").join(y, "b").withColumn("cxy", compressed_size(F.concat("x", "y")))
@@ -118,5 +189,3 @@ def duplicate_ratio(functions: DataFrame, clustered: DataFrame) -> DataFrame:
     inside = clustered.agg(F.count("*").alias("funcs_in_dup"))
     ratio = F.when(F.col("total_funcs") > 0, F.col("funcs_in_dup") / F.col("total_funcs")).otherwise(0.0)
     return total.crossJoin(F.broadcast(inside)).select("funcs_in_dup", "total_funcs", ratio.alias("ratio"))
-
-

@@ -26,6 +26,8 @@ class Options:
     calibration: Calibration = Calibration()
     threshold: float = C.DUPLICATE_DISTANCE
     cross_language: bool = False
+    #: How functions that may be copies are found; None compares all of similar size.
+    index: D.Index | None = D.Index()
 
 
 def check(files: DataFrame, options: Options = Options(), tables: lexer.Tables | None = None) -> DataFrame:
@@ -46,7 +48,7 @@ def duplicates(files: DataFrame, options: Options = Options(), most: int | None
     functions = lexer.shown(D.numbered((tables or lexer.tables(files)).functions))
     functions = functions.withColumn("body", F.encode("body", "ISO-8859-1")).where(F.octet_length("body") >= C.LEAST_BODY)
     functions = written(functions)
-    pairs = written(D.compression_pairs(functions, options.threshold, None if options.cross_language else "family"))
+    pairs = written(D.compression_pairs(functions, options.threshold, None if options.cross_language else "family", index=options.index))
     members = written(D.clusters(pairs))
     return Duplicates(functions, pairs, members, D.cluster_table(pairs, members, most), D.duplicate_ratio(functions, members))
 

@@ -457,6 +457,48 @@ def ncd_pairs(spark, sf_dir):
     return _rounded(duplicates.compression_pairs(items, 0.8, None), "ncd")
 
 
+def copy_candidates(spark, sf_dir):
+    """Different texts that meet in the index of shingles: how many each meets, and the least of all that are linked so."""
+    texts = _documents(spark, sf_dir).where("doc_id is not null and text is not null")
+    least = texts.groupBy(F.md5(F.col("text").cast("binary")).alias("digest")).agg(F.min("doc_id").alias("doc_id"))
+    different = texts.join(least, "doc_id", "left_semi").select("doc_id", "text", F.octet_length("text").alias("size"))
+    pairs = duplicates.index_candidates(different, "doc_id", "text", "size", None)
+    pairs = duplicates.written(pairs)
+    met = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.count("*").alias("candidates"))
+    return duplicates.components(pairs).join(met, F.col("node") == F.col("a")).select(F.col("node").alias("doc_id"), "candidates", F.col("component").alias("least_linked"))
+
+
+def _copy_candidates_sql(index: duplicates.Index = duplicates.Index()) -> str:
+    following = ", ".join(f"lead({{'id': doc_id, 'n': n}}, {j}) OVER o" for j in range(1, index.near + 1))
+    return rf"""
+WITH RECURSIVE least AS (
+  SELECT min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY md5(text)
+), d AS (
+  SELECT doc_id, strlen(text) AS n, regexp_extract_all(text, '{duplicates.TOKENS}') AS w FROM documents JOIN least USING (doc_id) WHERE text <> ''
+), hashes AS (
+  SELECT doc_id, n, list_sort(list_distinct(list_transform(range(0, greatest(len(w) - {index.tokens}, 0) + 1), lambda i: ('0x' || substr(md5(array_to_string(w[i + 1:i + {index.tokens}], ' ')), 1, 15))::BIGINT)))[1:{index.sketch}] AS h
+  FROM d WHERE len(w) > 0
+), posted AS (
+  SELECT doc_id, n, unnest(h) AS term FROM hashes
+), shared AS (
+  SELECT term, count(*) AS k FROM posted GROUP BY term HAVING count(*) > 1
+), kept AS (
+  SELECT doc_id, n, term FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN k <= {index.near + 1} THEN -k ELSE k END, term) AS r FROM posted JOIN shared USING (term)) WHERE r <= {index.posted}
+), met AS (
+  SELECT doc_id, n, unnest([{following}]) AS o FROM kept WINDOW o AS (PARTITION BY term ORDER BY n, doc_id)
+), pairs AS (
+  SELECT DISTINCT least(doc_id, o.id) AS a, greatest(doc_id, o.id) AS b FROM met WHERE o IS NOT NULL AND greatest(n, o.n) <= 2 * least(n, o.n)
+), links AS (
+  SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
+), reach AS (
+  SELECT a AS doc_id, a AS r FROM links UNION SELECT links.a, reach.r FROM reach JOIN links ON links.b = reach.doc_id
+), counted AS (
+  SELECT a AS doc_id, count(*) AS candidates FROM links GROUP BY a
+)
+SELECT doc_id, candidates::BIGINT AS candidates, min(r) AS least_linked FROM reach JOIN counted USING (doc_id) GROUP BY doc_id, candidates
+"""
+
+
 def string_repeats(spark, sf_dir):
     """Lines of 8 to 127 bytes that a document has three times or more, with their first line."""
     rows = _documents(spark, sf_dir).select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("i", "line"))
@@ -570,6 +612,7 @@ QUERIES = {
     "duplicate_ratio": (duplicate_ratio, DUPLICATE_RATIO),
     "compress_ratio": (compress_ratio, None),
     "ncd_pairs": (ncd_pairs, None),
+    "copy_candidates": (copy_candidates, _copy_candidates_sql()),
     "string_repeats": (string_repeats, STRING_REPEATS),
     "first_three_then_total": (first_three_then_total, FIRST_THREE),
     "conventional_messages": (conventional_messages, CONVENTIONAL),
