@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import subprocess
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,10 +54,10 @@ def read_folder(spark: SparkSession, folder: str, use_git: bool | None = None) -
     """Source files of a folder, without those that are ignored; an empty table if there are none."""
     folder = folder.rstrip("/") or "/"
     entries = read_ignore_file(spark, folder)
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    # without content nothing is opened, so what is left out costs its place in the listing alone
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.col("path").alias("uri"))
     root = F.regexp_replace(F.lit(os.path.abspath(folder)), "/+$", "")
-    local = F.regexp_replace("path", "^file:/*", "/")
-    found = read.select(local.alias("path"), "content", F.expr("substring(path, 1, 0)").alias("none")).drop("none")
+    found = listed.withColumn("path", F.regexp_replace("uri", "^file:/*", "/"))
     relative = F.substr(F.col("path"), F.char_length(root) + 2)
     found = found.withColumn("relative", relative).where(paths.is_source(F.col("path")))
     if is_repository(folder) if use_git is None else use_git:
@@ -64,7 +65,16 @@ def read_folder(spark: SparkSession, folder: str, use_git: bool | None = None) -
     else:
         hidden = F.exists(paths.segments(F.col("relative")), lambda s: s.startswith("."))
         found = found.where(~hidden & ~paths.in_folders(F.col("relative")) & ~paths.is_ignored(F.col("path"), entries))
-    return described(found.select("path", "content"))
+    kept = [_literal(r.uri) for r in found.select("uri").toLocalIterator()]  # Spark's own listing is on the driver as well
+    if not kept:
+        return described(spark.createDataFrame([], "path string, content binary"))
+    read = spark.read.format("binaryFile").load(kept)
+    return described(read.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content"))
+
+
+def _literal(path: str) -> str:
+    """A path whose signs are no pattern to Spark's readers."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
 
 
 def read_file(spark: SparkSession, path: str) -> DataFrame:
