@@ -36,7 +36,7 @@ def comment_gradient(metrics: DataFrame) -> DataFrame:
     rows = metrics.where(S.gradient(c("top_lines"), c("top_comments"), c("bottom_lines"), c("bottom_comments")))
     top, bottom = c("top_comments") / c("top_lines"), c("bottom_comments") / c("bottom_lines")
     percent = lambda x: F.floor(x * 100 + 0.5).cast("int")
-    message = F.format_string("top half %d%% comments, bottom half %d%% (gradient %.1fx)", percent(top), percent(bottom), top / F.greatest(bottom, F.lit(0.001)))
+    message = F.format_string("top half %d%% comments, bottom half %d%% (gradient %.1fx)", percent(top), percent(bottom), F.bround(top / F.greatest(bottom, F.lit(0.001)), 1))
     return _finding(rows, "comment-decay", STRONG, message, F.lit(0))
 
 
