@@ -7,13 +7,14 @@ between two centroids. So each pair within the threshold meets in the later one
 lost. A cell's vectors are dealt to blocks of about ``block`` rows, and each block is multiplied with the
 cell, read as a stream; no task holds more than a block and a slice.
 
-The number of cells grows with the root of the largest label's vectors: more cells save products and cost
-visits. Centroids are fitted on at most ``sample`` vectors (those with the least hash of vec_id) of at most
+The number of cells grows with the root of the largest label's vectors up to ``most_cells``: more cells save products and cost
+visits. Beyond (26 million vectors of a label with the defaults) the cells themselves grow, and each block is still compared with its whole
+cell, so the copies of a vector grow with its cell: a bound of this form. Centroids are fitted on at most ``sample`` vectors (those with the least hash of vec_id) of at most
 ``sample_bytes``; every vector is assigned. Equal vectors of a label are merged first and counted.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and rows
 with a null label, link with nothing and are kept; vectors of different lengths never link; repeated
-rows link like copies; an empty table gives no rows; columns other than the three are ignored.
+rows link like copies; a row with a null vec_id links with nothing; an empty table gives no rows; columns other than the three are ignored.
 """
 
 from __future__ import annotations

@@ -11,8 +11,9 @@ at most ``sample`` labelled rows, those with the least hash of doc_id, and ``pai
 
 Defined results: a null or empty text has zero features and gets a score as any other; rows with a
 null label or doc_id teach nothing; of several labels of a document the largest counts; if a label
-is missing from the sample all scores are 0.5; an empty table gives no rows; columns other than the
-named ones are ignored.
+is missing from the sample all scores are 0.5; repeated rows are scored each, and equal texts have equal scores; a score of
+exactly the cut is predicted 1, and of feature values on a bin's edge the upper bin counts; texts of any length are taken whole, a
+slice of a batch at a time; an empty table gives no rows; columns other than the named ones are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ every document cost a rule nothing more, so the rules on letters and on distinct
 word again, see only what the others leave.
 
 Words are runs of characters other than the ASCII space and 9 to 13. Defined results: a null or
-blank text has no words, zero for every measure, and fails; repeated rows are judged each; an
+blank text has no words, zero for every measure, and fails; repeated rows are judged each; a text of any length is
+judged whole, within its row; rules of equal gain keep the order in which they are given; an
 empty table gives no rows; columns other than doc_id and text are ignored. Repeated word windows are
 told apart by a 64-bit hash of their three words within one document.
 """
