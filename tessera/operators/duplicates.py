@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass
+from hashlib import md5
+from itertools import accumulate, islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,6 +53,7 @@ def distance(x: Column, y: Column, both: Column) -> Column:
 
 #: A word, or a sign of its own.
 TOKENS = r"[^\x00-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]+|[\x21-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7E]"
+_TOKENS = re.compile(TOKENS.encode())
 
 
 @dataclass(frozen=True)
@@ -68,44 +73,84 @@ class Index:
     piece: int = 4096
 
 
-def _number(digest: Column) -> Column:
-    """The first 60 bits."""
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+#: Tokens of a text that are hashed at a time.
+SLICE = 1 << 16
+
+
+def least_hashes(text: bytes, index: Index) -> np.ndarray:
+    """The first 60 bits of the MD5 of each shingle of a UTF-8 text: the least of them, in order."""
+    least = np.empty(0, np.int64)
+    found = (m.group() for m in _TOKENS.finditer(text))
+    words = list(islice(found, SLICE))
+    short = len(words) < index.tokens
+    while words and (short or len(words) >= index.tokens):
+        more = list(islice(found, SLICE))
+        joined = b" ".join(words)
+        ends = list(accumulate(len(w) + 1 for w in words))
+        starts = [0, *ends]
+        digests = b"".join([md5(joined[i : j - 1]).digest() for i, j in zip(starts, ends[min(index.tokens, len(ends)) - 1 :])])
+        least = np.unique(np.concatenate([least, (np.frombuffer(digests, ">u8")[::2] >> np.uint64(4)).astype(np.int64)]))[: index.sketch]
+        words = words[-(index.tokens - 1) :] + more if more and index.tokens > 1 else more
+    return least
 
 
 def sketch(text: Column, index: Index = Index()) -> Column:
     """The least hashes of a text's shingles; a text with fewer tokens is one shingle, without tokens it has none."""
-    words = F.regexp_extract_all(text, F.lit(TOKENS), F.lit(0))
 
-    def of(w: Column) -> Column:
-        hashes = F.array_distinct(F.transform(places_of(w), lambda i: _number(F.md5(F.array_join(F.slice(w, i + 1, F.lit(index.tokens)), " ").cast("binary")))))
-        return F.when(F.size(w) > 0, F.slice(F.array_sort(hashes), 1, index.sketch)).otherwise(F.array().cast("array<bigint>"))
+    @F.pandas_udf("array<bigint>")
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: least_hashes(t or b"", index))
 
-    def places_of(w: Column) -> Column:
-        return F.sequence(F.lit(0), F.greatest(F.size(w) - index.tokens, F.lit(0)))
+    return of(text.cast("binary"))
 
-    return F.transform(F.array(words), of)[0]
+
+def index_lists(rows: DataFrame, key: str, text: str, size: str, group: str | None, index: Index = Index()) -> DataFrame:
+    """id, n (size), g (group) and each term that a text is posted under, with the piece of the term's list."""
+    own = rows.select(F.col(key).alias("id"), F.col(size).alias("n"), (F.col(group) if group else F.lit(0)).alias("g"), F.col(text).alias("text")).where("n > 0 and g is not null")
+    own = written(own.select("id", "n", "g", sketch(F.col("text"), index).alias("terms")))
+    posted = own.select("id", "n", "g", F.explode("terms").alias("term"))
+    shared = posted.groupBy("g", "term").agg(F.count("*").alias("k")).where("k > 1")
+    order = F.when(F.col("k") <= index.near + 1, -F.col("k")).otherwise(F.col("k"))
+    best = F.row_number().over(Window.partitionBy("id", "n", "g").orderBy(order, "term"))
+    kept = posted.join(shared, ["g", "term"]).withColumn("place", best).where(F.col("place") <= index.posted)
+    return kept.select("id", "n", "g", "term", F.pmod(F.xxhash64("id", "term"), F.ceil(F.col("k") / index.piece)).alias("piece"))
+
+
+def index_neighbours(lists: DataFrame, ratio: float = C.SIZE_RATIO, index: Index = Index()) -> DataFrame:
+    """id, after, before and hubs: the different ids that it meets in its lists, by their place in the order of (size, id).
+
+    ``hubs`` has the least id of each run of a list, where a run ends when the next size is out of the ratio. Hubs connect what ``after``
+    connects, over few steps: sizes grow along a list, so whoever is near enough in size is in the same run, and neighbours in a
+    run are near enough. An id has at most ``posted * near`` of each kind, so all of its ids fit in one row; a list has ``piece`` rows or so.
+    """
+    w = Window.partitionBy("g", "term", "piece").orderBy("n", "id")
+    after = [F.when(F.lead("n", j).over(w) <= ratio * F.col("n"), F.lead("id", j).over(w)) for j in range(1, index.near + 1)]
+    before = [F.when(F.col("n") <= ratio * F.lag("n", j).over(w), F.lag("id", j).over(w)) for j in range(1, index.near + 1)]
+    starts = F.coalesce(F.col("n") > ratio * F.lag("n").over(w), F.lit(True))
+    met = lists.select("id", "g", "term", "piece", "n", F.array(*after).alias("after"), F.array(*before).alias("before"), starts.cast("int").alias("starts"))
+    met = met.withColumn("run", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    met = met.withColumn("hub", F.array(F.min("id").over(Window.partitionBy("g", "term", "piece", "run"))))
+
+    def different(name: str) -> Column:
+        return F.array_compact(F.array_remove(F.array_distinct(F.flatten(F.collect_list(name))), F.col("id"))).alias(name)
+
+    return met.groupBy("id").agg(different("after"), different("before"), different("hub").alias("hubs"))
+
+
+def pairs_of(neighbours: DataFrame, name: str) -> DataFrame:
+    """a < b of an array column of index_neighbours()."""
+    found = neighbours.select("id", F.explode(name).alias("other"))
+    return found.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
 
 
 def index_candidates(rows: DataFrame, key: str, text: str, size: str, group: str | None, ratio: float = C.SIZE_RATIO, index: Index = Index()) -> DataFrame:
     """a < b of rows of one group that meet in a posting list and whose sizes differ by the ratio at most.
 
     Texts should differ: copies are the caller's to merge. Their number grows with that of the rows; what may be missed are pairs
-    without a posted shingle in common and those far from each other in a long list. pair_candidates() gives all pairs.
+    without a posted shingle in common and those far from each other in a long list. pair_candidates() gives all pairs. The lesser of a
+    pair by size and id finds the other in every list, so pairs are told apart in its row.
     """
-    own = rows.select(F.col(key).alias("id"), F.col(size).alias("n"), (F.col(group) if group else F.lit(0)).alias("g"), F.col(text).alias("text")).where("n > 0 and g is not null")
-    own = written(own.select("id", "n", "g", sketch(F.col("text"), index).alias("terms")))
-    posted = own.select("id", "n", "g", F.explode("terms").alias("term"))
-    shared = posted.groupBy("g", "term").agg(F.count("*").alias("k")).where("k > 1")
-    order = F.when(F.col("k") <= index.near + 1, -F.col("k")).otherwise(F.col("k"))
-    best = F.slice(F.array_sort(F.collect_list(F.struct(order.alias("order"), "term", "k"))), 1, index.posted)  # of a sketch, which is bounded
-    kept = posted.join(shared, ["g", "term"]).groupBy("id", "n", "g").agg(best.alias("x")).select("id", "n", "g", F.explode("x").alias("x")).select("id", "n", "g", "x.*")
-    kept = kept.withColumn("piece", F.pmod(F.xxhash64("id", "term"), F.ceil(F.col("k") / index.piece)))
-    following = Window.partitionBy("g", "term", "piece").orderBy("n", "id")
-    meets = F.array_compact(F.array(*[F.lead(F.struct("id", "n"), j).over(following) for j in range(1, index.near + 1)]))
-    found = kept.withColumn("others", meets).select("id", "n", F.explode("others").alias("other"))
-    close = F.greatest("n", "other.n") <= ratio * F.least("n", "other.n")
-    return found.where(close).select(F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b")).where("a < b").distinct()
+    return pairs_of(index_neighbours(index_lists(rows, key, text, size, group, index), ratio, index), "after")
 
 
 def compression_pairs(functions: DataFrame, threshold: float = C.DUPLICATE_DISTANCE, group: str | None = "family", ratio: float = C.SIZE_RATIO, index: Index | None = None) -> DataFrame:

@@ -462,10 +462,11 @@ def copy_candidates(spark, sf_dir):
     texts = _documents(spark, sf_dir).where("doc_id is not null and text is not null")
     least = texts.groupBy(F.md5(F.col("text").cast("binary")).alias("digest")).agg(F.min("doc_id").alias("doc_id"))
     different = texts.join(least, "doc_id", "left_semi").select("doc_id", "text", F.octet_length("text").alias("size"))
-    pairs = duplicates.index_candidates(different, "doc_id", "text", "size", None)
-    pairs = duplicates.written(pairs)
-    met = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.count("*").alias("candidates"))
-    return duplicates.components(pairs).join(met, F.col("node") == F.col("a")).select(F.col("node").alias("doc_id"), "candidates", F.col("component").alias("least_linked"))
+    lists = duplicates.index_lists(different, "doc_id", "text", "size", None)
+    met = duplicates.written(duplicates.index_neighbours(lists))
+    candidates = met.select(F.col("id").alias("node"), (F.size("after") + F.size("before")).cast("long").alias("candidates"))
+    linked = duplicates.components(duplicates.pairs_of(met, "hubs"))
+    return linked.join(candidates, "node").select(F.col("node").alias("doc_id"), "candidates", F.col("component").alias("least_linked"))
 
 
 def _copy_candidates_sql(index: duplicates.Index = duplicates.Index()) -> str:

@@ -1,6 +1,7 @@
 """Near copies by the index of shingles, against all pairs of similar size."""
 
 import random
+from hashlib import md5
 
 from pyspark.sql import functions as F
 
@@ -57,3 +58,28 @@ def test_copies_are_one_class(spark):
     assert pairs(spark, [body] * 30, D.Index()) == {(0, i) for i in range(1, 30)}
     rows = spark.createDataFrame([(1, "", 5, "c"), (2, None, 5, "c"), (3, "one two", None, "c"), (4, "one two", 4, None), (5, " \n", 4, "c")], "id long, text string, size int, g string")
     assert D.index_candidates(rows, "id", "text", "size", "g").count() == 0
+
+
+def test_least_hashes_in_slices(monkeypatch):
+    """The hashes do not depend on where a text is sliced, and are those of its shingles."""
+    index = D.Index(tokens=3, sketch=20)
+    words = [random.Random(n).choice(["a", "b_1", "é", "+", "日本", "("]) for n in range(200)]
+    for n in (0, 1, 2, 3, 4, 9, 200):
+        own = words[:n]
+        text = "\t".join(own).encode()
+        shingles = {" ".join(own[i : i + 3]) for i in range(max(n - 2, 1))} if n else set()
+        want = sorted(int(md5(s.encode()).hexdigest()[:15], 16) for s in shingles)[:20]
+        for size in (4, 5, 7, 1 << 16):
+            monkeypatch.setattr(D, "SLICE", size)
+            assert D.least_hashes(text, index).tolist() == want, (n, size)
+
+
+def test_hubs_connect_what_after_connects(spark):
+    rows = [(i, f"{'a line of all ' * 3} {i % 7} x {i % 11} y {i % 5}", 40 + (i * 31) % 300) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, text string, size int")
+    index = D.Index(near=3, posted=5, piece=64)
+    met = D.index_neighbours(D.index_lists(df, "id", "text", "size", None, index), index=index).cache()
+    got = {frozenset((x.a, x.b)) for x in D.pairs_of(met, "after").collect()}
+    assert got == {frozenset((x.a, x.b)) for x in D.pairs_of(met, "before").collect()} and got
+    whole, thin = ({(x.node, x.component) for x in D.components(D.pairs_of(met, c)).collect()} for c in ("after", "hubs"))
+    assert whole == thin
