@@ -18,18 +18,20 @@ from tessera import constants as C
 from tessera.sources.staging import written
 
 
-def pair_candidates(rows: DataFrame, key: str, size: str, group: str | None, ratio: float = C.SIZE_RATIO) -> DataFrame:
+def pair_candidates(rows: DataFrame, key: str, size: str, group: str | None, ratio: float = C.SIZE_RATIO, first: int | None = None) -> DataFrame:
     """a < b of rows of one group whose sizes differ by the ratio at most, found by size buckets.
 
     Sizes within a ratio of 2 lie in the same or in neighbouring buckets of powers of two, so one side is
-    repeated three times and the join has equal keys only. Rows without a size or group have no pair.
+    repeated three times and the join has equal keys only. Rows without a size or group have no pair. With ``first``
+    only pairs with b from there on are made: those of rows that came later.
     """
     group_column = F.col(group) if group else F.lit(0)
     own = rows.select(F.col(key).alias("id"), F.col(size).alias("n"), group_column.alias("g")).where("n > 0")
     bucket = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
     reach = int(-(-(ratio - 1) // 1)) or 1
     left = own.select(F.col("id").alias("a"), F.col("n").alias("na"), "g", F.explode(F.sequence(bucket - reach, bucket + reach)).alias("bucket"))
-    right = own.select(F.col("id").alias("b"), F.col("n").alias("nb"), "g", bucket.alias("bucket"))
+    later = own if first is None else own.where(F.col("id") >= first)
+    right = later.select(F.col("id").alias("b"), F.col("n").alias("nb"), "g", bucket.alias("bucket"))
     found = left.join(right, ["g", "bucket"]).where("a < b")
     return found.where(F.greatest("na", "nb") <= ratio * F.least("na", "nb")).select("a", "b")
 
@@ -104,18 +106,46 @@ def sketch(text: Column, index: Index = Index()) -> Column:
     return of(text.cast("binary"))
 
 
+def sketches(rows: DataFrame, key: str, text: str, size: str, group: str | None, index: Index = Index()) -> DataFrame:
+    """id, n (size), g (group) and terms (the least hashes) of the texts that have a size and a group."""
+    own = rows.select(F.col(key).alias("id"), F.col(size).alias("n"), (F.col(group) if group else F.lit(0)).alias("g"), F.col(text).alias("text")).where("n > 0 and g is not null")
+    return own.select("id", "n", "g", sketch(F.col("text"), index).alias("terms"))
+
+
 def index_lists(rows: DataFrame, key: str, text: str, size: str, group: str | None, index: Index = Index()) -> DataFrame:
     """id, n (size), g (group) and each term that a text is posted under, with the piece of the term's list."""
-    own = rows.select(F.col(key).alias("id"), F.col(size).alias("n"), (F.col(group) if group else F.lit(0)).alias("g"), F.col(text).alias("text")).where("n > 0 and g is not null")
-    own = written(own.select("id", "n", "g", sketch(F.col("text"), index).alias("terms")))
+    return _lists(written(sketches(rows, key, text, size, group, index)), None, index)
+
+
+def _lists(own: DataFrame, before: DataFrame | None, index: Index) -> DataFrame:
+    """Lists of the terms that texts are posted under, with all texts that came ``before`` and have such a term."""
     posted = own.select("id", "n", "g", F.explode("terms").alias("term"))
-    shared = posted.groupBy("g", "term").agg(F.count("*").alias("k")).where("k > 1")
+    counted = posted
+    if before is not None:
+        # what came before counts, but for the new terms alone
+        before = before.select("id", "n", "g", F.explode("terms").alias("term"))
+        before = written(before.join(posted.select("g", "term").distinct(), ["g", "term"], "left_semi"))
+        counted = posted.unionByName(before)
+    shared = counted.groupBy("g", "term").agg(F.count("*").alias("k")).where("k > 1")
     order = F.when(F.col("k") <= index.near + 1, -F.col("k")).otherwise(F.col("k"))
     best = F.row_number().over(Window.partitionBy("id", "n", "g").orderBy(order, "term"))
-    kept = posted.join(shared, ["g", "term"]).withColumn("place", best).where(F.col("place") <= index.posted)
+    kept = posted.join(shared, ["g", "term"]).withColumn("place", best).where(F.col("place") <= index.posted).drop("place")
+    if before is not None:
+        kept = written(kept)
+        kept = kept.unionByName(before.join(kept.select("g", "term", "k").distinct(), ["g", "term"]))
     return kept.select("id", "n", "g", "term", F.pmod(F.xxhash64("id", "term"), F.ceil(F.col("k") / index.piece)).alias("piece"))
 
 
+def later_candidates(own: DataFrame, before: DataFrame, first: int, ratio: float = C.SIZE_RATIO, index: Index = Index()) -> DataFrame:
+    """a < b of sketches where b is one of the later texts ``own`` (ids from ``first`` on) and a another of them or one that came before.
+
+    Only the lists of terms that a later text has are read. In each it meets ``near`` texts on both sides.
+    """
+    met = index_neighbours(_lists(own, before, index), ratio, index).where(F.col("id") >= first)
+    met = met.select(F.explode(F.array_union("after", "before")).alias("a"), F.col("id").alias("b"))
+    return met.where("a < b")  # two later texts meet in the rows of both
+
+
 def index_neighbours(lists: DataFrame, ratio: float = C.SIZE_RATIO, index: Index = Index()) -> DataFrame:
     """id, after, before and hubs: the different ids that it meets in its lists, by their place in the order of (size, id).
 
@@ -153,14 +183,19 @@ def index_candidates(rows: DataFrame, key: str, text: str, size: str, group: str
     return pairs_of(index_neighbours(index_lists(rows, key, text, size, group, index), ratio, index), "after")
 
 
+def packed(functions: DataFrame, group: str | None = "family") -> DataFrame:
+    """func_ord, body, size, packed (compressed size) and the group of the functions that are long enough."""
+    bodies = functions.where(F.octet_length("body") >= C.LEAST_BODY)
+    return bodies.select("func_ord", "body", F.octet_length("body").alias("size"), compressed_size(F.col("body")).alias("packed"), *([group] if group else []))
+
+
 def compression_pairs(functions: DataFrame, threshold: float = C.DUPLICATE_DISTANCE, group: str | None = "family", ratio: float = C.SIZE_RATIO, index: Index | None = None) -> DataFrame:
     """a, b and ncd below the threshold; functions have func_ord, body (binary) and the group.
 
     Each body is compressed once; a pair needs one more compression, of both bodies in a row. With an index, equal bodies are
     merged first (each is paired with the least of them) and candidates come from the index; else all pairs in range are tried.
     """
-    bodies = functions.where(F.octet_length("body") >= C.LEAST_BODY)
-    bodies = bodies.select("func_ord", "body", F.octet_length("body").alias("size"), compressed_size(F.col("body")).alias("packed"), *([group] if group else []))
+    bodies = packed(functions, group)
     if index is None:
         pairs = pair_candidates(bodies, "func_ord", "size", group, ratio)
     else:
@@ -170,8 +205,13 @@ def compression_pairs(functions: DataFrame, threshold: float = C.DUPLICATE_DISTA
         copies = classes.join(least, "class").where("least < func_ord").select(F.col("least").alias("a"), F.col("func_ord").alias("b"))
         different = classes.join(least.select(F.col("least").alias("func_ord")), "func_ord", "left_semi").withColumn("text", F.decode("body", "ISO-8859-1"))
         pairs = copies.unionByName(index_candidates(different, "func_ord", "text", "size", group, ratio, index))
-    x = bodies.select(F.col("func_ord").alias("a"), F.col("body").alias("x"), F.col("packed").alias("cx"))
-    y = bodies.select(F.col("func_ord").alias("b"), F.col("body").alias("y"), F.col("packed").alias("cy"))
+    return near_pairs(pairs, bodies, bodies, threshold)
+
+
+def near_pairs(pairs: DataFrame, lesser: DataFrame, greater: DataFrame, threshold: float) -> DataFrame:
+    """a, b and ncd of the pairs whose distance is below the threshold; a is one of the lesser and b of the greater of packed()."""
+    x = lesser.select(F.col("func_ord").alias("a"), F.col("body").alias("x"), F.col("packed").alias("cx"))
+    y = greater.select(F.col("func_ord").alias("b"), F.col("body").alias("y"), F.col("packed").alias("cy"))
     both = pairs.join(x, "a").join(y, "b").withColumn("cxy", compressed_size(F.concat("x", "y")))
     return both.select("a", "b", distance(F.col("cx"), F.col("cy"), F.col("cxy")).alias("ncd")).where(F.col("ncd") < threshold)
 

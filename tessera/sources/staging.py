@@ -24,19 +24,25 @@ def shared_folder(spark: SparkSession) -> str:
     return found or f"{spark.conf.get('spark.sql.warehouse.dir')}/_staged"
 
 
-def written(df: DataFrame, outlive: bool = False) -> DataFrame:
-    """The same rows, read from Parquet; the files go when the session ends, or the released() block around it.
+def new_folder(spark: SparkSession, outlive: bool = False) -> str:
+    """A path of its own in the shared folder; what is there goes when the session ends, or the released() block around it.
 
-    With ``outlive`` they stay when the innermost block ends.
+    With ``outlive`` it stays when the innermost block ends.
     """
-    spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
     target, system = _target(spark, path)
+    system.mkdirs(target)  # a path that is not there is not noted for the end
     system.deleteOnExit(target)
     if len(_open) > outlive:
         _open[-1 - outlive].append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame, outlive: bool = False) -> DataFrame:
+    """The same rows, read from Parquet in a new_folder()."""
+    path = new_folder(df.sparkSession, outlive)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager

@@ -21,11 +21,10 @@ def watch_folder(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def check_stream(files: DataFrame, target: str, checkpoint: str, include_general: bool = False):
-    """Findings of each batch of new files, appended to a Parquet folder."""
+    """Findings of each batch of new files, in a folder of its own below the target; a batch that is run again replaces its own."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         with released():  # a stream runs on and on
-            found = findings.check(batch, include_general).withColumn("epoch", F.lit(epoch))
-            found.write.mode("append").parquet(target)
+            findings.check(batch, include_general).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
 
     return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
