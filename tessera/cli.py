@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tessera import constants as C
-from tessera.operators import findings, scores
+from tessera.operators import findings, lexer, scores
 from tessera.plans import analysis, render
 from tessera.sources import files as sources
 from tessera.sources.settings import Calibration, load
@@ -47,10 +47,6 @@ def _show(table, column: str = "text") -> None:
         print(row[column])
 
 
-def _ratio(files, options) -> float:
-    return analysis.duplicates(files, options).ratio.first().ratio
-
-
 def _folder(path: str) -> str:
     """The folder whose history tells about a path: itself, or that of a file."""
     return path if os.path.isdir(path) else os.path.dirname(os.path.abspath(path))
@@ -97,11 +93,15 @@ def main(argv: list[str] | None = None) -> int:
         if not found.clusters.limit(1).count():
             print(f"no duplicate functions found (NCD < {options.threshold:.2f}, bodies of at least {C.LEAST_BODY} bytes)")
         return render.exit_of_duplicates(found.clusters)
-    scored = analysis.scan(files, options, project).cache()
+    # what the head of the JSON and the report need besides is found once
+    again = args.command == "report" or args.json and project
+    tables = lexer.tables(files) if again else None
+    dup = analysis.duplicates(files, options, tables=tables) if again else None
+    scored = analysis.scan(files, options, project, tables, dup).cache()
     overview = scores.project(scored)
     _show(files.where("skip_reason is not null").select(F.format_string("skipped %s (%s)", "path", "skip_reason").alias("text")))
     if args.json:
-        head = overview.select(F.format_string('{"calibrated":%s,"temperature":%.2f,"project_score":%.1f,"dup_ratio":%.4f,"files":', F.lit(str(calibration.loaded).lower()), F.lit(calibration.temperature), F.col("project_score") * 10, F.lit(_ratio(files, options) if project else 0.0)).alias("text"))
+        head = overview.select(F.format_string('{"calibrated":%s,"temperature":%.2f,"project_score":%.1f,"dup_ratio":%.4f,"files":', F.lit(str(calibration.loaded).lower()), F.lit(calibration.temperature), F.col("project_score") * 10, F.lit(dup.ratio.first().ratio if project else 0.0)).alias("text"))
         print(head.first().text + "[" if project else "[")
         rows = scores.as_json(scored.orderBy(F.desc("probability"), "path")).toLocalIterator()
         first = True
@@ -115,11 +115,11 @@ def main(argv: list[str] | None = None) -> int:
             _show(render.signal_table(scores.signals(scored)))
         _show(overview.select(F.format_string("project score %.1f", F.col("project_score") * 10).alias("text")))
     if args.command == "report":
-        tables = analysis.report(files, options)
+        parts = analysis.report(files, options, tables, dup, scored if project else None)
         for name in ("overview", "summary", "findings", "dead_code", "duplicate_listing", "skipped", "methodology", "settings"):
             title = name.upper().replace("_", " ")
             print(f"\n{'-' * 72}\n  {title}\n{'-' * 72}")
-            text = tables[name] if name == "duplicate_listing" else render.findings_text(tables[name]) if name in ("findings", "dead_code") else tables[name].select(F.to_json(F.struct("*")).alias("text"))
+            text = parts[name] if name == "duplicate_listing" else render.findings_text(parts[name]) if name in ("findings", "dead_code") else parts[name].select(F.to_json(F.struct("*")).alias("text"))
             _show(text)
     return render.exit_of_scan(overview)
 

@@ -53,7 +53,7 @@ def duplicates(files: DataFrame, options: Options = Options(), most: int | None
     return Duplicates(functions, pairs, members, D.cluster_table(pairs, members, most), D.duplicate_ratio(functions, members))
 
 
-def measured(files: DataFrame, options: Options = Options(), project: bool = True, tables: lexer.Tables | None = None) -> DataFrame:
+def measured(files: DataFrame, options: Options = Options(), project: bool = True, tables: lexer.Tables | None = None, dup: Duplicates | None = None) -> DataFrame:
     """File metrics with what the score needs besides: compression, history, dead lines, the project's duplicates."""
     tables = tables or lexer.tables(files)
     lexed, lines, functions = tables.lexed, tables.lines, tables.functions
@@ -65,27 +65,29 @@ def measured(files: DataFrame, options: Options = Options(), project: bool = Tru
         style = history.commit_style(history.read_commits(named.select(F.col("name").alias("path")).distinct(), options.git_folder))
         metrics = named.join(style.select(F.col("path").alias("name"), "composite"), "name", "left").drop("name")
     if project:
-        metrics = metrics.crossJoin(F.broadcast(duplicates(files, options, tables=tables).ratio.select(F.col("ratio").alias("dup_ratio"))))
+        dup = dup or duplicates(files, options, tables=tables)
+        metrics = metrics.crossJoin(F.broadcast(dup.ratio.select(F.col("ratio").alias("dup_ratio"))))
     return metrics
 
 
-def scan(files: DataFrame, options: Options = Options(), project: bool = True, tables: lexer.Tables | None = None) -> DataFrame:
-    """Scores of the files that are not skipped; a single file or stream has no project."""
-    return lexer.shown(_scored(files, options, project, tables))
+def scan(files: DataFrame, options: Options = Options(), project: bool = True, tables: lexer.Tables | None = None, dup: Duplicates | None = None) -> DataFrame:
+    """Scores of the files that are not skipped; a single file or stream has no project. Tables and duplicates that are there are used."""
+    return lexer.shown(_scored(files, options, project, tables, dup))
 
 
-def _scored(files: DataFrame, options: Options, project: bool, tables: lexer.Tables | None) -> DataFrame:
+def _scored(files: DataFrame, options: Options, project: bool, tables: lexer.Tables | None, dup: Duplicates | None = None) -> DataFrame:
     """Scores with the tables' own keys. The metrics are written, so that all larger tables go when they were made here."""
     with released() if tables is None else nullcontext():
-        metrics = written(measured(files, options, project, tables), outlive=tables is None)
+        metrics = written(measured(files, options, project, tables, dup), outlive=tables is None)
     return scores.score_files(metrics, options.calibration, options.prior)
 
 
-def report(files: DataFrame, options: Options = Options(include_general=True)) -> dict[str, DataFrame]:
-    tables = lexer.tables(files)
-    scored = written(scan(files, options, tables=tables))
+def report(files: DataFrame, options: Options = Options(include_general=True), tables: lexer.Tables | None = None, dup: Duplicates | None = None, scored: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The parts of a report; files are lexed and duplicates are found once, or not at all where they are given."""
+    tables = tables or lexer.tables(files)
+    dup = dup or duplicates(files, options, tables=tables)
+    scored = scored or written(scan(files, options, tables=tables, dup=dup))
     found = written(check(files, options, tables))
-    dup = duplicates(files, options, tables=tables)
     return {
         "overview": scores.project(scored).crossJoin(F.broadcast(dup.ratio)),
         "files": scored.orderBy("path"),

@@ -254,6 +254,32 @@ def test_equal_imports_have_their_own_lines(spark):
     assert got == [("a.ts", 1, "Thing"), ("a.ts", 3, "Thing"), ("b.py", 1, "os"), ("b.py", 2, "sys"), ("b.py", 3, "os")]
 
 
+def test_static_is_looked_for_in_five_lines(spark):
+    """The line of the brace and the four before it; an attribute exports a static function."""
+    def dead(text):
+        return [m for k, _, m in findings_of(spark, "a.c", text) if k == "dead-code"]
+
+    body = "{\n  return 1 + 2;\n}\n"
+    assert dead("static\nint\nfirst(\n  int a)\n" + body) == ["first() defined but never referenced (3 lines)"]
+    assert dead("static\nint\nfirst(\n  int a,\n  int b)\n" + body) == []
+    assert dead("static __attribute__((used)) int first(int a) " + body) == []
+    assert dead("int first(int a) " + body) == []
+
+
+def test_report_and_json_lex_once(spark, tmp_path, capsys, monkeypatch):
+    from tessera import cli
+
+    calls, lex = [], lexer.lex
+    monkeypatch.setattr(lexer, "lex", lambda files: calls.append(1) or lex(files))
+    body = "\n".join(f"  const value{i} = input.part{i} + other.part{i} * {i};" for i in range(12))
+    for n in ("a", "b"):
+        (tmp_path / f"{n}.ts").write_text(f"export function fetch_{n}(input, other) {{\n{body}\n  return value1;\n}}\n")
+    cli.main(["scan", "--json", str(tmp_path)])
+    assert '"dup_ratio":1.0000' in capsys.readouterr().out and len(calls) == 1
+    cli.main(["report", str(tmp_path)])
+    assert "fetch_b()" in capsys.readouterr().out and len(calls) == 2
+
+
 def test_python_functions_end(spark):
     text = "def a():\n    x = 1\n\n    def inner():\n        return 2\n    return inner\nvalue = 3\nasync def b():\n    pass\n"
     got = sorted((r.start_line, r.end_line, r.name) for r in lexer.tables(sources.from_bytes(spark, [("a.py", text.encode())])).functions.collect())
