@@ -45,6 +45,29 @@ def test_edge_rows(spark):
     assert identify(df.limit(0)).count() == 0
 
 
+def test_prediction_by_brute_force(spark):
+    """Prototypes, cosines and the first of the best languages, from the definition, for every row."""
+    p = Profiles(dimensions=64)
+    rng = np.random.default_rng(8)
+    letters = {"aa": "abcdeé", "bb": "cdefgh ", "cc": "xyzc -"}
+    rows = [(i, "".join(rng.choice(list(letters[lang]), int(rng.integers(0, 60)))), lang) for i, lang in enumerate(rng.choice(list(letters), 60).tolist())]
+    rows += [(60, None, "aa"), (61, "abc", None), (62, "12", "bb"), (63, rows[0][1], rows[0][2])]
+    bundled = {i: brute_bundle(t or "", p) for i, t, _ in rows}
+    out = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i, *_ in rows}
+    prototypes = {}
+    for lang in sorted(letters):
+        total = sum(bundled[i] for i, t, own in rows if own == lang and t is not None and not out[i])
+        prototypes[lang] = total / np.linalg.norm(total)
+    want = {}
+    for i in bundled:
+        norm = np.linalg.norm(bundled[i])
+        cosines = {lang: round(float(bundled[i] @ v / max(norm, 1)), 9) for lang, v in prototypes.items()}
+        best = max(sorted(cosines), key=cosines.get)
+        want[i] = (out[i], best if norm else "und", round(min(max(cosines[best], 0), 1), 6) if norm else 0.0)
+    got = identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5), p).collect()
+    assert {r.doc_id: (r.held_out, r.lang_pred, round(r.score, 6)) for r in got} == want and len(got) == len(rows)
+
+
 def test_held_out_accuracy(spark):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = [r for r in op9_language_id(spark, SF).collect() if r.held_out and r.lang_pred != "und"]
