@@ -1,15 +1,19 @@
-"""SentencePiece encoding and decoding by a relational lattice.
+"""SentencePiece encoding and decoding by a lattice over distinct text parts.
 
-Documents are dealt into blocks by doc_id, text and where they are read. The distinct text parts of a block are exploded into all
+Documents are dealt into blocks by doc_id, text and where they are read. Spark explodes their texts into parts and
+groups them, so a block has each different part once, and cogroups a block's parts with its documents: the task
+joins the parts' substrings with the pieces, keeps the best last edge of every place and walks back, many parts at a time
+(``piece_lattice``), and each document looks up its parts' ids. All of this stays in the block's partition.
+
+The same in SQL functions alone is ``encode(in_sql=True)``: parts are exploded into all
 substrings up to the longest piece, and an equi-join with the piece table keeps the edges of the
 lattice (the table has a fixed size, that of the vocabulary, and is broadcast). Edges are grouped by
 part and folded by Spark's ``aggregate``: edges come in order of their end and start, the fold carries
-the best node of every place, and a second fold walks back and gives the piece ids. All of this
-stays in the block's partition. Each block's documents then look up their parts' ids.
+the best node of every place, and a second fold walks back and gives the piece ids. Tests hold one form against the other.
 
 Decoding is the reverse: pieces by id, bytes put together, U+2581 to a space, the first one dropped.
 
-A long part goes by a digest in the relational steps, and is cut into windows that overlap by the longest piece before its
+In SQL a long part goes by a digest, and is cut into windows that overlap by the longest piece before its
 substrings are exploded, so no row carries it along.
 
 Defined results: a null or empty text has no pieces and decodes to the empty text; repeated rows are
@@ -23,6 +27,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import identified, stage, table
+from tessera.llm.piece_lattice import Trie, best_paths
 from tessera.llm.unigram import PARTS, SPACE, Vocabulary, default_path, parts
 
 #: Bytes of text in a block, about.
@@ -135,7 +141,7 @@ def best_path(edges: Column, unknown: float, longest: int) -> Column:
 
 @contextmanager
 def wide_aggregates(spark: SparkSession):
-    """Lists of edges stay in memory: a block has a bounded number of parts, and sorting them would spill."""
+    """For encode in SQL. Lists of edges stay in memory: a block has a bounded number of parts, and sorting them would spill."""
     key = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     before = spark.conf.get(key)
     spark.conf.set(key, "4000000")
@@ -145,9 +151,17 @@ def wide_aggregates(spark: SparkSession):
         spark.conf.set(key, before)
 
 
-def encode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, text and ids (array of int); best run within wide_aggregates."""
-    spark, vocabulary = docs.sparkSession, Vocabulary.load(path)
+@lru_cache(maxsize=1)
+def _trie(path: str) -> Trie:
+    return Trie(Vocabulary.load(path))
+
+
+#: Parts of texts that are looked up at a time.
+_LOOKED_UP = 1 << 18
+
+
+def encode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES, in_sql: bool = False) -> DataFrame:
+    """doc_id, text and ids (array of int); in_sql is best run within wide_aggregates."""
     texts = identified(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
@@ -155,27 +169,53 @@ def encode(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFr
     dealt = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks)).cast("int")).repartition(int(blocks), "block")
     # doc_id is counted, which is always true, so that both uses of the texts have the same columns and share one shuffle
     words = dealt.select("doc_id", "block", F.explode(parts(F.col("text"))).alias("part")).groupBy("block", "part").agg(F.count("doc_id").alias("n")).where("n >= 0")
-    paths = _edges(words.select("block", "part"), vocabulary, spark).select(F.col("block").alias("own_block"), "key", best_path(F.col("edges"), vocabulary.unknown, vocabulary.longest).alias("ids"))
+    if in_sql:
+        vocabulary = Vocabulary.load(path)
+        found = _edges(words.select("block", "part"), vocabulary, docs.sparkSession).select(F.col("block").alias("own_block"), "key", best_path(F.col("edges"), vocabulary.unknown, vocabulary.longest).alias("ids"))
+    else:
+        found = words.select(F.col("block").alias("own_block"), "part")
+
+    def paths_in_sql(right: pa.Table, split: list[list[str]]) -> tuple[dict[str, int], list[np.ndarray], list[np.ndarray]]:
+        vocabulary = Vocabulary.load(path)
+        names, ids = _names(vocabulary), dict(zip(right["key"].to_pylist(), right["ids"].to_pylist()))
+        place = {x: i for i, x in enumerate(dict.fromkeys(x for own in split for x in own))}
+        paths = [ids[x if len(x) <= _WINDOW else "\n" + hashlib.sha256(x.encode()).hexdigest()] for x in place]
+        paths = [_with_bytes(x, own, vocabulary, names) if -1 in own else own for x, own in zip(place, paths)]
+        return place, [np.array([len(x) for x in paths], np.int64)], [np.array(x, np.int32) for x in paths]
 
     def gather(left: pa.Table, right: pa.Table) -> pa.Table:
-        names, found = _names(vocabulary), dict(zip(right["key"].to_pylist(), right["ids"].to_pylist()))
-
-        class Known(dict):
-            def __missing__(self, part: str) -> np.ndarray:
-                own = found[part if len(part) <= _WINDOW else "\n" + hashlib.sha256(part.encode()).hexdigest()]
-                self[part] = np.array(_with_bytes(part, own, vocabulary, names) if -1 in own else own, np.int32)
-                return self[part]
-
-        ids, split = Known(), re.compile(PARTS).findall
-        out = []
-        for text in left["text"].to_pylist():
-            own = [ids[x] for x in split(SPACE + text.replace(" ", SPACE))] if text else []
-            out.append(np.concatenate(own) if own else np.zeros(0, np.int32))
-        at = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-        flat = np.concatenate(out) if out else np.zeros(0, np.int32)
-        return pa.table([left["doc_id"], left["text"], pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["doc_id", "text", "ids"])
-
-    return dealt.groupBy("block").cogroup(paths.groupBy("own_block")).applyInArrow(gather, "doc_id long, text string, ids array<int>")
+        find = re.compile(PARTS).findall
+        texts = left["text"].to_pylist()
+        if in_sql:
+            place, counts, flat = paths_in_sql(right, [find(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts])
+        else:
+            own = right["part"].to_pylist()
+            place = dict(zip(own, range(len(own))))
+            counts, flat = zip(*best_paths(own, _trie(path))) if own else ((), ())
+        none = np.zeros(0, np.int32)
+        counts, flat = np.concatenate([none, *counts]).astype(np.int64), np.concatenate([none, *flat])
+        first, out, sizes, looked, ends = np.cumsum(counts) - counts, [none], [none], [], [0]
+
+        def put() -> None:
+            at = np.array(looked, np.int64)
+            n = counts[at]
+            upto = np.concatenate([[0], np.cumsum(n)])
+            out.append(flat[np.repeat(first[at] - upto[:-1], n) + np.arange(upto[-1])])
+            sizes.append(np.diff(upto[ends]))
+            looked.clear()
+            ends[1:] = []
+
+        for t in texts:
+            if t:
+                looked.extend(map(place.__getitem__, find(SPACE + t.replace(" ", SPACE))))
+            ends.append(len(looked))
+            if len(looked) > _LOOKED_UP:
+                put()
+        put()
+        at = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+        return pa.table([left["doc_id"], left["text"], pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(out)))], names=["doc_id", "text", "ids"])
+
+    return dealt.groupBy("block").cogroup(found.groupBy("own_block")).applyInArrow(gather, "doc_id long, text string, ids array<int>")
 
 
 def _with_bytes(part: str, path: list[int], vocabulary: Vocabulary, names: dict[int, str]) -> list[int]:
@@ -218,5 +258,4 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decode(encode(table(spark, sf_dir, "documents"), path), path)
     ids_hash = F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").cast("binary"), 256)
     found = found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), ids_hash.alias("ids_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
-    with wide_aggregates(spark):
-        return stage(found)
+    return stage(found)
