@@ -11,7 +11,7 @@ said at the stage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import jaccard_join, language_id, packing, quality_classifier, suffix_array_dedup
@@ -23,8 +23,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 COSINE_SHARE, COSINE_RANK = 0.5, 0.01
 #: The cosine of a text with fewer letters says little, so it does not reject the text.
 LEAST_LETTERS = 60
-#: About so many labelled rows, taken by a hash, tell a language's least cosine.
-COSINE_ROWS = 20_000
+#: Cosines are whole multiples of 1 / UNITS; a cell of CELL units is counted first, then the cosines of one cell.
+UNITS, CELL = 10**9, 10**5
 #: Near copies share 0.8 of their shingles of five words; op6 keeps its own contract.
 NEAR = jaccard_join.Join(n=5, percent=80)
 #: Passages of more than 50 words are cut whatever their bytes, besides op3's strings of 400 bytes.
@@ -37,21 +37,39 @@ def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS).join(kept, docs["doc_id"] == F.col("kept_id"), "left_semi")
 
 
+def _at_rank(counts: DataFrame, value: str, below: str) -> DataFrame:
+    """Of counts (lang_pred, value, n, k), the value that holds the k-th row of its language, and the rows below it."""
+    upto = F.sum("n").over(Window.partitionBy("lang_pred").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    found = counts.withColumn("upto", upto).where("upto - n < k and k <= upto")
+    return found.select("lang_pred", "k", value, (F.col("upto") - F.col("n")).alias(below))
+
+
+def least_cosines(scores: DataFrame) -> DataFrame:
+    """lang_pred and least: COSINE_SHARE of the score (lang_pred, score) that lies at COSINE_RANK of a language's rows.
+
+    All rows are counted. Cells bound the windows to UNITS / CELL + 1 rows a language, and CELL of the one cell that has the rank.
+    """
+    scores = scores.select("lang_pred", F.round(F.col("score") * UNITS).cast("long").alias("unit"))
+    cells = scores.groupBy("lang_pred", F.floor(F.col("unit") / CELL).alias("cell")).agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy("lang_pred"))
+    cell = _at_rank(cells.withColumn("k", F.ceil(total * COSINE_RANK)), "cell", "below")
+    inside = scores.withColumn("cell", F.floor(F.col("unit") / CELL)).join(F.broadcast(cell), ["lang_pred", "cell"])  # cell has a row a language
+    units = inside.groupBy("lang_pred", "unit").agg(F.count("*").alias("n"), F.first(F.col("k") - F.col("below")).alias("k"))
+    return _at_rank(units, "unit", "below").select("lang_pred", (COSINE_SHARE * F.col("unit") / UNITS).alias("least"))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in a language that was learned, with lang set to the one that was found.
 
-    A language's least cosine is learned from its labelled rows and holds for texts of some length. Null and empty texts and those without a letter have
+    A language's least cosine is learned from all its labelled rows and holds for texts of some length. Null and empty texts and those without a letter have
     no language and go, as do all if no row has a lang. Equal texts fare alike; of equal cosines the first language
     by name counts. A null lang is filled in; rows with a null doc_id are judged, but not learned from.
     """
     p = language_id.Profiles()
     prototypes = language_id.learned(docs, p)
-    labelled = docs.where(~language_id.held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
-    share = min(1.0, COSINE_ROWS / max(1, labelled.count()))
-    labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
-    labelled = language_id.predict(labelled, prototypes, p, carry=("lang",)).where("lang = lang_pred")
-    least = labelled.groupBy("lang_pred").agg((COSINE_SHARE * F.percentile_approx("score", COSINE_RANK, 10_000)).alias("least"))
-    found = language_id.predict(docs, prototypes, p, carry=("text", "lang", "source", "n_chars"))
+    found = stage(language_id.predict(docs, prototypes, p, carry=("text", "lang", "source", "n_chars")))
+    labelled = found.where(~language_id.held_out() & F.col("doc_id").isNotNull() & (F.col("lang") == F.col("lang_pred")))
+    least = stage(least_cosines(labelled))
     kept = found.where("lang_pred <> 'und'").join(F.broadcast(least), "lang_pred", "left")  # least has a row a language
     short = F.char_length(F.regexp_replace("text", r"\P{L}+", "")) < LEAST_LETTERS
     kept = kept.where(F.coalesce(F.col("score") >= F.col("least"), F.lit(True)) | short)

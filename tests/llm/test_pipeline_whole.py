@@ -112,3 +112,39 @@ def test_cut_repeats_on_a_table(spark):
     want = brute_cut([(r.doc_id, r.text) for r in df.collect()], 400, 51)
     for r in cp.cut_repeats(spark, df, SF).collect():
         assert 0 <= len(r.text.encode()) - len(want[r.doc_id]) <= 60  # characters that stay whole
+
+
+def test_least_cosines_count_all_rows(spark):
+    """The score of rank ceil(n / 100) among all rows of a language, at any number of rows, ties and repeated ids included."""
+    from pyspark.sql import functions as F
+
+    sizes = {"aa": 30_001, "bb": 25_000, "cc": 101, "dd": 1}
+    score = (F.lit(0.2) + F.round(F.rand(7), 6) * F.rand(8)).alias("score")
+    parts = [spark.range(n).select(F.lit(k).alias("lang_pred"), F.when(F.col("id") % 3 == 0, F.lit(0.71)).otherwise(F.least(F.round(score, 9), F.lit(1.0))).alias("score")) for k, n in sizes.items()]
+    rows = parts[0]
+    for x in parts[1:]:
+        rows = rows.unionByName(x)
+    rows = spark.createDataFrame(rows.collect(), "lang_pred string, score double").repartition(5)
+    own = defaultdict(list)
+    for r in rows.collect():
+        own[r.lang_pred].append(r.score)
+    want = {k: sorted(v)[-(-len(v) // 100) - 1] * cp.COSINE_SHARE for k, v in own.items()}
+    got = {r.lang_pred: r.least for r in cp.least_cosines(rows).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_language_threshold_reads_every_labelled_row(spark):
+    """Above 20,000 labelled rows one weak text in 60 still sets the threshold, whatever its hash: a sample of ids without them would reject it."""
+    from pyspark.sql import functions as F
+
+    from tessera.llm import language_id
+
+    usual, weak = "the quick brown fox jumps over the lazy dog and runs away from it " * 2, "zyxw vutsr qponm lkjih gfedc bazyx wvuts rqpon mlkji hgfed cbazy xwvut " * 2
+    taken = F.pmod(F.xxhash64(F.col("id")), F.lit(1 << 40)) < int(0.75 * (1 << 40))  # ids that a sample of 20,000 of these rows takes
+    rows = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when((F.col("id") % 15 == 0) & ~taken, weak).otherwise(usual).alias("text"))
+    df = rows.selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "cast(1 as long) as n_chars")
+    n_weak = df.where(F.col("text") == weak).count()
+    learned = df.where(~language_id.held_out())
+    assert learned.count() > 20_000 and learned.where(F.col("text") == weak).count() > 0.011 * learned.count()
+    kept = cp.identify_language(spark, df, "")
+    assert kept.where(F.col("text") == weak).count() == n_weak
