@@ -126,7 +126,7 @@ def test_both_forms_agree(spark, library):
 
 
 def test_work_of_many_parts(library):
-    """100,000 different parts in under 10 seconds; the fold in SQL functions took minutes."""
+    """100,000 different parts in under 10 seconds."""
     import time
 
     import numpy as np
