@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import jaccard_join, language_id, packing, quality_classifier, suffix_array_dedup
-from tessera.llm.common import bounded_batches, released, stage, table, unstage
+from tessera.llm.common import bounded_batches, identified, released, stage, table, unstage
 from tessera.llm.repeats import Windows
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -67,9 +67,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     p = language_id.Profiles()
     prototypes = language_id.learned(docs, p)
-    found = stage(language_id.predict(docs, prototypes, p, carry=("text", "lang", "source", "n_chars")))
-    labelled = found.where(~language_id.held_out() & F.col("doc_id").isNotNull() & (F.col("lang") == F.col("lang_pred")))
-    least = stage(least_cosines(labelled))
+    # labelled rows are predicted here and again below: staged with their texts, all rows would lie on disk until the result is written
+    labelled = identified(docs, "doc_id", "text", "lang").where(~language_id.held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
+    scores = language_id.predict(labelled, prototypes, p, carry=("lang",)).where(F.col("lang") == F.col("lang_pred"))
+    scores = stage(scores.select("lang_pred", "score"))
+    least = stage(least_cosines(scores))
+    unstage(scores)
+    found = language_id.predict(docs, prototypes, p, carry=("text", "lang", "source", "n_chars"))
     kept = found.where("lang_pred <> 'und'").join(F.broadcast(least), "lang_pred", "left")  # least has a row a language
     short = F.char_length(F.regexp_replace("text", r"\P{L}+", "")) < LEAST_LETTERS
     kept = kept.where(F.coalesce(F.col("score") >= F.col("least"), F.lit(True)) | short)

@@ -148,3 +148,20 @@ def test_language_threshold_reads_every_labelled_row(spark):
     assert learned.count() > 20_000 and learned.where(F.col("text") == weak).count() > 0.011 * learned.count()
     kept = cp.identify_language(spark, df, "")
     assert kept.where(F.col("text") == weak).count() == n_weak
+
+
+def test_language_stage_leaves_no_texts_on_disk(spark):
+    """What the stage writes for itself lies there until the session ends, if its caller does not release it: scores may, whole texts may not."""
+    from pathlib import Path
+
+    from pyspark.sql import functions as F
+
+    from tessera.llm.common import shared_dir
+
+    text = F.concat_ws(" ", *[F.sha2(F.concat_ws("-", "id", F.lit(i)), 256) for i in range(30)])
+    df = spark.range(2_000).select(F.col("id").alias("doc_id"), text.alias("text")).selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "cast(1 as long) as n_chars")
+    size = lambda: sum(x.stat().st_size for x in Path(shared_dir(spark).removeprefix("file:")).rglob("*.parquet"))
+    before, n_bytes = size(), df.agg(F.sum(F.length("text"))).first()[0]
+    kept = cp.identify_language(spark, df, "")
+    assert kept.count() == 2_000
+    assert size() - before < n_bytes / 20
