@@ -21,6 +21,8 @@ from tessera.sources.staging import released, written
 
 #: Functions of a batch are numbered from the batch's number shifted by so many bits.
 SHIFT = 40
+#: Where a function stands.
+PLACE = ("path", "func_idx", "name", "start_line", "end_line")
 
 
 def _store(table: DataFrame, target: str, name: str, epoch: int) -> DataFrame:
@@ -46,15 +48,18 @@ def _near_copies(functions: DataFrame, target: str, epoch: int, options: analysi
     if options.index is None:
         pairs = D.pair_candidates(every, "func_ord", "size", group, first=first)
     else:
-        same = [*([group] if group else []), "digest"]
-        classes = functions.select(*same).distinct()
-        least = every.select("func_ord", *same).join(classes, same, "left_semi").groupBy(*same).agg(F.min("func_ord").alias("least"))
-        placed = written(functions.select("func_ord", *same).join(least, same).select("func_ord", "least"))
-        copies = placed.where("least < func_ord").select(F.col("least").alias("a"), F.col("func_ord").alias("b"))
-        different = functions.join(placed.where("least = func_ord").select("func_ord"), "func_ord", "left_semi")
-        own = D.sketches(different.withColumn("text", F.decode("body", "ISO-8859-1")), "func_ord", "text", "size", group, options.index)
-        own = _store(own, target, "sketches", epoch)
-        pairs = copies.unionByName(D.later_candidates(own, _before(own, target, "sketches", epoch), first, index=options.index))
+        of = lambda t: t.select("func_ord", (F.col(group) if group else F.lit(0)).alias("g"), "digest")
+        placed = of(functions).where("g is not null")
+        own = written(placed.groupBy("g", "digest").agg(F.min("func_ord").alias("first")))
+        # the least of a body's copies, and the batch's own first one, whose body stands for them
+        least = D.large(of(every)).join(D.large(own), ["g", "digest"]).groupBy("g", "digest", "first").agg(F.min("func_ord").alias("least"))
+        firsts = D.large(functions.drop("digest")).join(D.large(least.withColumnRenamed("first", "func_ord")), "func_ord")
+        firsts = written(firsts)
+        copies = D.same_body(placed, firsts, options.threshold).where("least < func_ord").select(F.col("least").alias("a"), F.col("func_ord").alias("b"), "ncd")
+        different = firsts.where("least = func_ord").withColumn("text", F.decode("body", "ISO-8859-1"))
+        own = _store(D.sketches(different, "func_ord", "text", "size", group, options.index), target, "sketches", epoch)
+        pairs = D.later_candidates(own, _before(own, target, "sketches", epoch), first, index=options.index)
+        return D.near_pairs(pairs, every, firsts, options.threshold).unionByName(copies)
     return D.near_pairs(pairs, every, functions, options.threshold)
 
 
@@ -64,8 +69,7 @@ def add_batch(files: DataFrame, target: str, epoch: int, options: analysis.Optio
         tables = lexer.tables(files)
         rows = written(lexer.shown(D.numbered(tables.functions)).withColumn("body", F.encode("body", "ISO-8859-1")))
         rows = rows.withColumn("func_ord", F.col("func_ord") + F.lit(epoch << SHIFT))
-        place = rows.select("func_ord", "path", "func_idx", "name", "start_line", "end_line", F.sha2("body", 256).alias("digest"))
-        functions = _store(D.packed(rows).join(place, "func_ord"), target, "functions", epoch)
+        functions = _store(D.packed(rows, "family", *PLACE).withColumn("digest", F.sha2("body", 256)), target, "functions", epoch)
         _store(_near_copies(functions, target, epoch, options), target, "pairs", epoch)
         _store(lexer.shown(analysis.measured(files, options, False, tables)), target, "metrics", epoch)
 
@@ -89,11 +93,11 @@ def project_of(spark: SparkSession, target: str, options: analysis.Options = ana
     order = D.in_order(functions.select("path", "func_idx", "func_ord"), ["path", "func_idx", "func_ord"], "ord").select("func_ord", "ord")
     order = written(order)
     of = lambda column: order.select(F.col("func_ord").alias(column), F.col("ord").alias(f"{column}_ord"))
-    pairs = pairs.join(of("a"), "a").join(of("b"), "b").select(F.least("a_ord", "b_ord").alias("a"), F.greatest("a_ord", "b_ord").alias("b"), "ncd")
-    functions = functions.join(order, "func_ord").drop("func_ord").withColumnRenamed("ord", "func_ord")
+    pairs = D.large(pairs).join(D.large(of("a")), "a").join(D.large(of("b")), "b").select(F.least("a_ord", "b_ord").alias("a"), F.greatest("a_ord", "b_ord").alias("b"), "ncd")
+    functions = D.large(functions).join(D.large(order), "func_ord").drop("func_ord").withColumnRenamed("ord", "func_ord")
     members = written(D.clusters(written(pairs)))
     ratio = D.duplicate_ratio(functions, members)
     metrics = metrics.where(F.col("epoch") <= last).crossJoin(F.broadcast(ratio.select(F.col("ratio").alias("dup_ratio"))))
     scored = scores.score_files(metrics, options.calibration, options.prior)
-    found = functions.join(members, "func_ord").select("cluster", "func_ord", "path", "start_line", "end_line", "name")
+    found = D.large(functions).join(D.large(members), "func_ord").select("cluster", "func_ord", "path", "start_line", "end_line", "name")
     return {"files": scored, "overview": scores.project(scored).crossJoin(F.broadcast(ratio)), "clusters": D.cluster_table(pairs, members, most), "members": found, "pairs": pairs}

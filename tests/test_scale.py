@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import duplicates as D
 from tessera.plans import crafted
+from tessera.sources import files as sources
+from tessera.streaming import project
 
 
 def test_narrow_rows_are_dealt_out(spark, tmp_path):
@@ -23,3 +25,13 @@ def test_copies_are_not_gathered_on_the_driver(spark):
     assert {(r.a, r.b) for r in found.collect()} >= {(i // 10 * 10, i) for i in range(60) if i % 10}
     exact = {(r.a, r.b): r.ncd for r in D.compression_pairs(rows).collect()}
     assert all(exact[r.a, r.b] == r.ncd for r in found.collect())
+
+
+def test_a_project_of_copies_is_not_gathered_on_the_driver(spark, tmp_path):
+    body = "\n".join(f"  const value{i} = input.part{i} * {i};" for i in range(12))
+    files = [(f"{name}.ts", f"export function load(input) {{\n{body}\n}}\n".encode()) for name in "abc"]
+    project.add_batch(sources.from_bytes(spark, files), str(tmp_path), 0)
+    found = project.project_of(spark, str(tmp_path))
+    for name in ("pairs", "members"):
+        assert "BroadcastHashJoin" not in found[name]._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.path for r in found["members"].collect()) == ["a.ts", "b.ts", "c.ts"]
